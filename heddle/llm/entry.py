@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import bpe_job, line_dedup, packing, quality_rules
 from .common import table
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the production queries; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("cost")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_job.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -25,7 +40,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_pack, op5_line_dedup, op6_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
