@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_job, line_dedup, packing, quality_rules, topk
+from . import bpe_job, jaccard, line_dedup, packing, quality_rules, topk
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -44,7 +48,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_topk, op5_line_dedup, op6_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_pack, op2_topk, op3_jaccard_join, op5_line_dedup, op6_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
