@@ -18,6 +18,9 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Everything but ASCII letters and the bytes of non-ASCII characters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _tables: list[np.ndarray] = []
 
 
@@ -60,11 +63,11 @@ class Words:
 
     __slots__ = ("buf", "end", "first", "h", "offsets", "start")
 
-    def __init__(self, col: pa.Array, fold: bool = True):
+    def __init__(self, col: pa.Array, fold: bool = True, gap: np.ndarray = _GAP):
         buf, off = text_bytes(col)
         lo, hi = int(off[0]), int(off[-1])
         part = buf[lo:hi]
-        word = ~_GAP[part]
+        word = ~gap[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[off - lo] = True
         begins = word & edge[:-1]
