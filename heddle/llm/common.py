@@ -46,6 +46,19 @@ def with_empty_text(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def drop_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``: a broadcast up to ``BROADCAST_IDS`` ids, a shuffle beyond.
+
+    Rows with a null id stay.
+    """
+    ids = materialize(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
+    gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: rows ``(node, component)`` for every node that has an edge.
 

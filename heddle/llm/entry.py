@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_job, chaining, jaccard, line_dedup, packing, quality_classifier, quality_rules, suffix_array, topk
+from . import bpe_job, chaining, jaccard, line_dedup, packing, pii, quality_classifier, quality_rules, suffix_array, topk
 from .common import table
 
 
@@ -46,6 +46,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The key of the production query; a deployment passes its own secret.
+PII_KEY = b"heddle demonstration key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymise(docs, PII_KEY).select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -60,7 +69,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_topk, op3_jaccard_join, op4_suffix_array, op5_line_dedup, op6_quality_rules, op7_chaining, op8_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op1_pack, op2_topk, op3_jaccard_join, op4_suffix_array, op5_line_dedup, op6_quality_rules, op7_chaining, op8_quality_classifier, op9_pii, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import BROADCAST_IDS, connected_components, drop_ids, materialize
 from .words import Words, chunks, mix, windows
 
 HOT = 1 << 62
-BROADCAST_IDS = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, col: int, k: int) -> list[np.ndarray]:
@@ -180,5 +179,4 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
     """``docs`` with one document of each class: the one whose id is the class's component id; rows without an id or without words stay."""
     found = jaccard_classes(docs, id_col=id_col, text_col=text_col, **join)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return drop_ids(docs, id_col, found.where("doc_id <> component_id").select("doc_id"))

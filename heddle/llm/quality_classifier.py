@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_ids, materialize
 from .words import NOT_LETTER, U, Words, chunks
 
 _SYMBOL = np.zeros(256, bool)
@@ -197,3 +197,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = out.withColumn("p_host", host).withColumn("p_path", path)
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(_odds(F.col("p")) + _odds(F.col("p_path")) - _odds(F.lit(mean))))))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("p_doc"), "p_host", "p_path", "posterior", (F.col("posterior") < reject).alias("kept"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects. Rows without an id stay; an id goes when one of its rows is rejected."""
+    found = classify(docs, labels, id_col=id_col, **how)
+    return drop_ids(docs, id_col, found.where("not kept").select(id_col))
