@@ -23,7 +23,7 @@ def _shown(c: str) -> Column:
 
 
 def _object_shown(c: str) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.replace(F.col(c), F.lit('"'), F.lit("'")), r":(?=\S)", ": "), r",(?=\S)", ", ")
+    s = F.regexp_replace(F.regexp_replace(F.replace(F.regexp_replace(c, r"\s*\n\s*", ""), F.lit('"'), F.lit("'")), r":(?=\S)", ": "), r",(?=\S)", ", ")
     return F.coalesce(F.when(F.startswith(F.col(c), F.lit("{")), s).otherwise(F.col(c)), F.lit("None"))
 
 

@@ -107,7 +107,7 @@ def live_searches(events: DataFrame, session_id: str | None = None) -> DataFrame
 def presented(df: DataFrame, digits: int = 2) -> DataFrame:
     """Averages rounded for display, on their exact binary value (2.675 is below its tie and gives 2.67); nulls stay."""
     doubles = [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.format_string(f"%.{digits}f", F.col(c)).cast("double") for c in doubles})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c)).try_cast("double")) for c in doubles})
 
 
 
