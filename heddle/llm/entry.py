@@ -58,14 +58,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    digest = F.sha2(F.array_join("_kept", "\n"), 256)
-    return done.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.col("_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+    digest = F.sha2(F.array_join("__hd_kept", "\n"), 256)
+    return done.select("doc_id", F.size("__hd_lines").cast("long").alias("n_lines"), F.col("__hd_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     done = quality_rules.judge(docs, labels)
-    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,17 +78,17 @@ def kept_lines(lines: Column, keep: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_lines`` (all lines), ``_kept`` (those that stay) and ``_dropped`` (how many went)."""
-    marks = bitmaps.select(F.col("doc").alias("_doc"), F.col("rk").alias("_rk"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep"))
+    """``docs`` with ``__hd_lines`` (all lines), ``__hd_kept`` (those that stay) and ``__hd_dropped`` (how many went)."""
+    marks = bitmaps.select(F.col("doc").alias("__hd_doc"), F.col("rk").alias("__hd_rk"), F.col("n_dropped").alias("__hd_dropped"), F.col("keep").alias("__hd_keep"))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    out = docs.join(marks, (docs[id_col] == marks["_doc"]) & (_row_key(docs[text_col]) == marks["_rk"]), "left")
-    out = out.withColumn("_lines", lines).withColumn("_kept", kept_lines(F.col("_lines"), F.col("_keep")))
-    return out.withColumn("_dropped", F.coalesce("_dropped", F.lit(0).cast("long"))).drop("_doc", "_rk", "_keep")
+    out = docs.join(marks, (docs[id_col] == marks["__hd_doc"]) & (_row_key(docs[text_col]) == marks["__hd_rk"]), "left")
+    out = out.withColumn("__hd_lines", lines).withColumn("__hd_kept", kept_lines(F.col("__hd_lines"), F.col("__hd_keep")))
+    return out.withColumn("__hd_dropped", F.coalesce("__hd_dropped", F.lit(0).cast("long"))).drop("__hd_doc", "__hd_rk", "__hd_keep")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 10) -> DataFrame:
     """``docs`` with the text that stays; all other columns as they are. A null text stays null."""
     names = docs.columns
     done = apply_bitmaps(docs, keep_bitmaps(docs, text_col, id_col, min_chars), text_col, id_col)
-    text = F.when(F.col("_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
+    text = F.when(F.col("__hd_dropped") > 0, F.array_join("__hd_kept", "\n")).otherwise(F.col(text_col))
     return done.withColumn(text_col, text).select(*names)

@@ -212,11 +212,12 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
 
 
 def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with rewritten texts and a new last column ``_n_entities``; other columns as they are."""
+    """``docs`` with rewritten texts and a new last column ``_n_entities`` (in place of one of that name); other columns as they are."""
     spark = docs.sparkSession
     known = materialize(entities(docs, text_col), "entities")
     moved = materialize(attempts_needed(known, key), "attempts")
     n = moved.count()
+    docs = docs.drop("_n_entities")
     names = docs.columns
     spot = names.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_entities", T.LongType())])
@@ -239,8 +240,8 @@ def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_row
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "canon", "h"])
 
     held = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(holders, "kind string, canon string, h long").distinct()
-    own = held.join(moved, ["kind", "canon"]).groupBy(F.col("h").alias("_h")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_moved"))
-    wide = docs.join(own, F.xxhash64(docs[text_col]) == own["_h"], "left").select(*(docs[c] for c in names), "_moved")
+    own = held.join(moved, ["kind", "canon"]).groupBy(F.col("h").alias("__hd_h")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__hd_moved"))
+    wide = docs.join(own, F.xxhash64(docs[text_col]) == own["__hd_h"], "left").select(*(docs[c] for c in names), "__hd_moved")
 
     def run_own(batches):
         for batch in batches:

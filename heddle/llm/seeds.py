@@ -171,10 +171,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return both.select("doc", "pos", "odoc", "opos")
 
 
-def fetch_words(docs: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+def fetch_words(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """``(rid, side, words array<int>)``: 32-bit word hashes of the stretches ``(rid, side, doc, a, b)``, clipped to the text."""
     asked = requests.groupBy("doc").agg(F.collect_list(F.struct("rid", "side", "a", "b")).alias("asked"))
-    asked = F.broadcast(asked) if n <= BROADCAST_ROWS else asked
 
     def run(batches):
         for batch in batches:
