@@ -157,7 +157,7 @@ def _compare(batches):
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """``(doc, pos, odoc, opos)``: every seed that another document holds, with its neighbour in (h, doc, pos) order.
+    """``(h, doc, pos, odoc, opos)``: every seed that another document holds, with its neighbour in (h, doc, pos) order.
 
     The neighbour is in the document before it, or in the next one for the first document of a run. The order is a range partitioning on
     all three columns, so a seed of a third of all documents spreads over many tasks; rows at the partition ends are compared once more.
@@ -168,7 +168,22 @@ def neighbours(rows: DataFrame) -> DataFrame:
     found = materialize(found, "neighbours")
     ends = found.where("edge").select(*order).repartition(1).sortWithinPartitions(*order).mapInArrow(_compare, _MATCH)
     both = found.where("not edge").unionByName(ends.where("not edge"))
-    return both.select("doc", "pos", "odoc", "opos")
+    return both.select("h", "doc", "pos", "odoc", "opos")
+
+
+def farther(links: DataFrame, steps: int) -> DataFrame:
+    """``(doc, pos, odoc, opos)``: neighbour links and their compositions, up to ``steps`` documents away in a seed's order.
+
+    Edits take different seeds from different documents, so the neighbour changes from seed to seed; with a few steps a
+    pair of documents still meets in most of the seeds that both hold. The join key is one occurrence, so no key is hot.
+    """
+    links = materialize(links, "links")
+    via = links.select("h", F.col("doc").alias("odoc"), F.col("pos").alias("opos"), F.col("odoc").alias("odoc2"), F.col("opos").alias("opos2"))
+    found, last = links, links
+    for _ in range(steps - 1):
+        last = last.join(via, ["h", "odoc", "opos"]).where("doc <> odoc2").select("h", "doc", "pos", F.col("odoc2").alias("odoc"), F.col("opos2").alias("opos"))
+        found = found.unionByName(last)
+    return found.select("doc", "pos", "odoc", "opos")
 
 
 def fetch_words(docs: DataFrame, requests: DataFrame) -> DataFrame:
