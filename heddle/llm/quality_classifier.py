@@ -56,7 +56,7 @@ def shapes(w: Words) -> np.ndarray:
     ])
 
 
-def _logistic(x: np.ndarray, doc: np.ndarray, word: np.ndarray, n_words: int, y: np.ndarray, l2: float = 1.0, turns: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+def _logistic(x: np.ndarray, doc: np.ndarray, word: np.ndarray, n_words: int, y: np.ndarray, l2: float = 0.2, turns: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of dense columns, of words (sparse presence) and the bias, by preconditioned accelerated gradient steps."""
     n = len(y)
     seen = np.bincount(word, minlength=n_words).astype(float)
