@@ -40,8 +40,7 @@ FROM d LEFT JOIN n USING (doc_id)
 
 
 def _op6(risk: float = 0.04, delta: float = 0.05, price: float = 3.0) -> str:
-    rules = " UNION ALL ".join(f"SELECT stratum, label, '{r}' AS rule, {i} AS nth, ({m})::DOUBLE AS v, {grid}::DOUBLE[] AS grid, {str(over).lower()} AS over FROM h" for i, (r, (m, grid, over)) in enumerate(RULES.items()))
-    share = risk / len(RULES)
+    rules = " UNION ALL ".join(f"SELECT stratum, label, picks, '{r}' AS rule, {i} AS nth, ({m})::DOUBLE AS v, {grid}::DOUBLE[] AS grid, {str(over).lower()} AS over FROM h" for i, (r, (m, grid, over)) in enumerate(RULES.items()))
     hits = ", ".join(f"CASE WHEN coalesce((SELECT ({m}) {'>' if over else '<'} cutoff FROM best WHERE best.stratum = f.stratum AND rule = '{r}'), false) THEN '{r}' END" for r, (m, _, over) in RULES.items())
     return f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
@@ -53,13 +52,17 @@ m AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 k AS (SELECT doc_id, max(quality) AS label FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-h AS (SELECT f.*, label FROM f JOIN k USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT f.*, label, md5(doc_id::VARCHAR)[1:1] IN ('0', '1', '2', '3') AS picks FROM f JOIN k USING (doc_id) WHERE NOT base_failed),
 v AS ({rules}),
-c AS (SELECT stratum, rule, label, v, over, unnest(grid) AS cutoff, unnest(range(len(grid))) AS step FROM v),
-b AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (WHERE label = 1) AS n, count(*) FILTER (WHERE label = 1 AND CASE WHEN over THEN v > cutoff ELSE v < cutoff END) AS bad_hit,
-  count(*) FILTER (WHERE label = 0 AND CASE WHEN over THEN v > cutoff ELSE v < cutoff END) AS hit FROM c GROUP BY ALL),
-q AS (SELECT *, CASE WHEN n = 0 OR bad_hit >= n * {share} THEN 1.0 ELSE list_sum(list_transform(range(bad_hit + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p FROM b),
-z AS (SELECT *, min((p <= {delta}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM q)))::INTEGER) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed, hit - {price}::DOUBLE * bad_hit AS gain FROM q),
+c AS (SELECT stratum, rule, label, picks, v, over, unnest(grid) AS cutoff, unnest(range(len(grid))) AS step FROM v),
+g AS (SELECT *, CASE WHEN over THEN v > cutoff ELSE v < cutoff END AS r FROM c),
+b0 AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (WHERE label = 1 AND NOT picks) AS n, count(*) FILTER (WHERE label = 1 AND r AND NOT picks) AS bad_hit,
+  count(*) FILTER (WHERE label = 1 AND r) AS bad_all, count(*) FILTER (WHERE label = 0 AND r) AS hit,
+  count(*) FILTER (WHERE label = 0 AND r AND picks) - {price}::DOUBLE * count(*) FILTER (WHERE label = 1 AND r AND picks) AS first_gain FROM g GROUP BY ALL),
+b1 AS (SELECT * FROM b0 QUALIFY max(first_gain) OVER (PARTITION BY stratum, rule) > 0),
+b AS (SELECT b1.*, {risk}::DOUBLE / active AS share FROM b1 JOIN (SELECT stratum, count(DISTINCT rule) AS active FROM b1 GROUP BY stratum) USING (stratum)),
+q AS (SELECT *, CASE WHEN n = 0 OR bad_hit >= n * share THEN 1.0 ELSE list_sum(list_transform(range(bad_hit + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share)))) END AS p FROM b),
+z AS (SELECT *, min((p <= {delta}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM q)))::INTEGER) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed, hit - {price}::DOUBLE * bad_all AS gain FROM q),
 best AS (SELECT stratum, rule, cutoff FROM z WHERE passed = 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
 o AS (SELECT *, CASE WHEN base_failed THEN 'base' ELSE concat_ws(',', {hits}) END AS rejected_by FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by = '' AS kept, stratum, rejected_by FROM o

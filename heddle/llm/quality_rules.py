@@ -1,14 +1,15 @@
 """Quality rules with certified cutoffs, on the native engine.
 
-Every document gets integer text measures in one scan. A labelled holdout then certifies, per stratum
-(``lang``) and rule, how strict a cutoff may be: for a grid of cutoffs from lenient to strict, the number k of
-good documents (label 1) that a cutoff would reject is tested against the hypothesis "the rule rejects
-more than a share ``risk`` of good documents" with the exact binomial tail P(Bin(n, risk) <= k). The grid is
+Every document gets integer text measures in one scan. The labelled rows are split by a digest of the id: a quarter selects, per
+stratum (``lang``), the rules that help there (bad rejected minus ``price`` times good rejected is positive at some cutoff); the
+other three quarters certify, per stratum and selected rule, how strict a cutoff may be. For a grid of cutoffs from lenient to
+strict, the number k of good documents (label 1) that a cutoff would reject is tested against the hypothesis "the rule rejects
+more than its share of good documents" with the exact binomial tail P(Bin(n, share) <= k). The grid is
 tested in fixed order and stops at the first failure; each sequence runs at level ``delta`` divided by the number
-of (stratum, rule) sequences (Bonferroni), so with probability 1 - delta no certified cutoff breaks its
-promise anywhere. ``risk`` is the budget of a whole stratum; each rule gets an equal part of it. Among certified cutoffs
-a rule takes the one with the best holdout gain (bad rejected minus ``price`` times good rejected); a rule
-without positive gain stays off. All labelled rows are used; thresholds never depend on a sample.
+of selected (stratum, rule) sequences (Bonferroni), so with probability 1 - delta no certified cutoff breaks its
+promise anywhere. ``risk`` is the budget of a whole stratum; each rule selected in it gets an equal part. As the selecting rows
+take no part in the tests, the promise holds whatever they select. Among certified cutoffs a rule takes the one with the best gain
+over all labelled rows; a rule without positive gain stays off. No row is left out; thresholds never depend on a sample.
 
 Defined cases. Null or empty text: no words, ``base_failed``. Null stratum: a stratum of its own. Strata without
 labels, or with too few to certify anything: only the base rule rejects. Null or other labels are ignored. Labels repeated
@@ -42,13 +43,14 @@ def _log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * F.log(F.lit(2.0) * F.pi()) + series - F.log(shifted) - F.log(shifted2)
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: Column | float) -> Column:
     """P(Bin(n, p) <= k), summed from the k-th term down until terms no longer count (they fall fast below the mean).
 
     Returns 1 when k is at or above the mean n * p, which no test at a small level could pass anyway.
     """
+    p = p if isinstance(p, Column) else F.lit(p)
     kd, nd = k.cast("double"), n.cast("double")
-    log_pk = _log_gamma(nd + 1) - _log_gamma(kd + 1) - _log_gamma(nd - kd + 1) + kd * F.log(F.lit(p)) + (nd - kd) * F.log(F.lit(1 - p))
+    log_pk = _log_gamma(nd + 1) - _log_gamma(kd + 1) - _log_gamma(nd - kd + 1) + kd * F.log(p) + (nd - kd) * F.log(1 - p)
     terms = F.least(k, (20 * F.sqrt(nd)).cast("long") + 50)
     zero = F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("t"))
 
@@ -86,34 +88,47 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def certified_cutoffs(holdout: DataFrame, stratum: str, label: str, risk: float = 0.04, delta: float = 0.05, price: float = 3.0) -> DataFrame:
+def selects(id_col: Column) -> Column:
+    """The quarter of the ids whose rows select rules and take no part in the tests."""
+    return F.substring(F.md5(id_col.cast("string")), 1, 1).isin(*"0123")
+
+
+def certified_cutoffs(holdout: DataFrame, stratum: str, label: str, risk: float = 0.04, delta: float = 0.05, price: float = 3.0, selecting: str | None = None) -> DataFrame:
     """One row a stratum and rule with a usable cutoff: ``(stratum, rule, cutoff, n_good, false_rejects, p_value)``.
 
-    ``holdout`` has the measures, the stratum and a 0/1 label of every labelled document that passes the base rule.
+    ``holdout`` has the measures, the stratum and a 0/1 label of every labelled document that passes the base rule, and in
+    ``selecting`` whether a row selects rules; without that column every rule is tested, on all rows.
     Work is a grouped count over (stratum, rule, cutoff); only the grid size is fixed, nothing depends on row order.
     """
-    share = risk / len(RULES)
     marks = []
     for rule, (measure, grid, over) in RULES.items():
         value = F.expr(measure)
         # The bucket of a document: how many of the cutoffs, from lenient to strict, leave it alone.
         hit = [((value > c) if over else (value < c)).cast("int") for c in grid]
         marks.append(F.struct(F.lit(rule).alias("rule"), F.lit(len(grid)).alias("size"), (F.lit(len(grid)) - sum(hit[1:], hit[0])).alias("bucket"), F.array(*map(F.lit, grid)).alias("grid")))
-    rows = holdout.select(F.col(stratum).alias("stratum"), (F.col(label) == 1).cast("long").alias("good"), F.explode(F.array(*marks)).alias("m"))
-    counts = rows.groupBy("stratum", "m.rule", "m.grid", "m.bucket").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    picks = F.col(selecting).cast("long") if selecting else F.lit(0).cast("long")
+    rows = holdout.select(F.col(stratum).alias("stratum"), (F.col(label) == 1).cast("long").alias("good"), picks.alias("picks"), F.explode(F.array(*marks)).alias("m"))
+    tally = {"good": F.col("good"), "bad": 1 - F.col("good"), "good_picks": F.col("good") * F.col("picks"), "bad_picks": (1 - F.col("good")) * F.col("picks")}
+    counts = rows.groupBy("stratum", "m.rule", "m.grid", "m.bucket").agg(*(F.sum(v).alias(c) for c, v in tally.items()))
     # Spread each stratum's few bucket counts over its grid, so that cutoffs without documents are tested too.
-    cells = counts.groupBy("stratum", "rule", "grid").agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("bucket", "good", "bad")).alias("b"))
+    cells = counts.groupBy("stratum", "rule", "grid").agg((F.sum("good") - F.sum("good_picks")).alias("n_good"), F.collect_list(F.struct("bucket", *tally)).alias("b"))
     cells = cells.select("stratum", "rule", "n_good", "b", F.posexplode("grid").alias("step", "cutoff"))
 
     def rejected(what: str) -> Column:
         return F.aggregate("b", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["bucket"] <= F.col("step"), x[what]).otherwise(F.lit(0).cast("long")))
 
-    cells = cells.withColumn("false_rejects", rejected("good")).withColumn("hits", rejected("bad")).drop("b")
-    cells = cells.withColumn("p_value", F.when(F.col("n_good") > 0, binomial_tail(F.col("false_rejects"), F.col("n_good"), share)).otherwise(F.lit(1.0)))
+    cells = cells.withColumns({f"_{c}": rejected(c) for c in tally}).drop("b").withColumn("false_rejects", F.col("_good") - F.col("_good_picks"))
+    if selecting:
+        helps = F.max(F.col("_bad_picks") - price * F.col("_good_picks")).over(Window.partitionBy("stratum", "rule")) > 0
+        cells = cells.withColumn("helps", helps).where("helps")
+    active = F.size(F.collect_set("rule").over(Window.partitionBy("stratum")))
+    cells = cells.withColumn("share", F.lit(risk) / active)
+    tail = binomial_tail(F.col("false_rejects"), F.col("n_good"), F.col("share"))
+    cells = cells.withColumn("p_value", F.when(F.col("n_good") > 0, tail).otherwise(F.lit(1.0)))
     sequences = cells.select("stratum", "rule").distinct().agg(F.count(F.lit(1)).alias("sequences"))
     cells = cells.crossJoin(F.broadcast(sequences))  # one row
     passed = F.min((F.col("p_value") <= F.lit(delta) / F.col("sequences")).cast("int")).over(Window.partitionBy("stratum", "rule").orderBy("step"))
-    good = cells.withColumn("passed", passed).where("passed = 1").withColumn("gain", F.col("hits") - price * F.col("false_rejects")).where("gain > 0")
+    good = cells.withColumn("passed", passed).where("passed = 1").withColumn("gain", F.col("_bad") - price * F.col("_good")).where("gain > 0")
     best = good.groupBy("stratum", "rule").agg(F.max(F.struct("gain", (-F.col("step")).alias("lenient"), "cutoff", "n_good", "false_rejects", "p_value")).alias("x"))
     return best.select("stratum", "rule", "x.cutoff", "x.n_good", "x.false_rejects", "x.p_value")
 
@@ -124,9 +139,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measured = measured.drop("_text").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     measured = materialize(measured.withColumn("_stratum", F.coalesce(F.col("_stratum").cast("string"), F.lit(""))), "measures")
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(label).alias("_label"))
-    holdout = measured.where("not base_failed").join(known, measured[id_col] == known["_lid"])
+    holdout = measured.where("not base_failed").join(known, measured[id_col] == known["_lid"]).withColumn("_selects", selects(F.col("_lid")))
     # At most one row for each stratum: rule -> cutoff.
-    cutoffs = certified_cutoffs(holdout, "_stratum", "_label", **certify).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    cutoffs = certified_cutoffs(holdout, "_stratum", "_label", selecting="_selects", **certify).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     cutoffs = cutoffs.withColumnsRenamed({r: f"_cut_{r}" for r in RULES})
     out = measured.join(cutoffs, measured["_stratum"] == cutoffs["stratum"], "left")
     hits = [F.when(F.coalesce(F.expr(f"({m}) {'>' if over else '<'} _cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _, over) in RULES.items()]
