@@ -313,6 +313,27 @@ def test_chaining_finds_edited_passages(spark):
     assert max(r["n_words"] for r in got) < 150 and max(r["identity"] for r in got) < 1
 
 
+def covered(got, doc, length):
+    words = np.zeros(length, bool)
+    for r in got:
+        for d, at, n in ((r["doc_id"], r["start_word"], r["n_words"]), (r["other_doc_id"], r["other_start_word"], r["other_n_words"])):
+            words[at : at + n] |= d == doc
+    return words
+
+
+def test_chaining_splits_chains_at_wide_gaps(spark):
+    """A copy with 60 words put into its middle, and two passages with other words between, in two documents each."""
+    rng = random.Random(3)
+    make = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, r = make(120), make(60), make(60)
+    rows = [(1, make(30) + p + make(30)), (2, make(20) + p[:60] + make(60) + p[60:] + make(20)), (3, make(30) + q + make(110) + r + make(30)), (4, make(20) + q + make(100) + r + make(20))]
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    for doc, length, spans in ((1, 180, [(30, 150)]), (2, 220, [(20, 80), (140, 200)]), (3, 290, [(30, 90), (200, 260)]), (4, 260, [(20, 80), (180, 240)])):
+        words = covered(got, doc, length)
+        assert all(words[a:b].all() for a, b in spans)
+    assert len(got) == 4 and all(min(x["n_words"], x["other_n_words"]) >= 50 and x["identity"] >= 0.75 for x in got)
+
+
 def test_chaining_edges(spark, docs):
     assert chaining.fuzzy_passages(docs.where("false")).count() == 0
     assert chaining.fuzzy_passages(docs).count() > 0
