@@ -16,6 +16,9 @@ from .words import Words, chunks, windows
 
 BROADCAST_ROWS = 400_000
 
+#: Occurrences of one seed that are paired in one piece.
+BLOCK = 1_000
+
 
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
@@ -45,8 +48,8 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return x
 
 
-def minimisers(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions that hold the smallest value of some window of ``w`` values; of close repeats of a value the first."""
+def minimisers(h: np.ndarray, w: int, repeats: bool = False) -> np.ndarray:
+    """Positions that hold the smallest value of some window of ``w`` values; of close repeats of a value the first, unless ``repeats``."""
     n = len(h)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -55,6 +58,8 @@ def minimisers(h: np.ndarray, w: int) -> np.ndarray:
     pad = np.zeros(w - 1, h.dtype)
     top = _slide(np.concatenate([pad, low, pad]), w, np.maximum)
     at = np.flatnonzero(top == h)
+    if repeats:
+        return at
     order = np.lexsort((at, h[at]))
     s = at[order]
     near = np.zeros(len(s), bool)
@@ -62,7 +67,7 @@ def minimisers(h: np.ndarray, w: int) -> np.ndarray:
     return np.sort(s[~near])
 
 
-def seed_rows(docs: DataFrame, k: int, w: int, least_words: int) -> DataFrame:
+def seed_rows(docs: DataFrame, k: int, w: int, least_words: int, repeats: bool = False) -> DataFrame:
     """``(h, doc, pos)``: hashes of k words at minimiser positions of documents with at least ``least_words`` words."""
 
     def run(batches):
@@ -74,7 +79,7 @@ def seed_rows(docs: DataFrame, k: int, w: int, least_words: int) -> DataFrame:
                     if b - a < max(least_words, k):
                         continue
                     h = windows(words.h[a:b], k)
-                    at = minimisers(h, w)
+                    at = minimisers(h, w, repeats)
                     doc.append(np.full(len(at), i))
                     hashes.append(h[at])
                     places.append(at)
@@ -171,19 +176,20 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return both.select("h", "doc", "pos", "odoc", "opos")
 
 
-def farther(links: DataFrame, steps: int) -> DataFrame:
-    """``(doc, pos, odoc, opos)``: neighbour links and their compositions, up to ``steps`` documents away in a seed's order.
+def all_links(rows: DataFrame) -> DataFrame:
+    """``(doc, pos, odoc, opos)``, doc > odoc: every pair of occurrences of a seed in two documents, each once.
 
-    Edits take different seeds from different documents, so the neighbour changes from seed to seed; with a few steps a
-    pair of documents still meets in most of the seeds that both hold. The join key is one occurrence, so no key is hot.
+    Seeds that one document holds alone drop out first. A seed of many occurrences is dealt into blocks of about ``BLOCK`` of them by document; each
+    pair of blocks is a join key of its own, so no task has more than about BLOCK squared pairs of a seed, and hot seeds spread over all tasks.
     """
-    links = materialize(links, "links")
-    via = links.select("h", F.col("doc").alias("odoc"), F.col("pos").alias("opos"), F.col("odoc").alias("odoc2"), F.col("opos").alias("opos2"))
-    found, last = links, links
-    for _ in range(steps - 1):
-        last = last.join(via, ["h", "odoc", "opos"]).where("doc <> odoc2").select("h", "doc", "pos", F.col("odoc2").alias("odoc"), F.col("opos2").alias("opos"))
-        found = found.unionByName(last)
-    return found.select("doc", "pos", "odoc", "opos")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    shared = shared.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    held = rows.join(shared, "h").withColumn("x", F.pmod(F.xxhash64("doc", "h"), F.col("blocks")).cast("int"))
+    held = held.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = materialize(held.select("h", F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"), "x", "doc", "pos"), "holders")
+    other = held.select("h", "c1", "c2", F.col("x").alias("ox"), F.col("doc").alias("odoc"), F.col("pos").alias("opos"))
+    pairs = held.join(other, ["h", "c1", "c2"]).where("doc > odoc and (c1 = c2 or x <> ox)")
+    return pairs.select("doc", "pos", "odoc", "opos")
 
 
 def fetch_words(docs: DataFrame, requests: DataFrame) -> DataFrame:

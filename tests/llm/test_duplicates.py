@@ -334,6 +334,29 @@ def test_chaining_splits_chains_at_wide_gaps(spark):
     assert len(got) == 4 and all(min(x["n_words"], x["other_n_words"]) >= 50 and x["identity"] >= 0.75 for x in got)
 
 
+def test_chaining_links_all_holders_of_a_seed(spark, monkeypatch):
+    """Two copies of a passage whose only kept seeds many documents between them hold too, and the later copy again in a short snippet."""
+    monkeypatch.setattr(seeds, "BLOCK", 4)
+    rng = random.Random(4)
+    make = lambda n: [f"s{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, before, after = make(17), make(24), make(25)
+    # Every fourth word outside the phrase is changed in the second copy: no other run of 8 words is left, identity about 0.8.
+    edit = lambda w: [x if i % 4 else f"e{i}" for i, x in enumerate(w)]
+    rows = [(1, make(20) + before + phrase + after + make(20) + phrase + make(30)), (50, make(10) + edit(before) + phrase + edit(after) + make(40))]
+    rows += [(i, make(25) + phrase + make(25)) for i in range(2, 50)]
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(50, 1)}
+
+
+def test_all_links(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3]), rng.randrange(12), rng.randrange(9)) for _ in range(150)})
+    want = sorted((d, p, e, q) for h, d, p in rows for g, e, q in rows if h == g and d > e)
+    for size in (1_000, 7, 1):
+        monkeypatch.setattr(seeds, "BLOCK", size)
+        assert sorted(map(tuple, seeds.all_links(spark.createDataFrame(rows, "h long, doc long, pos int")).collect())) == want
+
+
 def test_chaining_edges(spark, docs):
     assert chaining.fuzzy_passages(docs.where("false")).count() == 0
     assert chaining.fuzzy_passages(docs).count() > 0
