@@ -1,25 +1,29 @@
 """Repeated passages across documents by a sparse suffix array.
 
-Only suffixes that start at content-selected (minimiser) positions are kept: with seeds of ``k`` words and windows of
-``least - k + 1`` seeds, any passage of ``least`` words holds a kept suffix, at the same place in every copy. The suffixes are sorted by their first ``k`` words in
-one distributed sort and compared with their neighbours, so a passage of m documents costs m comparisons, not m squared.
-Equal neighbours on one diagonal join to one stretch, which is then extended word by word to the left and to the right.
+Suffixes count that start a passage of ``least`` words which another text may hold. A first sort of suffixes at content-selected (minimiser)
+positions finds them: with seeds of ``k`` words and windows of ``least - k + 1`` seeds, any passage of ``least`` words holds a kept seed, at the same place
+in every copy, so only the ``least - k + 1`` suffixes that reach over a seed of two texts take part. These are sorted by their first ``least`` words in one
+distributed sort and compared with their neighbours: whoever is the neighbour holds the whole passage, and a passage of m documents costs m
+comparisons a word, not m squared. Equal neighbours on one diagonal join to one stretch, which is then extended word by word to the left and to the right.
 
 Result: rows ``(doc_id, start_word, n_words, other_doc_id, other_start_word, is_copy)``: words start_word ... of doc_id equal
 (A-Z folded) those of the other document; ``is_copy`` when the other has the smaller id. Exact copies of a whole text are reported against the
-smallest doc_id of their text. The extension looks ``least`` words past each end of a stretch, so a passage longer than
-that is covered by several rows when its neighbours change along the way.
+smallest doc_id of their text. A passage is covered by several rows when its neighbours change along the way; every word of every passage of ``least``
+words that two different texts share is in some row.
 
 Defined cases. Null ids or texts and texts of fewer than ``least`` words: no rows. Repeats inside one document only: no rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .seeds import distinct_texts, fetch_words, neighbours, seed_rows
+from .words import Words, chunks, windows
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -28,17 +32,40 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(a))
 
 
+def passage_rows(docs: DataFrame, spots: DataFrame, least: int, k: int) -> DataFrame:
+    """``(h, doc, pos)``: hashes of the ``least`` words from each position on, where they reach over a seed of ``spots`` (doc, pos)."""
+    asked = spots.groupBy("doc").agg(F.collect_set("pos").alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, 1):
+                words = Words(part.column(1))
+                for i, (lo, hi, at) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), part.column(2).to_pylist())):
+                    last = hi - lo - least
+                    wanted = np.zeros(last + least + 2, np.int32)
+                    at = np.array(at)
+                    np.add.at(wanted, np.maximum(at - (least - k), 0), 1)
+                    np.add.at(wanted, at + 1, -1)
+                    pos = np.flatnonzero(np.cumsum(wanted)[: last + 1] > 0)
+                    h = windows(words.h[lo:hi], least)[pos].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int32))], ["h", "doc", "pos"])
+
+    with_text = docs.join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "asked")
+    return with_text.mapInArrow(run, "h long, doc long, pos int")
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     one, copies = distinct_texts(docs)
     w = least - k + 1
     if not 0 < w <= k:
         raise ValueError("k must be over half of least: seeds a window apart have to cover the words between them")
-    rows = materialize(seed_rows(one, k, w, least), "suffixes")
-    hits = neighbours(rows).withColumn("diag", F.col("pos") - F.col("opos"))
+    rows = materialize(seed_rows(one, k, w, least, repeats=True), "suffixes")
+    spots = materialize(neighbours(rows).select("doc", "pos"), "spots")
+    hits = neighbours(passage_rows(one, spots, least, k)).withColumn("diag", F.col("pos") - F.col("opos"))
     by = Window.partitionBy("doc", "odoc", "diag").orderBy("pos")
-    hits = hits.withColumn("new", (F.col("pos") - F.lag("pos").over(by) > w).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(by))
-    stretch = hits.groupBy("doc", "odoc", "diag", "part").agg(F.min("pos").alias("a"), (F.max("pos") + k).alias("b"))
+    hits = hits.withColumn("new", (F.col("pos") - F.lag("pos").over(by) > least).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(by))
+    stretch = hits.groupBy("doc", "odoc", "diag", "part").agg(F.min("pos").alias("a"), (F.max("pos") + least).alias("b"))
     stretch = materialize(stretch.withColumn("rid", F.xxhash64("doc", "odoc", "diag", "part")), "stretches")
     # Left context reversed, so that both extensions are common prefixes.
     sides = [("doc", F.lit(0)), ("odoc", F.col("diag"))]

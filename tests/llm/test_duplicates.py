@@ -218,6 +218,26 @@ def test_suffix_array(once):
     assert cut.columns == df.columns and cut.count() == df.count()
 
 
+def test_suffix_array_covers_all_in_families_of_edited_copies(spark, once):
+    """Every word that brute force marks: where the copy between two has an edit, where seeds return in snippets, and in the corpus."""
+    rng = random.Random(5)
+    make = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    p, runs = make(50), make(60)
+    rows = [(1, make(9) + p + make(9)), (2, make(5) + p[:45] + make(1) + p[46:] + make(20)), (3, make(30) + p + make(3)), (4, make(20) + p[10:] + make(11) + p[:38] + make(9))]
+    rows += [(10 + i, make(8) + runs[:at] + make(1) + runs[at + 1 :] + make(8)) for i, at in enumerate([0, 9, 3, 59, 52, 5, 55, 1])]
+    rows += [(20, make(7) + runs + make(9) + runs[20:50] + make(9)), (30, ["a"] * 130), (31, ["a"] * 170 + ["b"])]
+    small = [(i, " ".join(w)) for i, w in rows]
+    for have, df in ((small, spark.createDataFrame(small, "doc_id long, text string")), once):
+        texts, want = repeats(have, 50)
+        got = collections.defaultdict(set)
+        for r in suffix_array.repeated_passages(df).collect():
+            a, b = texts[r["doc_id"]][r["start_word"] :][: r["n_words"]], texts[r["other_doc_id"]][r["other_start_word"] :][: r["n_words"]]
+            assert a == b and len(a) >= 50
+            got[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+            got[r["other_doc_id"]] |= set(range(r["other_start_word"], r["other_start_word"] + r["n_words"]))
+        assert all(w <= got[d] for d, w in want.items())
+
+
 def test_suffix_array_edges(spark, docs):
     assert suffix_array.repeated_passages(docs.where("false")).count() == 0
     assert suffix_array.repeated_passages(docs).count() > 0  # null and repeated ids
