@@ -6,7 +6,8 @@ a keyed function of type and canonical form, laid over each occurrence's own for
 case and script, card numbers keep a valid check digit where the original had one, names keep the gender of their title.
 
 Distinctness: all canonical forms of the corpus are gathered, without texts, in a distributed distinct. Surrogates that two entities
-share, or that equal some real entity, are drawn again with the next attempt number for all but the smallest of the entities, until none is left. Only entities
+share, or that equal some real entity, are drawn again with the next attempt number for all but the smallest of the entities, until none is left
+(names grow with the attempt; types of a fixed length stop with an error when ``rounds`` draws have not sufficed). Only entities
 with an attempt over 0 need to travel to the rewriting stage: as a broadcast while few, else joined to the rows that hold them.
 
 Defined cases. Null text stays null. Empty text and text without entities stay as they are. Rows are independent of their ids, so null or
@@ -37,6 +38,8 @@ NAMES = {
     ("family", "latin"): ["Albers", "Brandt", "Castel", "Duarte", "Ekholm", "Farago", "Gomes", "Hartog", "Ibsen", "Jansky", "Keller", "Lindner", "Moreau", "Novak", "Olsen", "Prieto"],
     ("family", "cyrillic"): ["Белов", "Громов", "Зимин", "Котов", "Лебедев", "Морозов", "Орлов", "Соколов"],
 }
+#: Letters of the syllables that later attempts add.
+SYLLABLES = {"latin": ("bdfghklmnprstvwz", "aeio"), "cyrillic": ("бвгдзклмнпрстфхч", "аеио")}
 MALE = {"mr", "herr", "señor", "sr", "monsieur", "г-н"}
 FEMALE = {"mrs", "ms", "miss", "frau", "señora", "sra", "mme", "madame", "г-жа"}
 
@@ -117,8 +120,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         names, family = NAMES[gender, script], NAMES["family", script]
         words = canon.split(" ")
         new = ([names[s.below(len(names))]] if len(words) > 1 else []) + [family[s.below(len(family))]]
-        if attempt:  # short lists run out: later attempts add a syllable
-            new[-1] += ("berg", "stein", "sen", "mann")[s.below(4)] * (attempt > 8) + "abcdefghijklmnopqrstuvwxyz"[s.below(26)] * (attempt // 2) if script == "latin" else "ский" * attempt
+        first, second = SYLLABLES[script]
+        for _ in range(attempt):  # short lists run out: each attempt has a syllable more, so there is no end of names
+            new[-1] += first[s.below(len(first))] + second[s.below(len(second))]
         return " ".join(new).lower()
     if kind == "ip":
         return ".".join(["10", *(str(s.below(256)) for _ in range(3))])
@@ -195,8 +199,8 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
     schema = "kind string, canon string, attempt int, new string"
     real = known.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
     drawn = materialize(known.select("kind", "canon", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates")
-    moved = None
-    for _ in range(rounds):
+    turn = 0
+    while True:
         # An entity drawn earlier keeps its surrogate before one that was drawn again; then the smaller form goes first.
         order = Window.partitionBy(F.split("kind", "-")[0], "new").orderBy("attempt", "canon", "kind")
         taken = drawn.withColumn("nth", F.row_number().over(order))
@@ -204,10 +208,11 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
         taken = materialize(taken, "taken")
         if taken.isEmpty():
             break
+        turn += 1
+        if turn >= rounds and not taken.where("kind not like 'person-%'").isEmpty():
+            raise RuntimeError("surrogates of a fixed length still collide; use longer formats")
         again = drawn.join(taken, ["kind", "canon"]).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         drawn = materialize(drawn.join(taken, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
-    else:
-        raise RuntimeError("surrogates still collide; use longer formats or more names")
     return drawn.where("attempt > 0").select("kind", "canon", "attempt")
 
 

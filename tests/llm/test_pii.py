@@ -66,3 +66,12 @@ def test_attempts_break_collisions(spark):
     moved = {(r["kind"], r["canon"]): r["attempt"] for r in pii.attempts_needed(known, KEY).collect()}
     new = [pii.surrogate(KEY, r["kind"], r["canon"], moved.get((r["kind"], r["canon"]), 0)) for r in known.collect()]
     assert moved and len(set(new)) == 600
+
+
+def test_names_do_not_run_out(spark):
+    """More one-word Cyrillic names than family names times any fixed number of attempts."""
+    known = spark.createDataFrame([("person-m-cyrillic", f"а{chr(0x430 + i % 30)}{chr(0x430 + i // 30)}") for i in range(900)], "kind string, canon string")
+    moved = {r["canon"]: r["attempt"] for r in pii.attempts_needed(known, KEY).collect()}
+    new = {pii.surrogate(KEY, r["kind"], r["canon"], moved.get(r["canon"], 0)) for r in known.collect()}
+    assert len(new) == 900 and max(moved.values()) < 10
+    assert all(kinds(f"г-н {x.capitalize()}") == [("person-m-cyrillic", x.capitalize())] for x in new)
