@@ -2,8 +2,8 @@
 
 Method. Lines become ``(key hash, document, position)`` records without text. Records are first reduced to
 one row a key (partial aggregation on the map side, so that a line held by a third of all documents leaves
-each task as one row), range-partitioned on the hash and sorted within partitions by hash, document and
-position; a streaming window over that order gives the first occurrence of each key. Documents then get
+each task as one row); this aggregate decides the first occurrence of each key. The range partitioning, sort and row number that
+follow see one row a key and do not change the result. Documents then get
 sparse 64-line words of kept bits: a word that is not listed is all ones, so a document that loses nothing
 carries no bitmap at all.
 
