@@ -9,8 +9,9 @@ merge list, not on the input. A token boundary is never merged over later, so re
 
 Batches of texts are cut into pre-tokens with array operations; a bounded memo keeps the ids of frequent pre-tokens.
 
-Decoding. ``TextDecoder`` maps each id to its bytes and feeds a UTF-8 state machine that holds back at most three
-bytes; malformed input gives U+FFFD. A vocabulary file without a decoder shows token strings joined by one space, as its library does.
+Decoding. ``TextDecoder`` maps ids to their bytes and feeds a UTF-8 state machine that holds back at most three
+bytes; malformed input gives U+FFFD. A vocabulary file without a decoder shows token strings joined by one space, as its library does;
+they go through the same machine.
 
 Defined cases. Null text: empty, no ids. The strings of added tokens in a text become those tokens' ids. Lone surrogates cannot
 occur in Spark strings. Texts of any length are worked on in pieces cut at white space.
@@ -23,7 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -196,6 +197,10 @@ class Encoder:
         np.cumsum(v * up[: len(v)], out=sums[1:])
         h = (sums[b] - sums[a]) * down[a]
         _, one, back = np.unique(h, return_index=True, return_inverse=True)
+        # A hash only groups; the letters decide. Whoever differs from its group's first goes on its own.
+        wrong = self._unlike(points, a, b, one[back])
+        back[wrong] = len(one) + np.arange(len(wrong))
+        one = np.append(one, wrong)
         memo, runs = self.memo, []
         for i, j in zip(a[one].tolist(), b[one].tolist()):
             w = text[i:j]
@@ -214,6 +219,17 @@ class Encoder:
         ends = np.cumsum(count)
         return flat[np.repeat(at - ends + count, count) + np.arange(int(ends[-1]))], a, count
 
+    @staticmethod
+    def _unlike(points: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which pre-tokens a:b are not letter by letter the one at ``first``."""
+        size = b - a
+        even = size == size[first]
+        some = np.flatnonzero(even & (first != np.arange(len(a))))
+        n = size[some]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        other = points[np.repeat(a[some], n) + step] != points[np.repeat(a[first[some]], n) + step]
+        return np.union1d(np.flatnonzero(~even), np.repeat(some, n)[other])
+
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
@@ -278,35 +294,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextDecoder:
-    """Ids to text, piece by piece: at most three bytes of an unfinished character are held back."""
+    """Ids to text, block by block: at most three bytes of an unfinished character are held back between blocks.
 
-    def __init__(self, voc: Vocabulary):
-        self.table = {i: voc.bytes_of(i) for i in voc.tokens}
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+    With ``shown`` the text is what the file's own library shows: token strings joined by one space where the file has no decoder.
+    """
 
-    def feed(self, ids: Iterable[int]) -> Iterator[str]:
-        for i in ids:
-            if piece := self.machine.decode(self.table[i]):
+    def __init__(self, voc: Vocabulary, shown: bool = False):
+        plain = shown and not voc.has_decoder
+        self.table = [b""] * (max(voc.tokens) + 1)
+        for i, t in voc.tokens.items():
+            self.table[i] = t.encode() if plain else voc.bytes_of(i)
+        self.gap = b" " if plain else b""
+
+    def feed(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        ids, lead = iter(ids), b""
+        while part := list(map(self.table.__getitem__, islice(ids, block))):
+            if piece := machine.decode(lead + self.gap.join(part)):
                 yield piece
-        if rest := self.machine.decode(b"", True):
+            lead = self.gap
+        if rest := machine.decode(b"", True):
             yield rest
 
 
-class LibraryText:
-    """What the file's own library shows for ids: token strings joined by a space, or text where the file has a decoder."""
-
-    def __init__(self, voc: Vocabulary):
-        self.voc = voc
-        self.pieces = [b""] * (max(voc.tokens) + 1)
-        for i, t in voc.tokens.items():
-            self.pieces[i] = t.encode()
-
-    def utf8(self, ids: list[int]) -> bytes:
-        if self.voc.has_decoder:
-            return "".join(TextDecoder(self.voc).feed(ids)).encode()
-        return b" ".join(map(self.pieces.__getitem__, ids))
-
-
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 

@@ -30,9 +30,9 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     """``(id, text)``: the text that the ids stand for, by the incremental decoder; null ids give null."""
 
     def run(batches):
-        voc = bpe.encoder(vocabulary).voc
+        back = bpe.TextDecoder(bpe.encoder(vocabulary).voc)
         for batch in batches:
-            text = [None if ids is None else "".join(bpe.TextDecoder(voc).feed(ids)) for ids in batch.column(1).to_pylist()]
+            text = [None if ids is None else "".join(back.feed(ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["id", "text"])
 
     src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
@@ -45,13 +45,20 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         enc = bpe.encoder(vocabulary)
-        shown = bpe.LibraryText(enc.voc)
-        decimal = [str(i).encode() for i in range(len(shown.pieces))]
+        back = bpe.TextDecoder(enc.voc, shown=True)
+        decimal = [str(i).encode() for i in range(len(back.table))]
+
+        def text_digest(ids: list[int]) -> str:
+            digest = hashlib.sha256()
+            for piece in back.feed(ids):
+                digest.update(piece.encode())
+            return digest.hexdigest()
+
         for batch in batches:
             for part in pieces(batch):
                 rows = [x.tolist() for x in enc.batch(part.column(1).to_pylist())]
                 ids = [hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest() for x in rows]
-                text = [hashlib.sha256(shown.utf8(x)).hexdigest() for x in rows]
+                text = [text_digest(x) for x in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n", "a", "b"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -5,8 +5,9 @@ the front of long documents where they are tokenised; what remains of each docum
 dealt by hash over packing groups of a few hundred sequences, and each group is packed by itself: pieces in descending order
 go to the lowest-cost sequence with enough room; when none has room for the whole piece, the lowest-cost open sequence
 takes as much as it holds and the rest goes back in line. A group opens exactly as many places as it has tokens: full
-sequences and, for the last part, sequences of power-of-two lengths, so nothing is padded. Groups have a bounded size
-for any input: no document, source or key can make one large.
+sequences and, for the last part, sequences of power-of-two lengths, so nothing is padded. A piece's group follows from the place of its row in
+the scan (partition and number), not from its values, so that no document, source or key, nor any number of equal rows, can make a group large.
+The input must be a stored table, whose scan gives its rows in one order; write other inputs first.
 
 Defined cases. Null or empty text: just the end token. Rows that repeat a doc_id are packed each on its own. Null doc_id is packed, too.
 """
@@ -18,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPA
     def tokenise(batches):
         enc = bpe.encoder(vocabulary)
         wide = max(enc.voc.tokens) > 0xFFFF
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch):
-                rows = {k: [] for k in ("row", "start", "length", "crc", "tokens", "ids")}
+                rows = {k: [] for k in ("row", "start", "length", "crc", "tokens", "ids", "place")}
                 for r, ids in enumerate(enc.batch(part.column(1).to_pylist())):
                     ids = np.append(ids, np.uint32(end_id))
                     n = len(ids)
@@ -82,11 +85,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPA
                     for a in [*range(0, cut, capacity), *([cut] if cut < n else [])]:
                         whole = a < cut
                         piece = ids[a : a + capacity]
-                        for k, v in (("row", r), ("start", a), ("length", len(piece)), ("crc", _crc(piece) if whole else None), ("tokens", n), ("ids", None if whole else piece.astype("<u4" if wide else "<u2").tobytes())):
+                        for k, v in (("row", r), ("start", a), ("length", len(piece)), ("crc", _crc(piece) if whole else None), ("tokens", n), ("ids", None if whole else piece.astype("<u4" if wide else "<u2").tobytes()), ("place", place + r)):
                             rows[k].append(v)
+                place += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows["row"], pa.int64())), *(pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc", "tokens")), pa.array(rows["ids"], pa.binary())],
-                    ["doc_id", "start", "length", "crc", "tokens", "ids"],
+                    [part.column(0).take(pa.array(rows["row"], pa.int64())), *(pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc", "tokens")), pa.array(rows["ids"], pa.binary()), pa.array(rows["place"], pa.int64())],
+                    ["doc_id", "start", "length", "crc", "tokens", "ids", "place"],
                 )
 
     def pack_group(key, table: pa.Table) -> pa.Table:
@@ -112,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPA
         ]
         return pa.Table.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
-    parts = src.mapInArrow(tokenise, f"doc_id {kind}, start long, length long, crc long, tokens long, ids binary")
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "tokens", "crc", F.substring("ids", 1, 64)), F.lit(groups)))
+    parts = src.mapInArrow(tokenise, f"doc_id {kind}, start long, length long, crc long, tokens long, ids binary, place long")
+    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("place", "start"), F.lit(groups))).drop("place")
     out = dealt.groupBy("grp").applyInArrow(lambda key, t: pack_group(key, t.drop_columns(["grp"])), _COLUMNS.format(kind=kind))
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

@@ -6,35 +6,24 @@ multi-byte UTF-8 sequence, so bytes can be scanned as they are. With ``fold`` A-
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 1 << 18
-_BASE = int(0x9E3779B97F4A7C15)
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+#: Words longer than this many bytes are hashed one by one.
+LONG = 256
+_PLAIN = np.arange(256, dtype=np.uint8)
+_FOLDED = _PLAIN.copy()
+_FOLDED[65:91] = _PLAIN[97:123]
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but ASCII letters and the bytes of non-ASCII characters.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64; grown when one word is longer than a segment."""
-    if not _tables or len(_tables[0]) < n:
-        size = max(n, SEGMENT)
-        pair = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        _tables[:] = pair
-    return _tables[0], _tables[1]
+#: The low n bytes of a lane.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,50 +67,46 @@ class Words:
         self.end = np.flatnonzero(ends) + lo + 1
         self.first = np.searchsorted(self.start, off)
         self.buf, self.offsets = buf, off
-        self.h = _hash(buf, self.start, self.end, _FOLDED if fold else _BYTE)
-
-
-def _hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        lo = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, lo + SEGMENT, side="right")))
-        seg = buf[lo : int(end[j - 1])]
-        n = len(seg)
-        up, down = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[seg] * up[:n], out=sums[1:])
-        a, b = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * down[a]
-        i = j
+        self.h = _hash(buf, self.start, self.end, _FOLDED if fold else _PLAIN)
+
+
+def _hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: lanes of eight bytes, mixed one after the other; a digest for very long words."""
+    size = end - start
+    out = size.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    if not len(start):
+        return out
+    lo = int(start[0])
+    own = np.concatenate([letters[buf[lo : int(end[-1])]], np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(own) - 7, "<u8", own, strides=(1,))
+    rows = np.flatnonzero(size <= LONG)
+    at, left = start[rows] - lo, size[rows]
+    while len(rows):
+        h = (out[rows] ^ (lanes[at] & _LOW[np.minimum(left, 8)])) * U(0xC2B2AE3D27D4EB4F)
+        out[rows] = h ^ (h >> U(32))
+        more = np.flatnonzero(left > 8)
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        word = own[start[i] - lo : end[i] - lo].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     return mix(out)
 
 
-
-
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-word windows of ``h`` (empty when there are fewer words)."""
+    """Hashes of all k-word windows of ``h`` (empty when there are fewer words), put together from windows of powers of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
-    for i in range(k):
-        acc = acc * U(0xC2B2AE3D27D4EB4F) + h[i : i + n]
-    return mix(acc)
-
-
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost smallest value of each window of ``w`` values."""
-    n = len(x) - w + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(x, w)
-    out = np.empty(n, np.int64)
-    for a in range(0, n, 1 << 15):
-        part = view[a : a + (1 << 15)]
-        out[a : a + len(part)] = part.argmin(1) + np.arange(a, a + len(part))
-    return out
+    out, at, size = None, 0, 1
+    while True:
+        if k & size:
+            part = h[at : at + n]
+            out = part.copy() if out is None else mix(out * U(0xC2B2AE3D27D4EB4F) + part)
+            at += size
+        if 2 * size > k:
+            return mix(out)
+        h = mix(h[:-size] * U(0x9E3779B97F4A7C15) + h[size:])
+        size *= 2
 
 
 def chunks(batch: pa.RecordBatch, col: int, most: int = 1 << 22):
