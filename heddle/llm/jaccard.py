@@ -13,7 +13,9 @@ Documents become sets of 64-bit shingle keys; equal sets are one point. The join
    their ordered windows still allow, and the triangle inequality to a common pivot; the rest is measured exactly.
 
 Each measure is an exact set intersection, and each discarded pair is provably too far apart, so the classes are exact. Links inside a
-class are spanning ones. The order of the shingles affects only speed: it comes from counts in a bounded sample of documents.
+class are spanning ones. The order of the shingles comes from their counts over all documents, so cells do not grow with the corpus: a key held
+by fewer than ``LEAST`` documents makes a cell no larger than that. The counted keys are broadcast up to ``order_most`` of them; beyond, each
+text gets those of its own shingles by a join.
 
 Defined cases. Null, empty or blank text: empty set, no links. Fewer than ``k`` words: the whole sequence is the one shingle. Null
 doc_id: no part in the join, null component. Rows that repeat a doc_id are one document; it links where one of its texts does.
@@ -30,15 +32,18 @@ from .common import BROADCAST_IDS, connected_components, drop_ids, materialize,
 from .words import Words, chunks, mix, windows
 
 #: Bits of a key below its frequency class.
-BITS = 60
+BITS = 58
+#: Shingles counted at least this often come later in the order, by the logarithm of their count.
+LEAST = 8
 PIVOTS = 8
 #: Cells with more members than this are cut into blocks of about BLOCK.
 LARGE_CELL = 32
 BLOCK = 1024
+SLAB = 2048
 
 
 def _sets(batch: pa.RecordBatch, col: int, k: int) -> list[np.ndarray]:
-    """The distinct shingle keys (60 bits) of each row."""
+    """The distinct shingle keys (58 bits) of each row."""
     w = Words(batch.column(col))
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
@@ -55,42 +60,65 @@ def _ordered(keys: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndar
     return keys.astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, k: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur at least twice in about ``sample`` documents, the ``most`` commonest at most, with frequency classes 1 to 7.
+def common_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """``(key, level)`` of the shingles that count ``LEAST`` or more over all documents; the level is the logarithm of the count.
 
-    Only the order of the shingles, and so the speed of the join, depends on it.
+    Keys are counted within a task's chunk first, up to 63, which shares a word with the key; so a common shingle leaves each chunk as one row.
     """
-    every = max(1, docs.count() // sample)
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, 1):
-                sets = _sets(part, 1, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.astype(np.int64) for x in sets]) if sets else np.zeros(0, np.int64))], ["key"])
+            for part in chunks(batch, 0):
+                sets = _sets(part, 0, k)
+                keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(6) | np.minimum(n, 63).astype(np.uint64)).view(np.int64))], ["x"])
+
+    key = F.shiftrightunsigned("x", 6)
+    rows = docs.where("text is not null").select("text").mapInArrow(run, "x long").repartition(key)
+    counts = rows.groupBy(key.alias("key")).agg(F.sum(F.col("x").bitwiseAND(63)).alias("n")).where(F.col("n") >= LEAST)
+    return counts.select("key", F.least(F.floor(F.log2("n")), F.lit(31)).alias("level"))
+
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(every)) == 0).select("doc_id", "text")
-    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "key").limit(most).select("key", F.least(F.floor(F.log2("n")), F.lit(7)).cast("int").alias("level")).toArrow()
-    keys, level = top.column("key").to_numpy().astype(np.uint64), top.column("level").to_numpy().astype(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], level[order]
+def with_common(docs: DataFrame, common: DataFrame, k: int) -> DataFrame:
+    """``docs`` with ``common``: the counted shingles of the row's text as ``(key, level)``, by joins on key and text hash."""
 
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, 2):
+                sets = _sets(part, 2, k)
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                keys = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(keys)], ["h1", "h2", "key"])
 
-def points(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, p, edge, plain, head)``: set size, fingerprint, window length, its last key, how many of its keys are rare, the window."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    hashed = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+    held = hashed.where("text is not null").select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, key long").join(common, "key")
+    own = held.groupBy("h1", "h2").agg(F.collect_set(F.struct("key", "level")).alias("common"))
+    return hashed.join(own, ["h1", "h2"], "left").select("doc_id", "text", "common")
+
+
+def points(docs: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
+    """``(doc_id, n, f1, f2, p, edge, plain, head)``: set size, fingerprint, window length, its last key, how many of its keys are rare, the window.
+
+    Counted shingles come from the broadcast ``shared`` (sorted keys, levels), or from the column ``common`` where that is None.
+    """
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 1):
                 n, f1, f2, p, edge, plain, heads = [], [], [], [], [], [], []
-                for keys in _sets(part, 1, k):
+                own = part.column(2).to_pylist() if shared is None else None
+                for i, keys in enumerate(_sets(part, 1, k)):
                     size = len(keys)
                     m = mix(keys)
                     n.append(size)
                     f1.append(int(m.sum().astype(np.int64)) if size else 0)
                     f2.append(int(mix(m ^ np.uint64(0x5DEECE66D)).sum().astype(np.int64)) if size else 0)
-                    ordered = _ordered(keys, *shared.value)
+                    if own is None:
+                        known = shared.value
+                    else:
+                        pairs = sorted((x["key"], x["level"]) for x in own[i] or [])
+                        known = np.array([x for x, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.uint64)
+                    ordered = _ordered(keys, *known)
                     plain.append(int(np.searchsorted(ordered, 1 << BITS)))
                     head = ordered[: size - (num * size + den - 1) // den + 1] if size else ordered
                     p.append(len(head))
@@ -99,7 +127,8 @@ def points(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, num:
                 arrays = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2, p, edge, plain)), pa.array(heads, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "f1", "f2", "p", "edge", "plain", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, p long, edge long, plain long, head array<long>")
+    cols = ["doc_id", "text"] + (["common"] if shared is None else [])
+    return docs.select(*cols).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, p long, edge long, plain long, head array<long>")
 
 
 def _only(df: DataFrame, col: str, ids: DataFrame, n: int) -> DataFrame:
@@ -145,34 +174,45 @@ def block_pairs(large: DataFrame, heads: DataFrame, num: int, den: int, block: i
         keys, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
         number = np.cumsum(times > 1) - 1
         some = times[inverse] > 1
-        grid = np.zeros((len(rep), int((times > 1).sum())), np.float32)
-        grid[np.repeat(np.arange(len(rep)), sizes)[some], number[inverse[some]]] = 1
+        member, column = np.repeat(np.arange(len(rep)), sizes)[some], number[inverse[some]]
         before = int((keys[times > 1] < key).sum())
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        xs, ys = [], []
-        for lo in range(0, len(a), 256):
-            u = a[lo : lo + 256]
-            c = np.rint(grid[u] @ grid[b].T).astype(np.int64)
-            earlier = grid[u, :before] @ grid[b, :before].T > 0.5
-            nu, nb_ = n[u][:, None], n[b][None, :]
-            reach = np.where(edge[u][:, None] <= edge[b][None, :], (n - p)[u][:, None], (n - p)[b][None, :])
-            ok = ~earlier & (comp[u][:, None] != comp[b][None, :]) & (nu * den >= nb_ * num) & (nb_ * den >= nu * num) & ((num + den) * (c + reach) >= num * (nu + nb_))
-            if i == j:
-                ok &= rep[u][:, None] < rep[b][None, :]
-            q, r = np.nonzero(ok)
-            xs.append(np.minimum(rep[u[q]], rep[b[r]]))
-            ys.append(np.maximum(rep[u[q]], rep[b[r]]))
+        c, earlier = np.zeros((len(a), len(b)), np.float32), np.zeros((len(a), len(b)), bool)
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        for lo in range(0, int((times > 1).sum()), SLAB):  # shared keys, some columns at a time
+            x, y = np.searchsorted(column, [lo, lo + SLAB])
+            grid = np.zeros((len(rep), SLAB), np.float32)
+            grid[member[x:y], column[x:y] - lo] = 1
+            c += grid[a] @ grid[b].T
+            if lo < before:
+                earlier |= grid[a, : before - lo] @ grid[b, : before - lo].T > 0.5
+        c = np.rint(c).astype(np.int64)
+        nu, nb_ = n[a][:, None], n[b][None, :]
+        reach = np.where(edge[a][:, None] <= edge[b][None, :], (n - p)[a][:, None], (n - p)[b][None, :])
+        ok = ~earlier & (comp[a][:, None] != comp[b][None, :]) & (nu * den >= nb_ * num) & (nb_ * den >= nu * num) & ((num + den) * (c + reach) >= num * (nu + nb_))
+        if i == j:
+            ok &= rep[a][:, None] < rep[b][None, :]
+        q, r = np.nonzero(ok)
+        xs, ys = [np.minimum(rep[a[q]], rep[b[r]])], [np.maximum(rep[a[q]], rep[b[r]])]
         return pa.Table.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (xs, ys)], ["x", "y"])
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "x long, y long").where("x <> y")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", order_sample: int = 32768, order_most: int = 500_000, large_cell: int = LARGE_CELL, block: int = BLOCK) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", order_most: int = 4_000_000, large_cell: int = LARGE_CELL, block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)`` for every row: ``class_id`` is the smallest doc_id with an equal set,
     ``component_id`` the smallest reachable by links of similarity num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = common_shingles(docs, k, order_sample, order_most)
-    pts = materialize(points(docs, common, k, num, den), "points")
+    common = materialize(common_shingles(docs, k), "common-shingles")
+    if common.count() <= order_most:
+        found = common.toArrow()
+        keys, level = (found.column(c).to_numpy().astype(np.uint64) for c in ("key", "level"))
+        order = np.argsort(keys)
+        pts = points(docs, docs.sparkSession.sparkContext.broadcast((keys[order], level[order])), k, num, den)
+    else:
+        pts = points(with_common(docs, common, k), None, k, num, den)
+    pts = materialize(pts, "points")
     slim = pts.select("doc_id", "n", "f1", "f2")
     some = slim.where("doc_id is not null and n > 0")
     reps = materialize(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "reps")

@@ -160,7 +160,7 @@ def test_jaccard(docs):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     want = sorted(((d, len(s), None if d is None else find(d)) for d, s in sets), key=str)
-    for how in ({}, {"order_sample": 20, "large_cell": 2, "block": 9}):
+    for how in ({}, {"order_most": 0, "large_cell": 2, "block": 9}):
         got = jaccard.jaccard_classes(docs, **how)
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == want
     kept = jaccard.drop_near_duplicates(docs)
@@ -169,6 +169,22 @@ def test_jaccard(docs):
     assert jaccard.jaccard_classes(docs.where("false")).count() == 0
 
 
+def test_jaccard_of_words_that_polynomial_hashes_confuse(spark):
+    words = ["a"]
+    for _ in range(13):
+        words.append(words[-1] + words[-1].translate(str.maketrans("ab", "ba")))
+    rows = [w for x in words[10:] for w in (x, x.translate(str.maketrans("ab", "ba")))]
+    got = jaccard.jaccard_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_shingle_counts_cover_all_documents(spark, docs):
+    """Every shingle that ``LEAST`` or more rows hold gets a level, by whatever partitions; no other does."""
+    want = collections.Counter(s for _, t in corpus() for s in shingles(t))
+    got = [r["level"] for r in jaccard.common_shingles(docs, 5).collect()]
+    assert sorted(got) == sorted(n.bit_length() - 1 for n in want.values() if n >= jaccard.LEAST)
+
+
 # --- passages ------------------------------------------------------------------------------------
 
 
