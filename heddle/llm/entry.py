@@ -52,7 +52,7 @@ PII_KEY = b"heddle demonstration key"
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.anonymise(docs, PII_KEY).select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
+    return pii.anonymise(docs, PII_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

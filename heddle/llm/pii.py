@@ -7,11 +7,12 @@ case and script, card numbers keep a valid check digit where the original had on
 
 Distinctness: all canonical forms of the corpus are gathered, without texts, in a distributed distinct. Surrogates that two entities
 share, or that equal some real entity, are drawn again with the next attempt number for all but the smallest of the entities, until none is left
-(names grow with the attempt; types of a fixed length stop with an error when ``rounds`` draws have not sufficed). Only entities
+(names grow with the attempt; addresses move on to larger ranges; types of a fixed length stop with an error when ``rounds`` draws have not sufficed, which means
+that the corpus holds nearly all there are). Who keeps a surrogate is a map-side combined minimum, so no task gathers the entities of one. Only entities
 with an attempt over 0 need to travel to the rewriting stage: as a broadcast while few, else joined to the rows that hold them.
 
 Defined cases. Null text stays null. Empty text and text without entities stay as they are. Rows are independent of their ids, so null or
-repeated ids and any extra columns pass through.
+repeated ids and any extra columns pass through. A column named like ``count_col`` is replaced by the count, when one is asked for.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import hmac
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,7 @@ NAMES = {
     ("family", "latin"): ["Albers", "Brandt", "Castel", "Duarte", "Ekholm", "Farago", "Gomes", "Hartog", "Ibsen", "Jansky", "Keller", "Lindner", "Moreau", "Novak", "Olsen", "Prieto"],
     ("family", "cyrillic"): ["Белов", "Громов", "Зимин", "Котов", "Лебедев", "Морозов", "Орлов", "Соколов"],
 }
-#: Letters of the syllables that later attempts add.
+#: Letters of the syllables that family names get.
 SYLLABLES = {"latin": ("bdfghklmnprstvwz", "aeio"), "cyrillic": ("бвгдзклмнпрстфхч", "аеио")}
 MALE = {"mr", "herr", "señor", "sr", "monsieur", "г-н"}
 FEMALE = {"mrs", "ms", "miss", "frau", "señora", "sra", "mme", "madame", "г-жа"}
@@ -64,27 +65,31 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text as ``(start, end, type, canonical form)``, in order, without overlaps; earlier types win."""
     out: list[tuple[int, int, str, str]] = []
 
-    def add(a: int, b: int, kind: str, canon: str) -> None:
-        if all(b <= x[0] or a >= x[1] for x in out):
-            out.append((a, b, kind, canon))
+    def add(found: list[tuple[int, int, str, str]]) -> None:
+        """Merges finds of one type, which come in order, where nothing earlier lies."""
+        nonlocal out
+        free, i = [], 0
+        for x in found:
+            while i < len(out) and out[i][1] <= x[0]:
+                i += 1
+            if i == len(out) or x[1] <= out[i][0]:
+                free.append(x)
+        out = sorted(out + free) if free else out
 
     if "=" in text or ":" in text:
-        for m in SECRET.finditer(text):
-            if _DIGIT.search(m[1]):
-                add(*m.span(1), "secret", m[1].lower())
+        add([(*m.span(1), "secret", m[1].lower()) for m in SECRET.finditer(text) if _DIGIT.search(m[1])])
     if "@" in text:
-        for m in MAIL.finditer(text):
-            add(*m.span(), "mail", m[0].lower())
+        add([(*m.span(), "mail", m[0].lower()) for m in MAIL.finditer(text)])
     if _DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
-            for m in pattern.finditer(text):
-                add(*m.span(), kind, m[0] if kind == "ip" else _PLAIN.sub("", m[0]).upper())
+            add([(*m.span(), kind, m[0] if kind == "ip" else _PLAIN.sub("", m[0]).upper()) for m in pattern.finditer(text)])
+    people = []
     for m in PERSON.finditer(text):
-        title = m[1].lower()
-        gender = "m" if title in MALE else "f"
+        gender = "m" if m[1].lower() in MALE else "f"
         script = "cyrillic" if re.search(r"[А-Яа-яЁё]", m[2]) else "latin"
-        add(*m.span(2), f"person-{gender}-{script}", m[2].lower())
-    return sorted(out)
+        people.append((*m.span(2), f"person-{gender}-{script}", m[2].lower()))
+    add(people)
+    return out
 
 
 class Stream:
@@ -121,11 +126,12 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         words = canon.split(" ")
         new = ([names[s.below(len(names))]] if len(words) > 1 else []) + [family[s.below(len(family))]]
         first, second = SYLLABLES[script]
-        for _ in range(attempt):  # short lists run out: each attempt has a syllable more, so there is no end of names
+        for _ in range(attempt + (1 if len(words) > 1 else 2)):  # each attempt has a syllable more, so there is no end of names
             new[-1] += first[s.below(len(first))] + second[s.below(len(second))]
         return " ".join(new).lower()
     if kind == "ip":
-        return ".".join(["10", *(str(s.below(256)) for _ in range(3))])
+        lead = 10 if attempt == 0 else 240 + s.below(15) if attempt < 3 else 1 + s.below(254)
+        return ".".join([str(lead), *(str(s.below(256)) for _ in range(3))])
     if kind == "mail":
         local, _, domain = canon.partition("@")
         name = "".join(str(s.below(10)) if c.isdigit() else _letter(c, s, False) for c in local)
@@ -202,9 +208,9 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
     turn = 0
     while True:
         # An entity drawn earlier keeps its surrogate before one that was drawn again; then the smaller form goes first.
-        order = Window.partitionBy(F.split("kind", "-")[0], "new").orderBy("attempt", "canon", "kind")
-        taken = drawn.withColumn("nth", F.row_number().over(order))
-        taken = taken.join(real, (F.split("kind", "-")[0] == F.split("rk", "-")[0]) & (taken["new"] == real["rc"]), "left_semi").select("kind", "canon").union(taken.where("nth > 1").select("kind", "canon")).distinct()
+        first = drawn.groupBy(F.split("kind", "-")[0].alias("type"), "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("v"))
+        keepers = first.join(real, (first["type"] == F.split("rk", "-")[0]) & (first["new"] == real["rc"]), "left_anti").select("v.kind", "v.canon")
+        taken = drawn.select("kind", "canon").join(keepers, ["kind", "canon"], "left_anti")
         taken = materialize(taken, "taken")
         if taken.isEmpty():
             break
@@ -216,25 +222,30 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
     return drawn.where("attempt > 0").select("kind", "canon", "attempt")
 
 
-def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with rewritten texts and a new last column ``_n_entities`` (in place of one of that name); other columns as they are."""
+def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with rewritten texts and, where ``count_col`` names one, a last column with the number of entities; other columns as they are."""
     spark = docs.sparkSession
     known = materialize(entities(docs, text_col), "entities")
     moved = materialize(attempts_needed(known, key), "attempts")
     n = moved.count()
-    docs = docs.drop("_n_entities")
+    if count_col is not None:
+        docs = docs.drop(count_col)
     names = docs.columns
     spot = names.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_entities", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(count_col, T.LongType())] if count_col is not None else [])])
+
+    def rewritten(cols: list, new: list[tuple[str | None, int]]) -> pa.RecordBatch:
+        cols[spot] = pa.array([x[0] for x in new], cols[spot].type)
+        counts = [] if count_col is None else [pa.array([x[1] for x in new], pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, *counts], [f.name for f in schema])
+
     if n <= broadcast_rows:
         table = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in moved.collect()} if n else {})
 
         def run(batches):
             for batch in batches:
                 new = [(None, 0) if t is None else rewrite(t, key, table.value) for t in batch.column(spot).to_pylist()]
-                cols = list(batch.columns)
-                cols[spot] = pa.array([x[0] for x in new], cols[spot].type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in new], pa.int64())], [f.name for f in schema])
+                yield rewritten(list(batch.columns), new)
 
         return docs.mapInArrow(run, schema)
     # Too many to broadcast: each text gets the attempts of its own entities by a join on the text's hash.
@@ -252,8 +263,6 @@ def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_row
         for batch in batches:
             moved_of = batch.column(len(names)).to_pylist()
             new = [(None, 0) if t is None else rewrite(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in m or []}) for t, m in zip(batch.column(spot).to_pylist(), moved_of)]
-            cols = list(batch.columns[:-1])
-            cols[spot] = pa.array([x[0] for x in new], cols[spot].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in new], pa.int64())], [f.name for f in schema])
+            yield rewritten(list(batch.columns[:-1]), new)
 
     return wide.mapInArrow(run_own, schema)

@@ -1,6 +1,8 @@
 """Surrogates: type, format, coreference, distinctness."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ def test_replacements_keep_type_format_and_coreference():
     assert a["JOHN.smith@Mail.com"].lower() == a["john.SMITH@mail.com"].lower() and a["JOHN.smith@Mail.com"][:4].isupper()
     assert a["4539 1488 0343 6467"].replace(" ", "") == a["4539148803436467"] and pii.luhn(a["4539148803436467"])
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a["+1 (017) 555-7713"])
-    assert a["John Smith"].split()[0] in pii.NAMES["m", "latin"]
+    assert a["John Smith"].split()[0] in pii.NAMES["m", "latin"] and a["John Smith"].split()[1].startswith(tuple(pii.NAMES["family", "latin"]))
     assert pii.rewrite(text, KEY, {})[0] == new and pii.rewrite(text, b"other", {})[0] != new
 
 
@@ -50,7 +52,8 @@ def rows():
 def test_distinct_entities_stay_distinct(spark, broadcast_rows):
     """More names than the short lists hold, so that attempts are needed, by both ways of carrying them."""
     df = spark.createDataFrame(rows(), "doc_id long, text string").select("*", *(F.lit("c").alias(c) for c in ("kind", "canon", "h", "t", "attempt", "_n_entities")))
-    out = pii.anonymise(df, KEY, broadcast_rows=broadcast_rows)
+    assert pii.anonymise(df, KEY, broadcast_rows=broadcast_rows).columns == df.columns
+    out = pii.anonymise(df, KEY, count_col="_n_entities", broadcast_rows=broadcast_rows)
     assert out.columns == [*df.columns[:-1], "_n_entities"]
     got = out.orderBy("doc_id", "text").collect()
     assert len(got) == len(rows()) and sum(r["text"] is None for r in got) == 1
@@ -61,17 +64,43 @@ def test_distinct_entities_stay_distinct(spark, broadcast_rows):
     assert pii.anonymise(df.where("false"), KEY, broadcast_rows=broadcast_rows).count() == 0
 
 
+def plain_find(text):
+    """The same entities by comparing every pair: types in order, a find stands where no earlier one overlaps."""
+    spans = []
+    for kind, pattern, group in (("secret", pii.SECRET, 1), ("mail", pii.MAIL, 0), ("ip", pii.IP, 0), ("iban", pii.IBAN, 0), ("ssn", pii.SSN, 0), ("card", pii.CARD, 0), ("phone", pii.PHONE, 0), ("person", pii.PERSON, 2)):
+        for m in pattern.finditer(text):
+            a, b = m.span(group)
+            if not (kind == "secret" and not re.search(r"\d", m[1])) and all(b <= x or a >= y for x, y, _ in spans):
+                spans.append((a, b, kind))
+    return sorted(spans)
+
+
+def test_overlaps_against_all_pairs():
+    parts = ["a.b@c.example.com", "10.20.30.40", "4539 1488 0343 6467", "+1 (017) 555-7713", "key api_key=9233A8ECF7C5B09F", "123-45-6789", "Mr. Jan Novak", "DE89 3704 0044 0532 0130 00", "token: +4917012345678", "x", "=", "12 34 56"]
+    rng = random.Random(3)
+    for _ in range(300):
+        text = rng.choice(["", " ", ", "]).join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert [(a, b, k.split("-")[0]) for a, b, k, _ in pii.find(text)] == plain_find(text)
+
+
+def test_many_entities_in_one_text_are_found_in_good_time():
+    text = " ".join(f"user{i}@mail{i % 97}.example.com 10.{i % 250}.{i // 250 % 250}.9" for i in range(30_000))
+    start = time.monotonic()
+    assert len(pii.find(text)) == 60_000 and time.monotonic() - start < 20
+
+
 def test_attempts_break_collisions(spark):
-    known = spark.createDataFrame([("person-m-latin", f"adam {chr(97 + i % 26)}{i}") for i in range(600)], "kind string, canon string")
+    known = spark.createDataFrame([("person-m-latin", f"adam {chr(97 + i % 26)}{i}") for i in range(6000)], "kind string, canon string")
     moved = {(r["kind"], r["canon"]): r["attempt"] for r in pii.attempts_needed(known, KEY).collect()}
     new = [pii.surrogate(KEY, r["kind"], r["canon"], moved.get((r["kind"], r["canon"]), 0)) for r in known.collect()]
-    assert moved and len(set(new)) == 600
+    assert moved and len(set(new)) == 6000
 
 
 def test_names_do_not_run_out(spark):
     """More one-word Cyrillic names than family names times any fixed number of attempts."""
-    known = spark.createDataFrame([("person-m-cyrillic", f"а{chr(0x430 + i % 30)}{chr(0x430 + i // 30)}") for i in range(900)], "kind string, canon string")
+    names = [f"а{chr(0x430 + i % 30)}{chr(0x430 + i // 30 % 30)}{chr(0x430 + i // 900)}" for i in range(20_000)]
+    known = spark.createDataFrame([("person-m-cyrillic", n) for n in names], "kind string, canon string")
     moved = {r["canon"]: r["attempt"] for r in pii.attempts_needed(known, KEY).collect()}
     new = {pii.surrogate(KEY, r["kind"], r["canon"], moved.get(r["canon"], 0)) for r in known.collect()}
-    assert len(new) == 900 and max(moved.values()) < 10
+    assert len(new) == 20_000 and max(moved.values()) < 10 and not new & set(names)
     assert all(kinds(f"г-н {x.capitalize()}") == [("person-m-cyrillic", x.capitalize())] for x in new)
