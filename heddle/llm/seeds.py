@@ -11,14 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .words import Words, chunks, windows
+from .common import materialize, small
+from .words import Words, chunks, mix, windows
 
 BROADCAST_ROWS = 400_000
 
-#: Occurrences of one seed that are paired in one piece.
-BLOCK = 1_000
-
 
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
@@ -31,7 +28,8 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = slim.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
     classes = one.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     kept = classes.select(F.col("rep").alias("doc_id"), "h1", "h2")
-    copies = materialize(one.join(classes.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    many = small(materialize(classes.where("n > 1").select("h1", "h2", "rep"), "copied"), BROADCAST_ROWS)
+    copies = materialize(one.join(many, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
     out = materialize(slim.join(kept, ["doc_id", "h1", "h2"], "left_anti"), "left-out")
     n = out.count()
     out = F.broadcast(out) if n <= BROADCAST_ROWS else out
@@ -176,20 +174,58 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return both.select("h", "doc", "pos", "odoc", "opos")
 
 
-def all_links(rows: DataFrame) -> DataFrame:
-    """``(doc, pos, odoc, opos)``, doc > odoc: every pair of occurrences of a seed in two documents, each once.
+def hot_seeds(shared: DataFrame, few: int, pivots: int) -> DataFrame:
+    """``(h, pivots)`` of the seeds with more than ``few`` occurrences: the first occurrences under several global priorities of documents.
+
+    Documents of one family so share their pivots over all their seeds. Only minima and counts are gathered.
+    """
+    first = F.array(*(F.min(F.struct(F.xxhash64(F.lit(j), "doc").alias("p"), "doc", "pos")) for j in range(pivots)))
+    found = shared.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first.alias("x")).where(F.col("n") > few)
+    return materialize(found.select("h", F.array_distinct(F.transform("x", lambda x: F.struct(x["doc"].alias("doc"), x["pos"].alias("pos")))).alias("pivots")), "hot-seeds")
+
+
+def close_links(rows: DataFrame, *more: str) -> DataFrame:
+    """All pairs of occurrences of a key in two documents, for keys known to have few: ``(h, doc, pos, odoc, opos)`` with doc > odoc, and ``more`` columns of both."""
+    cols = ("doc", "pos", *more)
+    other = rows.select("h", *(F.col(c).alias(f"o{c}") for c in cols))
+    return rows.select("h", *cols).join(other, "h").where("doc > odoc")
+
+
+def uncovered(hot_rows: DataFrame, star: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """``(h, doc, pos)`` of the hot occurrences that no pivot stands for.
 
-    Seeds that one document holds alone drop out first. A seed of many occurrences is dealt into blocks of about ``BLOCK`` of them by document; each
-    pair of blocks is a join key of its own, so no task has more than about BLOCK squared pairs of a seed, and hot seeds spread over all tasks.
+    ``star`` links occurrences to pivots, ``spans`` are the passages found. A pivot stands for an occurrence when a passage of both texts holds the seed at both places.
     """
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
-    shared = shared.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    held = rows.join(shared, "h").withColumn("x", F.pmod(F.xxhash64("doc", "h"), F.col("blocks")).cast("int"))
-    held = held.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = materialize(held.select("h", F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"), "x", "doc", "pos"), "holders")
-    other = held.select("h", "c1", "c2", F.col("x").alias("ox"), F.col("doc").alias("odoc"), F.col("pos").alias("opos"))
-    pairs = held.join(other, ["h", "c1", "c2"]).where("doc > odoc and (c1 = c2 or x <> ox)")
-    return pairs.select("doc", "pos", "odoc", "opos")
+    cols = ("doc_id", "start_word", "n_words", "other_doc_id", "other_start_word", "other_n_words")
+    names = ("x", "xs", "xn", "y", "ys", "yn")
+    one = spans.select(*(F.col(c).alias(n) for c, n in zip(cols, names)))
+    both = one.union(spans.select(*(F.col(c).alias(n) for c, n in zip(cols[3:] + cols[:3], names)))).withColumnsRenamed({"x": "doc", "y": "pdoc"})
+    inside = F.col("pos").between(F.col("xs"), F.col("xs") + F.col("xn") - k) & F.col("ppos").between(F.col("ys"), F.col("ys") + F.col("yn") - k)
+    held = star.join(both, ["doc", "pdoc"]).where(inside).select("h", "doc", "pos")
+    own = star.select("h", F.col("pdoc").alias("doc"), F.col("ppos").alias("pos"))
+    return hot_rows.join(held.union(own).distinct(), ["h", "doc", "pos"], "left_anti")
+
+
+def context_grams(docs: DataFrame, spots: DataFrame, k: int, reach: int, size: int = 3) -> DataFrame:
+    """``(h, doc, pos, gpos)``: for each seed occurrence in ``spots`` the ``size``-word grams within ``reach`` words left and right of it; h joins seed and gram."""
+    asked = spots.groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, 1):
+                words = Words(part.column(1))
+                for i, (lo, hi, wanted) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), part.column(2).to_pylist())):
+                    grams = windows(words.h[lo:hi], size)
+                    h = np.array([x["h"] for x in wanted], np.int64).astype(np.uint64)
+                    pos = np.array([x["pos"] for x in wanted], np.int64)
+                    at = pos[:, None] + np.concatenate([np.arange(-reach, 1 - size), np.arange(k, k + reach - size + 1)])[None, :]
+                    row, col = np.nonzero((at >= 0) & (at < len(grams)))
+                    spot = at[row, col]
+                    key = mix(h[row] * np.uint64(0x9E3779B97F4A7C15) + grams[spot])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), part.column(0).take(pa.array(np.full(len(row), i))), pa.array(pos[row].astype(np.int32)), pa.array(spot.astype(np.int32))], ["h", "doc", "pos", "gpos"])
+
+    with_text = docs.join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "asked")
+    return with_text.mapInArrow(run, "h long, doc long, pos int, gpos int")
 
 
 def fetch_words(docs: DataFrame, requests: DataFrame) -> DataFrame:

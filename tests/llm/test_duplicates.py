@@ -370,9 +370,8 @@ def test_chaining_splits_chains_at_wide_gaps(spark):
     assert len(got) == 4 and all(min(x["n_words"], x["other_n_words"]) >= 50 and x["identity"] >= 0.75 for x in got)
 
 
-def test_chaining_links_all_holders_of_a_seed(spark, monkeypatch):
+def test_chaining_links_all_holders_of_a_seed(spark):
     """Two copies of a passage whose only kept seeds many documents between them hold too, and the later copy again in a short snippet."""
-    monkeypatch.setattr(seeds, "BLOCK", 4)
     rng = random.Random(4)
     make = lambda n: [f"s{rng.randrange(10**6)}" for _ in range(n)]
     phrase, before, after = make(17), make(24), make(25)
@@ -384,13 +383,55 @@ def test_chaining_links_all_holders_of_a_seed(spark, monkeypatch):
     assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(50, 1)}
 
 
-def test_all_links(spark, monkeypatch):
-    rng = random.Random(6)
-    rows = sorted({(rng.choice([1, 1, 1, 2, 3]), rng.randrange(12), rng.randrange(9)) for _ in range(150)})
-    want = sorted((d, p, e, q) for h, d, p in rows for g, e, q in rows if h == g and d > e)
-    for size in (1_000, 7, 1):
-        monkeypatch.setattr(seeds, "BLOCK", size)
-        assert sorted(map(tuple, seeds.all_links(spark.createDataFrame(rows, "h long, doc long, pos int")).collect())) == want
+def family(rng, members, rate):
+    """Copies of one text, each with its own edits and its own surroundings."""
+    make = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    base = make(150)
+    return [make(rng.randrange(5, 40)) + [x if rng.random() > rate else make(1)[0] for x in base] + make(rng.randrange(5, 40)) for _ in range(members)]
+
+
+def test_chaining_of_a_large_family(spark):
+    """Every member is linked or of one class; the rows stay far from all pairs; a passage of one member's own is found, too."""
+    rng = random.Random(12)
+    texts = family(rng, 120, 0.03)
+    own = [f"o{i}" for i in range(70)]
+    texts[17] = texts[17] + own
+    texts.append([f"z{i}" for i in range(30)] + own + [f"y{i}" for i in range(30)])
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert (120, 17) in {(r["doc_id"], r["other_doc_id"]) for r in got}
+    near = {i: {i} for i in range(121)}
+    for r in got:
+        near[r["doc_id"]] = near[r["doc_id"]] | near[r["other_doc_id"]]
+        for i in near[r["doc_id"]]:
+            near[i] = near[r["doc_id"]]
+    assert near[0] >= set(range(121)) and len(got) < 120 * 25
+
+
+def brute_identity(x, y):
+    return chaining._edit(np.array(x), np.array(y)) / max(len(x), len(y))
+
+
+def test_chaining_recall_on_edited_passages(spark):
+    """Pairs of texts with one passage edited at random: found by the operator, of those that an exact alignment accepts."""
+    rng = random.Random(21)
+    make = lambda n: [rng.randrange(10**6) for _ in range(n)]
+    floor = {0.9: 0.95, 0.8: 0.5}
+    for rate, least_found in ((0.1, floor[0.9]), (0.2, floor[0.8])):
+        rows, true = [], set()
+        for i in range(60):
+            p = make(60)
+            q = []
+            for x in p:
+                u = rng.random()  # a word stays, is changed (two thirds of the edits), goes, or gets a new one after it
+                q += [x] if u > rate else make(1) if u > rate / 3 else [] if u > rate / 6 else [x, *make(1)]
+            rows += [(2 * i, make(40) + p + make(40)), (2 * i + 1, make(40) + q + make(40))]
+            if brute_identity(p, q) >= 0.75 and len(q) >= 50:
+                true.add((2 * i + 1, 2 * i))
+        df = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in rows], "doc_id long, text string")
+        found = {(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(df).collect()}
+        assert found <= {(2 * i + 1, 2 * i) for i in range(60)}
+        print("recall", rate, len(found & true), len(true))
+        assert len(found & true) >= least_found * len(true)
 
 
 def test_chaining_edges(spark, docs):
