@@ -1,25 +1,28 @@
 """Line de-duplication on the native engine: first occurrences of line keys, returned as compressed keep bitmaps.
 
-Method. Lines become ``(key hash, document, position)`` records without text. Records are first reduced to
-one row a key (partial aggregation on the map side, so that a line held by a third of all documents leaves
-each task as one row); this aggregate decides the first occurrence of each key. The range partitioning, sort and row number that
-follow see one row a key and do not change the result. Documents then get
+Method. Lines become ``(key hash, document, position)`` records without text. The records are range-partitioned by key and sorted within by document
+and position; a running first over that stream tells each record the first document of its key, so later records drop where they are, without a
+join. Keys with more than ``HOT`` records, or a ten-thousandth of all (so 10,000 keys at most), are dealt over ``SALTS`` streams by document first, and the
+first documents of those streams are put together. Documents then get
 sparse 64-line words of kept bits: a word that is not listed is all ones, so a document that loses nothing
 carries no bitmap at all.
 
 Defined cases. Null or empty text: one empty line, kept. Null doc_id: the row takes no part and keeps all lines.
 Rows that repeat a doc_id: occurrences in one document never drop each other; each row gets its own bitmap.
-Keys shorter than ``min_chars`` code points never drop. Extra columns pass through ``apply_bitmaps`` untouched.
+Keys shorter than ``min_chars`` code points never drop. Extra columns of any name pass through ``dedup_lines`` untouched; names that begin with
+``__hd_`` are reserved in ``apply_bitmaps``.
 Key equality is by two independently seeded 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, materialize
 
+HOT = 100_000
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,26 +48,30 @@ def line_records(docs: DataFrame, text_col: str, id_col: str, min_chars: int) ->
     return keyed.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(7), "key").alias("k2"), "doc", "rk", "pos")
 
 
-def first_occurrences(records: DataFrame) -> DataFrame:
-    """Keys held by at least two documents with the smallest of them: ``(k1, k2, first_doc)``."""
-    from pyspark.sql import Window
-
-    heads = records.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last_doc"))
-    heads = heads.where(F.col("first.doc") < F.col("last_doc"))
+def later_occurrences(records: DataFrame, hot: int = HOT) -> DataFrame:
+    """The records whose key an earlier document holds: ``(doc, rk, pos)``."""
+    limit = max(hot, records.count() // 10_000)
+    busy = records.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    busy = F.broadcast(busy.select("k1", "k2", F.lit(True).alias("hot")))  # 10,000 rows at most
+    dealt = records.join(busy, ["k1", "k2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = heads.select("k1", "k2", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")).repartitionByRange(parts, "k1", "k2").sortWithinPartitions("k1", "k2", "doc", "pos")
-    rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "pos"))
-    return order.withColumn("nth", rank).where("nth = 1").select("k1", "k2", F.col("doc").alias("first_doc"))
+    order = Window.partitionBy("k1", "k2", "salt").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    stream = dealt.repartitionByRange(parts, "k1", "k2", "salt").withColumn("first_doc", F.first("doc").over(order))
+    marked = materialize(stream.where(F.col("hot") | (F.col("doc") > F.col("first_doc"))), "later-lines")
+    heads = marked.where("hot").groupBy("k1", "k2").agg(F.min("first_doc").alias("hot_first"))
+    out = marked.join(F.broadcast(heads), ["k1", "k2"], "left")  # 10,000 rows at most
+    return out.where(F.col("doc") > F.coalesce("hot_first", "first_doc")).select("doc", "rk", "pos")
 
 
-def keep_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 10) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 10, hot: int = HOT) -> DataFrame:
     """Per row that loses lines: ``(doc, rk, n_dropped, keep)``.
 
     ``keep`` is an array of ``(word, bits)`` for the 64-line words with a dropped line: bit b of word w is 1
     when line 64 * w + b stays.
     """
     records = materialize(line_records(docs, text_col, id_col, min_chars), "line-keys")
-    drops = records.join(first_occurrences(records), ["k1", "k2"]).where(F.col("doc") > F.col("first_doc"))
+    drops = later_occurrences(records, hot)
     words = drops.groupBy("doc", "rk", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
     words = words.withColumn("n", F.bit_count("gone").cast("long"))
     return words.groupBy("doc", "rk").agg(F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("keep"))
@@ -88,7 +95,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", i
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 10) -> DataFrame:
     """``docs`` with the text that stays; all other columns as they are. A null text stays null."""
-    names = docs.columns
-    done = apply_bitmaps(docs, keep_bitmaps(docs, text_col, id_col, min_chars), text_col, id_col)
-    text = F.when(F.col("__hd_dropped") > 0, F.array_join("__hd_kept", "\n")).otherwise(F.col(text_col))
-    return done.withColumn(text_col, text).select(*names)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*cols).alias("__hd_row"), F.col(f"`{id_col}`").alias("__hd_id"), F.col(f"`{text_col}`").alias("__hd_text"))
+    done = apply_bitmaps(packed, keep_bitmaps(packed, "__hd_text", "__hd_id", min_chars), "__hd_text", "__hd_id")
+    text = F.when(F.col("__hd_dropped") > 0, F.array_join("__hd_kept", "\n")).otherwise(F.col("__hd_text"))
+    return done.select(*((text if c == text_col else F.col("__hd_row")[c]).alias(c) for c in docs.columns))

@@ -116,10 +116,11 @@ LINES = [
 
 
 def test_lines(spark):
-    df = spark.createDataFrame(LINES, "doc_id long, text string").select("*", *(F.lit(1).alias(c) for c in ("doc", "rk", "k1", "keep", "pos", "line", "word")))
+    df = spark.createDataFrame(LINES, "doc_id long, text string").select("*", *(F.lit(1).alias(c) for c in ("doc", "rk", "k1", "keep", "pos", "line", "word", "hot", "salt", "first_doc")))
     done = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
     got = [(r["doc_id"], r["n"], r["d"], r["s"]) for r in done.select("doc_id", F.size("__hd_lines").alias("n"), F.col("__hd_dropped").alias("d"), F.sha2(F.array_join("__hd_kept", "\n"), 256).alias("s")).collect()]
     assert sorted(got, key=str) == lines_expected(LINES)
+    df = df.withColumn("__hd_doc", F.lit(2)).withColumn("a.b", F.lit(3))
     back = line_dedup.dedup_lines(df)
     assert back.columns == df.columns and back.count() == len(LINES)
     assert back.where("doc_id = 2").first()["text"] is None and back.where("doc_id = 9").first()["text"] == ""
@@ -131,9 +132,10 @@ def test_lines(spark):
 def test_lines_of_the_corpus(spark, docs):
     rows = [(d, None if t is None else t.replace(" w1", "\nw1")) for d, t in corpus()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    done = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
-    got = [(r["doc_id"], r["n"], r["d"], r["s"]) for r in done.select("doc_id", F.size("__hd_lines").alias("n"), F.col("__hd_dropped").alias("d"), F.sha2(F.array_join("__hd_kept", "\n"), 256).alias("s")).collect()]
-    assert sorted(got, key=str) == lines_expected(rows)
+    for hot in (line_dedup.HOT, 3):
+        done = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, hot=hot))
+        got = [(r["doc_id"], r["n"], r["d"], r["s"]) for r in done.select("doc_id", F.size("__hd_lines").alias("n"), F.col("__hd_dropped").alias("d"), F.sha2(F.array_join("__hd_kept", "\n"), 256).alias("s")).collect()]
+        assert sorted(got, key=str) == lines_expected(rows)
 
 
 # --- sets ----------------------------------------------------------------------------------------
