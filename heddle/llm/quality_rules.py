@@ -13,7 +13,8 @@ over all labelled rows; a rule without positive gain stays off. No row is left o
 
 Defined cases. Null or empty text: no words, ``base_failed``. Null stratum: a stratum of its own. Strata without
 labels, or with too few to certify anything: only the base rule rejects. Null or other labels are ignored. Labels repeated
-with the same value count once; contradicting labels of a document count as good. Repeated rows give repeated results.
+with the same value count once; contradicting labels of a document count as good. Repeated rows give repeated results; in the tests a labelled
+id counts once, with the smallest of its rows' measures.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize
+from .common import WHITE, materialize, small
 
 SYMBOLS = "#*$%&|<>"
 #: rule -> (measure from the counts, cutoffs from lenient to strict, reject when over?)
@@ -139,10 +140,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measured = measured.drop("_text").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     measured = materialize(measured.withColumn("_stratum", F.coalesce(F.col("_stratum").cast("string"), F.lit(""))), "measures")
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(label).alias("_label"))
-    holdout = measured.where("not base_failed").join(known, measured[id_col] == known["_lid"]).withColumn("_selects", selects(F.col("_lid")))
+    holdout = measured.where("not base_failed").join(known, measured[id_col] == known["_lid"])
+    # The binomial bounds need independent rows: one a labelled id.
+    row = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_stratum")
+    holdout = holdout.groupBy("_lid", "_label").agg(F.min(row).alias("_row")).select("_lid", "_label", "_row.*").withColumn("_selects", selects(F.col("_lid")))
     # At most one row for each stratum: rule -> cutoff.
     cutoffs = certified_cutoffs(holdout, "_stratum", "_label", selecting="_selects", **certify).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    cutoffs = cutoffs.withColumnsRenamed({r: f"_cut_{r}" for r in RULES})
+    cutoffs = small(materialize(cutoffs.withColumnsRenamed({r: f"_cut_{r}" for r in RULES}), "cutoffs"))
     out = measured.join(cutoffs, measured["_stratum"] == cutoffs["stratum"], "left")
     hits = [F.when(F.coalesce(F.expr(f"({m}) {'>' if over else '<'} _cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _, over) in RULES.items()]
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*hits))))

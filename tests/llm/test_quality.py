@@ -65,6 +65,16 @@ def test_judge_rejects_junk_and_keeps_the_promise(spark):
     assert sum(not out[r[0]]["kept"] for r in good) <= 0.04 * len(good) and sum(not out[r[0]]["kept"] for r in bad) >= 0.95 * len(bad)
 
 
+def test_repeated_rows_count_once_in_the_tests(spark):
+    """Copies of labelled rows add nothing to the evidence: the certified cutoffs stay what they were."""
+    rows = holdout(random.Random(4), 900)
+    once = spark.createDataFrame([(i, t, lg) for i, t, lg, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int")
+    want = {r["doc_id"]: r["rejected_by"] for r in quality_rules.judge(once, labels).collect()}
+    again = quality_rules.judge(once.union(once).union(once), labels).collect()
+    assert len(again) == 2700 and all(r["rejected_by"] == want[r["doc_id"]] for r in again)
+
+
 def test_few_or_no_labels_reject_nothing_beyond_the_base(spark):
     rows = holdout(random.Random(1), 60)
     docs = spark.createDataFrame([(i, t, lg) for i, t, lg, _ in rows], "doc_id long, text string, lang string")
@@ -113,11 +123,15 @@ def test_sparse_sites_lean_on_the_global_rate(spark):
 
 
 def test_classifier_edges(spark):
-    docs = spark.createDataFrame([(1, None, None, None), (1, "", "s", "en"), (2, "ok text", "s", "en"), (2, "ok text", "s", "en"), (None, "x", "s", "en")], "doc_id long, text string, source string, lang string").select("*", *(F.lit(0).alias(c) for c in ("id", "host", "path", "n", "s")))
+    docs = spark.createDataFrame([(1, None, None, None), (1, "", "s", "en"), (2, "ok text", "s", "en"), (2, "ok text", "s", "en"), (None, "x", "s", "en")], "doc_id long, text string, source string, lang string").select("*", *(F.lit(0).alias(c) for c in ("id", "host", "path", "n", "s", "y0", "y1", "_id", "fold", "x", "h")))
     labels = spark.createDataFrame([(1, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality_classifier.classify(docs, labels).collect()
     assert len(out) == 5 and all(r["kept"] for r in out)
     assert quality_classifier.drop_rejected(docs, labels).columns == docs.columns
     assert quality_classifier.classify(docs.where("false"), labels).count() == 0
+    some = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").withColumn("y0", F.lit(1))
+    assert quality_classifier.classify(docs, some).count() == 5
+    long = spark.createDataFrame([(i, "word " * 300_000 if i == 3 else f"some text {i}", "s", "en") for i in range(6)], "doc_id long, text string, source string, lang string")
+    assert quality_classifier.classify(long, spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")).count() == 6
     one_class = spark.createDataFrame([(2, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in quality_classifier.classify(docs, one_class).collect())
