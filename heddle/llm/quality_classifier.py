@@ -1,7 +1,8 @@
 """Document quality with hierarchical empirical Bayes over hosts and paths.
 
 1. Two logistic models (low quality, toxic) are fitted on labelled documents, at most ``train_most`` of them (taken by hash of
-   the id; the only bound in this module). Features: a dozen shape measures and those words whose label counts differ most.
+   the id). Features: a dozen shape measures and the ``words_most`` words whose label counts differ most (of those in four documents or more, five
+   deviations out). The weight penalty is chosen among ``PENALTIES`` on a quarter of the training rows, fitted on the others. These are the bounds of this module.
 2. Every document is scored in one narrow stage; p is the chance that it is bad on either count.
 3. Host and path level: grouped sums of p give each host and each path (within its host) a posterior mean, shrunk towards the level
    above by the method-of-moments weight: sparse sites lean on the global rate, homogeneous levels collapse to it.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize
+from .common import drop_ids, materialize, small
 from .words import NOT_LETTER, U, Words, chunks
 
 _SYMBOL = np.zeros(256, bool)
@@ -28,6 +29,9 @@ _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _MARK = np.isin(np.arange(256), [ord(c) for c in "!?.,;:"])
 SHAPES = 11
+PENALTIES = (0.05, 0.2, 0.8)
+#: Sites that are broadcast at most; beyond, a shuffle that splits large ones.
+SITES = 300_000
 
 
 def _counts(buf: np.ndarray, off: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -77,6 +81,20 @@ def _logistic(x: np.ndarray, doc: np.ndarray, word: np.ndarray, n_words: int, y:
     return w[:d], w[d:-1], float(w[-1])
 
 
+def _penalty(x: np.ndarray, doc: np.ndarray, word: np.ndarray, n_words: int, y: np.ndarray, out: np.ndarray) -> float:
+    """The penalty with the least log loss on the rows ``out``, fitted on the others; the middle one where a side lacks a class."""
+    if len(set(y[out])) < 2 or len(set(y[~out])) < 2:
+        return PENALTIES[len(PENALTIES) // 2]
+    mine = ~out[doc]
+    place = np.cumsum(~out) - 1
+    loss = []
+    for l2 in PENALTIES:
+        dense, sparse, bias = _logistic(x[~out], place[doc[mine]], word[mine], n_words, y[~out], l2, 150)
+        z = x @ dense + np.bincount(doc, sparse[word], len(y)) + bias
+        loss.append(float(np.logaddexp(0, np.where(y == 1, -z, z))[out].mean()))
+    return PENALTIES[int(np.argmin(loss))]
+
+
 class Model:
     """Weights of both heads; ``words`` are the sorted hashes of the chosen words."""
 
@@ -115,16 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, heads: d
     known = labels.where(" and ".join(f"{c} is not null" for c in (id_col, *heads))).groupBy(F.col(id_col).alias("_id")).agg(*worst)
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(train_most)
     ys = [f"y{i}" for i in range(len(heads))]
-    rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select(F.col(text_col).alias("text"), *ys)
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(4)).cast("int"))
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(known), F.col("_own") == F.col("_id")).select("text", "fold", *ys)  # train_most rows
 
     def features(batches):
         for batch in batches:
             for part in chunks(batch, 0):
                 w = Words(part.column(0), gap=NOT_LETTER)
                 sets = [np.unique(w.h[a:b]).astype(np.int64) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(list(shapes(w)), pa.list_(pa.float64())), pa.array(sets, pa.list_(pa.int64()))], [*ys, "x", "h"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(list(shapes(w)), pa.list_(pa.float64())), pa.array(sets, pa.list_(pa.int64()))], ["fold", *ys, "x", "h"])
 
-    sample = materialize(rows.mapInArrow(features, ", ".join(f"{y} int" for y in ys) + ", x array<double>, h array<long>"), "train")
+    sample = materialize(rows.mapInArrow(features, "fold int, " + ", ".join(f"{y} int" for y in ys) + ", x array<double>, h array<long>"), "train")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     n = totals["n"]
     chosen: set[int] = set()
@@ -137,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, heads: d
                 chosen |= {r[0] for r in per_word.withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "h").limit(words_most).select("h").collect()}
     words = np.sort(np.array(sorted(chosen), np.int64).astype(np.uint64))
     picked = F.array_intersect("h", F.array(*(F.lit(c) for c in sorted(chosen)))) if chosen else F.array().cast("array<bigint>")
-    table = sample.select(*ys, "x", picked.alias("h")).toArrow() if n else None
+    table = sample.select("fold", *ys, "x", picked.alias("h")).toArrow() if n else None
     if table is None or not table.num_rows:
         zero = np.zeros(SHAPES)
         return Model(words, zero, zero + 1, [(zero, np.zeros(len(words)), -3.0) for _ in ys])
@@ -147,13 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, heads: d
     doc = np.repeat(np.arange(len(held)), [len(s) for s in held])
     flat = np.array([v for s in held for v in s], np.int64).astype(np.uint64)
     word = np.searchsorted(words, flat)
-    out = []
+    out, z = [], (x - mean) / std
+    kept_out = np.array(table.column("fold").to_pylist()) == 0
     for y in ys:
         target = np.array(table.column(y).to_pylist(), float)
         if target.min() == target.max():
             out.append((np.zeros(SHAPES), np.zeros(len(words)), 3.0 if target.max() else -3.0))
         else:
-            out.append(_logistic((x - mean) / std, doc, word, len(words), target))
+            out.append(_logistic(z, doc, word, len(words), target, _penalty(z, doc, word, len(words), target, kept_out)))
     return Model(words, mean, std, out)
 
 
@@ -189,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     host_k = weight(n, top["g"] or 1, 1, top["q"] or 0.0, top["m2"] or 0.0, n * mean * mean, n - (top["n2"] or 0) / n)
     low = paths.join(hosts, "host").agg(F.count(F.lit(1)).alias("g"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("m2"), F.sum(F.col("n") - F.col("n") * F.col("n") / F.col("hn")).alias("spread")).first()
     path_k = weight(n, low["g"] or 1, top["g"] or 1, top["q"] or 0.0, low["m2"] or 0.0, top["m2"] or 0.0, low["spread"] or 0.0)
-    sites = paths.drop("q").join(hosts.drop("hq"), "host")
+    sites = small(materialize(paths.drop("q").join(small(materialize(hosts.drop("hq"), "hosts")), "host"), "sites"), SITES)
     out = scored.join(sites, ["host", "path"])
     # Posterior means without the document itself.
     host = (F.col("hs") - F.col("p") + host_k * mean) / (F.col("hn") - 1 + host_k)
