@@ -179,6 +179,6 @@ def amount(c: Column) -> Column:
     value = F.create_map(*(F.lit(x) for kv in NUMBER_WORDS.items() for x in kv))
     number, unit = F.regexp_extract(low, rf"(\d+(?:\.\d+)?)\s*({units})?\b", 1), F.regexp_extract(low, rf"(\d+(?:\.\d+)?)\s*({units})?\b", 2)
     word, word_unit = F.regexp_extract(low, rf"\b({spoken})\s+({units})\b", 1), F.regexp_extract(low, rf"\b({spoken})\s+({units})\b", 2)
-    digits = F.round(number.try_cast("double") * F.coalesce(F.element_at(scale, unit), F.lit(1))).cast("long")
+    digits = F.round(number.try_cast("double") * F.coalesce(F.element_at(scale, unit), F.lit(1))).try_cast("long")
     said = (F.element_at(value, word) * F.element_at(scale, word_unit)).cast("long")
     return F.when(F.regexp_like(c, F.lit(NO_INCOME)), F.lit(0).cast("long")).when(number != "", digits).when(word != "", said)

@@ -204,7 +204,9 @@ def _object(s: Column) -> Column:
 def repaired_json(raw: Column) -> Column:
     """The first reading that gives a non-empty object: as it is, without trailing commas, closed, both; else null."""
     body = json_body(raw)
-    return F.coalesce(_object(body), _object(without_trailing_commas(body)), _object(close_brackets(body)), _object(without_trailing_commas(close_brackets(body))))
+    read = F.coalesce(_object(body), _object(without_trailing_commas(body)))
+    closed = close_brackets(F.when(read.isNull(), body))  # the scan sees only what is still unread
+    return F.coalesce(read, _object(closed), _object(without_trailing_commas(closed)))
 
 
 def response_json(raw: Column) -> Column:

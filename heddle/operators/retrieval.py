@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.fixed import CHUNK_WEIGHTS
+from ..sources.scratch import counted, stored
 
 
 def term_rows(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id") -> DataFrame:
@@ -39,16 +43,33 @@ class Bm25Index:
     stats: DataFrame
 
 
+#: Stands in every chunk once, so that counts of chunks come out of the same pass as counts of terms. No token is empty.
+EVERY = ""
+
+
+def _marked(tokens: Column) -> Column:
+    return F.concat(F.array(F.lit(EVERY)), tokens)
+
+
 def build_index(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id") -> Bm25Index:
-    postings = term_frequencies(chunks, text_col, id_col)
-    stats = corpus_stats(chunks, text_col)
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
-    lengths = chunks.select(F.col(id_col).alias("chunk_id"), F.size(text.tokens(F.col(text_col))).cast("long").alias("dl"))
+    """Index tables from one pass over the texts, stored as ``(chunk_id, term, tf)``."""
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(_marked(F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")))).alias("term"))
+    every = stored(rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    postings = every.where(F.col("term") != EVERY)
+    lengths = every.groupBy("chunk_id").agg((F.sum("tf") - 1).alias("dl"))
+    stats = every.agg(F.count_if(F.col("term") == EVERY).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).select("n", ((F.col("t") - F.col("n")) / F.greatest("n", F.lit(1))).alias("avgdl"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))  # stats: one row
     return Bm25Index(postings, terms, lengths, stats)
 
 
-def inverted_lists(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+def read_index(spark: SparkSession, path: str) -> Bm25Index:
+    """The index tables that ``sinks.write_index`` wrote."""
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "lengths", "stats")))
+
+
+def inverted_lists(postings: DataFrame, block: int = 10_000) -> DataFrame:
+    """``(term, block, chunks)``: the chunks of a term in blocks of ``block`` consecutive ids, so that a common term's list has bounded rows."""
+    return postings.groupBy("term", F.floor(F.col("chunk_id") / block).alias("block")).agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
 
 
 def query_terms(queries: DataFrame, text_col: str = "text", id_col: str = "query_id") -> DataFrame:
@@ -59,14 +80,16 @@ def query_terms(queries: DataFrame, text_col: str = "text", id_col: str = "query
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int | None = 6) -> DataFrame:
     """``(query_id, chunk_id, score)`` for chunks with a positive score, straight from texts.
 
-    Only tokens that some query asks for leave the scan: the set of asked terms bounds what is shuffled.
+    One pass over the texts: only tokens that some query asks for leave it, and one mark a chunk, from which the corpus counts come.
     """
-    asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    slim = chunks.select("chunk_id", text.tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    tf = slim.select("chunk_id", "dl", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(chunks)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
+    asked = stored(query_terms(queries), "asked-terms")
+    wanted = counted(stored(asked.select("term").union(chunks.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct(), "wanted-terms"))
+    slim = chunks.select("chunk_id", F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")).alias("_t")).withColumn("dl", F.size("_t"))
+    rows = slim.select("chunk_id", "dl", F.explode(_marked(F.col("_t"))).alias("term")).join(wanted, "term", "left_semi")
+    every = stored(rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "asked-postings")
+    tf = every.where(F.col("term") != EVERY)
+    stats = every.where(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).select("n", (F.col("t") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = df.select("term", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     return _scored(tf.join(idf, "term").join(asked, "term"), k1, b, digits)
 
@@ -90,17 +113,47 @@ def top_ranked(scores: DataFrame, k: int = 20) -> DataFrame:
     return scores.withColumn("_n", rank).where(F.col("_n") <= k).select("query_id", (F.col("_n") - 1).alias("rank"), "chunk_id", "score")
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double arithmetic; of unit vectors the cosine."""
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int = 6, query_block: int = 4096) -> DataFrame:
+    """``(query_id, rank, chunk_id, score)``: the ``k`` largest inner products (in double arithmetic, of unit vectors the cosine) of each query vector.
 
-
-def dense_scores(vectors: DataFrame, queries: DataFrame, digits: int | None = 6) -> DataFrame:
-    """``(query_id, chunk_id, score)``: every chunk against a small set of query vectors (``query_id, vector``)."""
-    score = dot(F.col("vector"), F.col("_q"))
-    asked = queries.select("query_id", F.col("vector").alias("_q"))
-    return vectors.join(F.broadcast(asked), F.lit(True)).select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    Queries go out in blocks of about ``query_block``; a task scores a batch of vectors by one matrix product and keeps ``k`` a query of it, so scores are
+    never rows; the tops of the batches are ranked. Vectors of another length than the query's, null ones and null ids take no part.
+    """
+    spark = vectors.sparkSession
+    queries = stored(queries.where("query_id is not null and vector is not null").select("query_id", "vector"), "query-vectors")
+    blocks = queries.count() // query_block + 1
+    rows = vectors.where("chunk_id is not null and vector is not null").select("chunk_id", "vector")
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["chunk_id"].dataType.simpleString()
+
+    def scored(block: int) -> DataFrame:
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # about query_block rows
+        by_size: dict[int, tuple[list, list]] = {}
+        for q, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            ids, list_ = by_size.setdefault(len(v), ([], []))
+            ids.append(q)
+            list_.append(v)
+        shared = spark.sparkContext.broadcast({n: (ids, np.array(v, float)) for n, (ids, v) in by_size.items()})
+
+        def run(batches):
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for n, (ids, q) in shared.value.items():
+                    own = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                    if not own.num_rows:
+                        continue
+                    score = np.round(q @ np.asarray(own.column(1).flatten(), float).reshape(-1, n).T, digits)
+                    order = np.argsort(own.column(0).to_numpy(zero_copy_only=False), kind="stable")
+                    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+                    width = top.shape[1]
+                    asked = pa.array(np.repeat(np.arange(len(ids)), width))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(0).type).take(asked), own.column(0).take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "chunk_id", "score"])
+
+        return rows.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+    out = scored(0)
+    for block in range(1, blocks):
+        out = out.union(scored(block))
+    return top_ranked(out, k)
 
 
 def type_weight(chunk_type: Column, weights: dict[str, float] | None = None) -> Column:

@@ -54,8 +54,14 @@ def income_limits(raw: Column) -> Column:
     return F.when(F.startswith(raw, F.lit("{")), banded).when(plain.isNotNull(), single)
 
 
+def income_limit(raw: Column) -> Column:
+    """The largest of an income limit's bands."""
+    banded = F.array_max(F.transform(F.map_values(F.from_json(raw, "map<string,string>")), lambda v: F.coalesce(v.try_cast("bigint"), amount(v))))
+    return F.when(F.startswith(raw, F.lit("{")), banded).otherwise(F.coalesce(raw.try_cast("double").cast("bigint"), amount(raw)))
+
+
 def eligible(profile, rules) -> Column:
-    """Whether a profile meets a scheme's rules. ``profile(name)`` and ``rules(name)`` give columns.
+    """Whether a profile meets a scheme's rules. ``profile(name)`` and ``rules(name)`` give columns; ``income_limit`` is the largest limit, parsed.
 
     A null rule does not constrain; an unknown fact is no ground to refuse (ambiguous counts as eligible); occupations match generously.
     """
@@ -64,7 +70,7 @@ def eligible(profile, rules) -> Column:
     def need(rule: str, fact: str) -> Column:
         return ~F.coalesce(rules(rule) & ~profile(fact), F.lit(False))
 
-    limits = F.array_max(F.transform(income_limits(rules("income_max_annual")), lambda b: b["limit"]))
+    limits = rules("income_limit")
     gender = F.lower(rules("gender"))
     fits = [
         jobs.isNull() | (F.size(jobs) == 0) | F.arrays_overlap(jobs, F.array(F.lit("any"), F.lit("all"))) | job.isNull() | F.array_contains(jobs, job),
@@ -79,10 +85,16 @@ def eligible(profile, rules) -> Column:
 
 
 def match(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
-    """``(profile_id, id)`` of eligible pairs. Schemes are a small catalogue and are broadcast; a larger one is a range join for Spark to plan."""
-    small = schemes.select("id", "eligibility_rules")
-    cond = eligible(lambda n: F.col(n), lambda n: F.col("eligibility_rules")[n])
-    return profiles.join(F.broadcast(small), cond).select("profile_id", "id")
+    """``(profile_id, id)`` of eligible pairs, joined on occupation: a scheme stands under its occupations, or under * when it has none to
+    ask for; a profile looks under its own and *. Profiles without one look under ?, where every restricted scheme stands. Income limits are parsed once a scheme."""
+    e = F.col("eligibility_rules")
+    jobs = F.array_distinct(F.array_compact(e["occupation"]))
+    open_to_all = e.isNull() | e["occupation"].isNull() | (F.size(e["occupation"]) == 0) | F.arrays_overlap(e["occupation"], F.array(F.lit("any"), F.lit("all")))
+    keys = F.when(F.coalesce(open_to_all, F.lit(False)), F.array(F.lit("*"))).otherwise(F.concat(jobs, F.array(F.lit("?"))))
+    right = schemes.select("id", "eligibility_rules", income_limit(e["income_max_annual"]).alias("income_limit"), F.explode(keys).alias("_key"))
+    left = profiles.withColumn("_key", F.explode(F.array(F.coalesce("occupation", F.lit("?")), F.lit("*"))))
+    fits = eligible(lambda n: F.col(n), lambda n: F.col("income_limit") if n == "income_limit" else F.col("eligibility_rules")[n])
+    return left.join(right, (left["_key"] == right["_key"]) & fits).select("profile_id", "id")
 
 
 def checklist(schemes: DataFrame, ids: DataFrame, lang: str = "en") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_turns(turns: DataFrame, k: int = 8, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -22,14 +24,33 @@ def history_text(turns: DataFrame, k: int = 4, key: str = "conv_id", order: str
 def recent_entities(mentions: DataFrame, key: str, entity: str, order: str, keep: int = 5) -> DataFrame:
     """``(key, recent)``: newest-first list of the entities mentioned; a repeat does not move, unless it had been pushed out.
 
-    An exact fold over each key's mentions in order; consecutive repeats are dropped before they are gathered.
+    An exact fold over each key's mentions in order: sorted partitions are read as a stream, of which only the list at hand is kept.
     """
-    before = F.lag(entity).over(Window.partitionBy(key).orderBy(order))
-    rows = mentions.where(F.col(entity).isNotNull()).withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(entity)))
-    kind = mentions.schema[entity].dataType.simpleString()
-    none = F.array().cast(f"array<{kind}>")
-    fold = F.aggregate("x", none, lambda acc, m: F.when(F.array_contains(acc, m[entity]), acc).otherwise(F.slice(F.concat(F.array(m[entity]), acc), 1, keep)))
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, entity))).alias("x")).select(key, fold.alias("recent"))
+    rows = mentions.where(F.col(entity).isNotNull()).select(F.col(key), F.col(order).alias("_o"), F.col(entity))
+    kind, item = (mentions.schema[c].dataType for c in (key, entity))
+    out = T.StructType([T.StructField(key, kind), T.StructField("recent", T.ArrayType(item))])
+
+    def run(batches):
+        at, recent, started = None, [], False
+        for batch in batches:
+            done = []
+            for k, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not started or k != at:
+                    if started:
+                        done.append((at, recent))
+                    at, recent, started = k, [], True
+                if e not in recent:
+                    recent = [e, *recent][:keep]
+            yield from _batch(done, batch)
+        if started:
+            yield from _batch([(at, recent)], batch)
+
+    def _batch(done, like):
+        if done:
+            kinds = like.schema.field(0).type, pa.list_(like.schema.field(1).type)
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], [key, "recent"])
+
+    return rows.repartition(key).sortWithinPartitions(key, "_o").select(key, entity).mapInArrow(run, out)
 
 
 def carried_forward(rows: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
@@ -45,20 +66,27 @@ def summary_due(turn: Column, every: int = 4) -> Column:
 def replay_ttl(requests: DataFrame, key: str, ts: str, ttl: Column, *tie: str) -> DataFrame:
     """Each request with ``hit`` (1 when an unexpired entry answers it): a miss opens a window [t, t + ttl], hits do not extend it.
 
-    ``ts`` and ``ttl`` are integers of one unit. A sequential fold a key over its request times, gathered without payload.
+    ``ts`` and ``ttl`` are integers of one unit. Sorted partitions are read as a stream that carries the expiry of the key at hand, so a key may
+    have any number of requests.
     """
-    order = F.struct(F.col(ts).alias("t"), *(F.col(c).alias(c) for c in tie), ttl.cast("long").alias("ttl"))
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("x"))
-    item = "struct<t:bigint,ttl:bigint>"
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<int>").alias("hits"))
-
-    def step(acc, r):
-        hit = F.coalesce(r["t"] <= acc["until"], F.lit(False))
-        return F.struct(F.when(hit, acc["until"]).otherwise(r["t"] + r["ttl"]).alias("until"), F.array_append(acc["hits"], hit.cast("int")).alias("hits"))
-
-    folded = rows.select(key, "x", F.aggregate("x", start, step)["hits"].alias("hits"))
-    flat = folded.select(key, F.explode(F.arrays_zip("x", "hits")).alias("r"))
-    return flat.select(key, F.col("r.x.t").alias(ts), *(F.col(f"r.x.{c}").alias(c) for c in tie), F.col("r.hits").alias("hit"))
+    rows = requests.select(F.col(key), F.col(ts).cast("long").alias(ts), *tie, ttl.cast("long").alias("_ttl"))
+    out = T.StructType([*rows.drop("_ttl").schema.fields, T.StructField("hit", T.IntegerType())])
+
+    def run(batches):
+        last, until = object(), None
+        for batch in batches:
+            hits = []
+            for k, at, live in zip(*(batch.column(c).to_pylist() for c in (key, ts, "_ttl"))):
+                if k != last:
+                    last, until = k, None
+                hit = until is not None and at <= until
+                if not hit:
+                    until = at + live
+                hits.append(int(hit))
+            kept = [batch.column(f.name) for f in out.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.int32())], out.fieldNames())
+
+    return rows.repartition(key).sortWithinPartitions(key, ts, *tie).mapInArrow(run, out)
 
 
 def overlay(base: DataFrame, newer: DataFrame, key: str) -> DataFrame:

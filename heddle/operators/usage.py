@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def of_session(events: DataFrame, session_id: str | None) -> DataFrame:
     """One session's events, or all of them for an empty id; the filter reaches the scan."""
@@ -12,35 +14,39 @@ def of_session(events: DataFrame, session_id: str | None) -> DataFrame:
 
 
 def nearest_rank_p95(values: DataFrame, by: list[str], value: str, least: int = 20) -> DataFrame:
-    """``(by..., p95)``: the value at 0-based place min(floor(0.95 n), n - 1) of the sorted non-null values; null under ``least`` values.
+    """``(by..., p95)``: the value at 0-based place min(floor(0.95 n), n - 1) of the sorted non-null values; no row under ``least`` values.
 
-    By row number in a sorted window, so that no group is gathered in one row; the place is (95 n) div 100 in integers.
+    Equal values are counted first, on the map side. Their counts are range-partitioned by group and value, so a group of any size
+    spreads over partitions; the sizes of its parts tell which part holds the place, and only that one is ranked. Places are in integers.
     """
-    w = Window.partitionBy(*by)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)))
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = stored(counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "p95-counts")
+    same = Window.partitionBy(*by)
+    sizes = parts.groupBy(*by, "_p").agg(F.sum("_c").alias("_s")).withColumn("_n", F.sum("_s").over(same))
+    sizes = sizes.withColumn("_upto", F.sum("_s").over(same.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
     place = F.least(F.expr("(_n * 95) div 100"), F.col("_n") - 1) + 1
-    return ranked.where((F.col("_n") >= least) & (F.col("_r") == place)).select(*by, F.col(value).alias("p95"))
+    sizes = sizes.withColumn("_place", place - F.col("_upto") + F.col("_s")).where((F.col("_n") >= least) & F.col("_place").between(1, F.col("_s")))
+    chosen = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, "_p")), "_place")
+    near = parts.join(chosen, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_p")])
+    upto = F.sum("_c").over(same.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("_u", upto).where(F.col("_place").between(F.col("_u") - F.col("_c") + 1, F.col("_u")))
+    return found.select(*by, F.col("_v").alias("p95"))
 
 
 def token_summary(events: DataFrame, by: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """Calls, hits, tokens and latency by call type (and session): one aggregate, p95 inside it.
-
-    p95 sorts each group's latencies in one array, which fits per-session groups; for groups without a bound use
-    ``nearest_rank_p95`` and join.
-    """
+    """Calls, hits, tokens and latency by call type (and session): one aggregate, and p95 for groups of any size joined to it."""
     by = by or ["session_id", "call_type"]
-    n = F.count("latency_ms")
-    lat = F.sort_array(F.collect_list("latency_ms"))
-    place = F.least(F.floor(n * F.lit(0.95)).cast("int"), (n - 1).cast("int")) + 1
-    return events.groupBy(*by).agg(
+    sums = events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"),
         F.coalesce(F.sum("cache_hit"), F.lit(0)).alias("cache_hits"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.sum("total_tokens").alias("total_tokens"),
         F.round(F.avg("latency_ms"), digits).alias("avg_latency_ms"),
-        F.when(n >= 20, F.round(F.element_at(lat, F.greatest(place, F.lit(1))), digits)).alias("p95_latency_ms"),
     )
+    top = nearest_rank_p95(events, by, "latency_ms").select(*(F.col(c).alias(f"_{c}") for c in by), F.round("p95", digits).alias("p95_latency_ms"))
+    held = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return sums.join(top, held, "left").drop(*(f"_{c}" for c in by))
 
 
 def grand_total(events: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def presented(df: DataFrame, digits: int = 2) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c)).try_cast("double")) for c in doubles})
 
 
-
 def run_outcomes(runs: DataFrame) -> DataFrame:
-    """``(status, n, keys)`` of a build's runs."""
-    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("key")).alias("keys"))
+    """``(status, n, key)``: a row for each run with its outcome and how many share it; nothing is gathered in one row."""
+    n = runs.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("status", "_status")
+    return runs.join(n, F.col("status").eqNullSafe(F.col("_status"))).select("status", "n", "key")

@@ -53,10 +53,10 @@ sparse AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s
 
 
 DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-dense AS (SELECT a.vec_id AS query_id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 6) DESC, b.vec_id) - 1)::INTEGER AS rank, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e), 6) AS score
-  FROM v a, v b WHERE a.vec_id < 4 QUALIFY rank < 20)"""
+dense AS (SELECT a.vec_id // 20 AS query_id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 6) DESC, b.vec_id) - 1)::INTEGER AS rank, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e), 6) AS score
+  FROM v a, v b WHERE a.vec_id % 20 = 0 QUALIFY rank < 20)"""
 _WEIGHT = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in LANG_WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
-FUSED = f"""{_bm25("item_id < 3")}, {DENSE},
+FUSED = f"""{_bm25()}, {DENSE},
 both_ AS (SELECT query_id, chunk_id, max(d) AS dense_rank, max(s) AS sparse_rank, max(ds) AS ds FROM (
   SELECT query_id, chunk_id, rank AS d, NULL::INTEGER AS s, score AS ds FROM dense UNION ALL SELECT query_id, chunk_id, NULL, rank, NULL FROM sparse) GROUP BY ALL),
 fused AS (SELECT b.*, source AS entity, round(CASE WHEN count(sparse_rank) OVER (PARTITION BY query_id) > 0
@@ -110,7 +110,21 @@ def _intent() -> str:
     return f"CASE WHEN in_flow AND {_any('low', dialogue.YES_PARTS + dialogue.NO_PARTS)} THEN 'slot_fill_response' {parts} ELSE 'scheme_query' END"
 
 
+def _amounts() -> str:
+    units = "|".join(sorted(dialogue.UNITS, key=len, reverse=True))
+    number, spoken = rf"(\d+(?:\.\d+)?)\s*({units})?\b", rf"\b({'|'.join(dialogue.NUMBER_WORDS)})\s+({units})\b"
+
+    def pick(c: str, table: dict[str, int]) -> str:
+        return f"CASE {c} " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in table.items()) + " END"
+
+    return f"""WITH {MSG}, a AS (SELECT msg_id, text, regexp_extract(low, {_q(number)}, 1) AS n, regexp_extract(low, {_q(number)}, 2) AS u, regexp_extract(low, {_q(spoken)}, 1) AS w, regexp_extract(low, {_q(spoken)}, 2) AS wu
+  FROM (SELECT msg_id, text, replace(lower(text), ',', '') AS low FROM msg))
+SELECT msg_id, CASE WHEN regexp_matches(text, {_q(dialogue.NO_INCOME)}) THEN 0 WHEN n <> '' THEN TRY_CAST(round(TRY_CAST(n AS DOUBLE) * coalesce({pick('u', dialogue.UNITS)}, 1)) AS BIGINT)
+  WHEN w <> '' THEN ({pick('w', dialogue.NUMBER_WORDS)}) * ({pick('wu', dialogue.UNITS)}) END::BIGINT AS amount FROM a"""
+
+
 SQL: dict[str, str] = {
+    "message_amounts": _amounts(),
     "usage_token_summary": f"""WITH {USAGE}, g AS (SELECT session_id, call_type, count(*) AS calls, coalesce(sum(cache_hit), 0)::BIGINT AS cache_hits, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
   sum(total_tokens)::BIGINT AS total_tokens, round(avg(latency_ms), 6) AS avg_latency_ms, count(latency_ms) AS n, list(latency_ms ORDER BY latency_ms) AS l FROM u GROUP BY ALL)
 SELECT session_id, call_type, calls, cache_hits, prompt_tokens, completion_tokens, total_tokens, avg_latency_ms, CASE WHEN n >= 20 THEN round(l[least((n * 95) // 100, n - 1) + 1], 6) END AS p95_latency_ms FROM g""",
@@ -140,7 +154,7 @@ SELECT cache_key, event_id, at_us, hit FROM r""",
     "tokenize_tf": f"WITH {TF} SELECT * FROM tf",
     "term_idf": f"WITH {TF}, {STATS}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d, st",
     "corpus_stats": f"WITH {STATS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
-    "inverted_lists": f"WITH {TF} SELECT term, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_list FROM tf GROUP BY term",
+    "inverted_lists": f"WITH {TF} SELECT term, chunk_id // 10000 AS block, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_list FROM tf GROUP BY ALL",
     "dedup_md5": "SELECT min(doc_id) AS chunk_id, md5(text) AS digest FROM documents GROUP BY md5(text)",
     "chunk_type_histogram": "SELECT lang AS chunk_type, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, chunk_type",
     "chunk_ids": "WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)) SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS chunk_id, doc_id FROM k JOIN documents USING (doc_id)",
@@ -174,11 +188,11 @@ WHERE (k % 5 = 0 OR job = (['automobile', 'building', 'furniture', 'household',
   AND (k % 3 <> 0 OR c_custkey % 2 = 0) AND NOT (k % 4 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 4 <> 0) AND NOT (k % 6 = 0 AND c_custkey % 3 <> 0) AND k % 11 <> 10
   AND (k % 2 <> 0 OR age >= k + 18) AND (k % 7 <> 0 OR age <= 60) AND (k % 3 = 2 OR income <= CASE WHEN k % 3 = 0 THEN 250000 ELSE 600000 END)""",
     "eligible_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
-    "pending_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "pending_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "overlay_merge": """WITH n AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) FILTER (WHERE o_orderstatus = 'F') AS tag, max(o_totalprice) AS amount FROM orders GROUP BY 1)
 SELECT c_custkey, c_name AS name, coalesce(n.tag, c_mktsegment) AS tag, coalesce(n.amount, c_acctbal) AS amount FROM customer FULL JOIN n USING (c_custkey)""",
     "longer_list_wins": f"SELECT doc_id, greatest(least(n, doc_id % 12), least(n, doc_id % 10))::INTEGER AS n FROM (SELECT doc_id, len(regexp_extract_all(text, '[^{WS}]+')) AS n FROM documents)",
-    "run_outcomes": f"WITH s AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'skipped' WHEN length({_html()}) < 1500 THEN 'failed' ELSE 'success' END AS status FROM pages) SELECT status, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS key_list FROM s GROUP BY 1",
+    "run_outcomes": f"WITH s AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'skipped' WHEN length({_html()}) < 1500 THEN 'failed' ELSE 'success' END AS status FROM pages) SELECT status, count(*) OVER (PARTITION BY status) AS n, page_id AS key FROM s",
     "history_last_k": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "history_text": """WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)
 SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Bot: ' ELSE 'System: ' END || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM t GROUP BY conv_id""",

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,7 @@ def test_bm25_golden(spark):
     idf = {r["term"]: round(r["idf"], 6) for r in retrieval.build_index(corpus(spark)).terms.collect()}
     assert idf["wage"] == 0.470004 and idf["crop"] == 0.980829
     assert {r["term"]: r["chunks"] for r in retrieval.inverted_lists(retrieval.term_frequencies(corpus(spark))).collect()}["card"] == [1, 2]
+    assert {(r["term"], r["block"]) for r in retrieval.inverted_lists(retrieval.term_frequencies(corpus(spark)), 2).collect()} >= {("card", 0), ("card", 1)}
 
 
 def ranked(spark, rows):
@@ -84,8 +86,12 @@ def test_fusion_golden(spark):
 def test_dense_and_hydration(spark, folder):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "chunk_id long, vector array<float>")
     q = spark.createDataFrame([(5, [0.0, 1.0])], "query_id long, vector array<float>")
-    top = retrieval.top_ranked(retrieval.dense_scores(v, q), 1).collect()
+    top = retrieval.dense_top(v, q, 1).collect()
     assert [(r["chunk_id"], r["rank"], r["score"]) for r in top] == [(2, 0, 0.8)]
+    odd = spark.createDataFrame([(3, None), (None, [0.0, 1.0]), (4, [1.0]), (0, [0.6, 0.8])], "chunk_id long, vector array<float>")
+    more = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(30)] + [(99, None)], "query_id long, vector array<float>")
+    got = retrieval.dense_top(v.union(odd).repartition(3), more, 2, query_block=8).collect()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in got) == [(i, n, c) for i in range(30) for n, c in ((0, 0), (1, 2))]
     hits = spark.createDataFrame([(5, 1, "alpha", "faq"), (5, 2, "gone", "faq")], "query_id long, place int, scheme_id string, chunk_type string")
     full = retrieval.hydrate(hits, readers.scan_documents(spark, folder), F.lit("hi"))
     rows = full.collect()
@@ -101,6 +107,19 @@ def test_p95(spark, n, want):
     assert [r["p95"] for r in usage.nearest_rank_p95(e, ["call_type"], "latency_ms").collect()] == ([want] if want else [])
 
 
+def test_p95_of_groups_that_spread_over_partitions(spark):
+    """One group with most rows, small ones, a null one and ties, against sorting."""
+    rng = random.Random(4)
+    rows = [("big", float(rng.randrange(900))) for _ in range(5000)] + [(f"s{i % 30}", float(rng.randrange(9))) for i in range(900)] + [(None, float(i)) for i in range(40)] + [("few", 1.0), ("few", None)]
+    got = {r["g"]: r["p95"] for r in usage.nearest_rank_p95(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        if len(v) >= 20:
+            want[g] = v[min(len(v) * 95 // 100, len(v) - 1)]
+    assert got == want
+
+
 def test_empty_usage(spark):
     e = spark.createDataFrame([], USAGE_EVENT)
     t = usage.guardrail_totals(e).first()
@@ -164,7 +183,7 @@ def test_event_log_sink(spark, tmp_path):
 def test_index_round_trip(spark, tmp_path):
     i = retrieval.build_index(corpus(spark))
     sinks.write_index({"postings": i.postings, "terms": i.terms, "lengths": i.lengths, "stats": i.stats}, str(tmp_path / "ix"))
-    back = retrieval.Bm25Index(*(spark.read.parquet(str(tmp_path / "ix" / t)) for t in ("postings", "terms", "lengths", "stats")))
+    back = retrieval.read_index(spark, str(tmp_path / "ix"))
     q = spark.createDataFrame([(1, "wage card")], "query_id long, text string")
     assert retrieval.index_scores(back, q).count() == 3
 
