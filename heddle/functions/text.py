@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode text processing strips it (Java's \\s is ASCII only).
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -195,21 +196,27 @@ def _closed(text: str) -> str:
     return text + '"' * quoted_now + "".join(owed[::-1])
 
 
-def _object(s: Column) -> Column:
-    """``s`` as a variant when it is a JSON object with a member."""
-    v = F.try_parse_json(s)
+def _lenient(s: Column) -> Column:
+    """A variant from near-JSON: single quotes, bare member names, comments, Python's constants, trailing commas."""
+    plain = without_trailing_commas(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r":\s*None\b", ": null"), r":\s*True\b", ": true"), r":\s*False\b", ": false"))
+    return F.from_json(plain, T.VariantType(), {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true", "mode": "PERMISSIVE"})
+
+
+def _object(s: Column, v: Column | None = None) -> Column:
+    """``s`` (or its variant ``v``) as a variant when it is a JSON object with a member."""
+    v = F.try_parse_json(s) if v is None else v
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")) & (F.schema_of_variant(v) != "OBJECT<>"), v)
 
 
 def repaired_json(raw: Column) -> Column:
-    """The first reading that gives a non-empty object: as it is, without trailing commas, closed, both; else null."""
+    """The first reading that gives a non-empty object: as it is, without trailing commas, read leniently, closed, both; else null."""
     body = json_body(raw)
-    read = F.coalesce(_object(body), _object(without_trailing_commas(body)))
+    read = F.coalesce(_object(body), _object(without_trailing_commas(body)), _object(body, _lenient(body)))
     closed = close_brackets(F.when(read.isNull(), body))  # the scan sees only what is still unread
     return F.coalesce(read, _object(closed), _object(without_trailing_commas(closed)))
 
 
 def response_json(raw: Column) -> Column:
-    """A model's reply as JSON: as it is or without trailing commas, else an empty object."""
+    """A model's reply as JSON: as it is, without trailing commas or read leniently as an object, else an empty object."""
     body = json_body(raw)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(without_trailing_commas(body)), F.parse_json(F.lit("{}")))
+    return F.coalesce(F.try_parse_json(body), F.try_parse_json(without_trailing_commas(body)), _object(body, _lenient(body)), F.parse_json(F.lit("{}")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import stored
 
 
 def _t(c: str) -> Column:
@@ -117,10 +118,14 @@ def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:
-    """Consecutive ids in global order without a single-task sort: ranks inside range partitions plus the sizes of those before."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """Consecutive ids in global order without a single-task sort: ranks inside range partitions plus the sizes of those before.
+
+    The partitions are stored once, so that their numbers mean the same in both branches.
+    """
+    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranged")
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_base"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # One row a partition.
     return parts.join(F.broadcast(before.select("_p", "_base", "_before")), "_p").withColumn("chunk_id", F.col("_before") + F.col("_m") - F.col("_base")).drop("_p", "_m", "_base", "_before")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import dialogue, guardrail, language, text
 from ..operators import chunks, retrieval, rules, state, usage
 from ..sources import readers, sinks
+from ..sources.schemas import FACTS
+from . import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,6 +273,39 @@ def message_amounts(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", dialogue.amount(F.col("text")).alias("amount"))
 
 
+@query
+def text_forms(spark, sf_dir):
+    """Conversation texts as light markup, as Latin-1, without a channel prefix, and a name as words."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.light_markup(F.col("text")).alias("markup"), text.latin1_safe(F.col("text")).alias("latin1"), text.without_prefix(F.concat(F.lit(" whatsapp:"), "text")).alias("bare"), text.snake_words(F.concat("role", F.lit("_turn_text"))).alias("words"))
+
+
+@query
+def language_precedence(spark, sf_dir):
+    """Events as language detections: what a user selected stays."""
+    e = table(spark, sf_dir, "events")
+    source = F.when(F.col("user_id") % 3 == 0, "user_selected").otherwise("default")
+    new_source = F.when(F.col("event_id") % 10 == 0, "user_selected").otherwise("auto_detected")
+    new = F.when(F.col("event_type") == "click", "ta").otherwise("en")
+    lang, kept = language.settled_language(F.lit("hi"), source, new, new_source)
+    return e.select("event_id", lang.alias("lang"), kept.alias("source"))
+
+
+@query
+def slot_questions(spark, sf_dir):
+    """Customers as profiles with gaps: the next slot, what is pending, which buttons are due, what a bare 2 means."""
+    k = F.col("c_custkey")
+    facts = F.struct(
+        F.when(k % 4 == 1, "woman_hoh").when(k % 4 == 2, "farmer").when(k % 4 == 3, "student").alias("occupation"), F.when(k % 2 == 0, "male").alias("gender"), F.when(k % 3 != 0, k % 2 == 0).alias("has_land"),
+        F.lit(True).alias("is_bpl"), F.lit(False).alias("has_girl_child"), F.lit(False).alias("is_pregnant"), (k * 1000).alias("annual_income"), F.lit("Goa").alias("state"), F.when(k % 5 != 0, F.lit(30)).alias("age"),
+    )
+    f, yes, no = F.col("facts"), F.lit(True), F.lit(False)
+    due = dialogue.button_needs(f, yes, no)
+    c = table(spark, sf_dir, "customer").select("c_custkey", facts.alias("facts"))
+    menus = {"en": "1 or 2"}, {"en": "1 yes 2 no"}
+    return c.select("c_custkey", dialogue.next_slot(f).alias("slot"), F.array_join(dialogue.pending_slots(f), ",").alias("pending"), due[0].alias("yes_no"), due[1].alias("job"), dialogue.numbered_reply(F.lit("2"), f, yes, no).alias("reply"), dialogue.menu_appended(F.lit("Q"), f, yes, no, F.lit("en"), *menus).alias("question"))
+
+
 @query
 def json_repair(spark, sf_dir):
     """Conversation texts wrapped as damaged JSON, read again; rows only."""
@@ -447,6 +482,37 @@ def summary_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(state.summary_due(F.col("turn"))).select("conv_id", "turn")
 
 
+@query
+def session_codec(spark, sf_dir):
+    """Conversations as session rows, encoded as they are stored and decoded again."""
+    c = table(spark, sf_dir, "conversations").withColumn("said", F.when(F.col("role") == "user", F.col("text")))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "said", "text"))), lambda t: F.struct(t["said"].alias("role_user"), t["text"].alias("role_bot"), t["turn"].cast("int").alias("turn")))
+    rows = c.groupBy("conv_id").agg(turns.alias("conversation_buffer"))
+    k = F.col("conv_id")
+    facts = F.struct(*(v.cast(f.dataType).alias(f.name) for f in FACTS.fields for v in [F.when(k % 2 == 0, k % 90) if f.name == "age" else F.when(k % 3 == 0, k % 2 == 0) if f.name == "has_land" else F.lit(None)]))
+    sessions = rows.select(k.cast("string").alias("id"), F.when(k % 4 == 0, "ta").alias("language"), F.lit(None).cast("string").alias("language_source"), F.size("conversation_buffer").alias("turn"), facts.alias("confirmed_facts"), F.when(k % 2 == 1, F.array(F.lit("age"), F.lit("state"))).alias("pending_slots"), "conversation_buffer", F.struct(F.array(k.cast("string")).alias("last_schemes_discussed"), F.lit(None).cast("string").alias("last_scheme_id")).alias("entity_memory"), (k % 3 == 0).alias("eligibility_done"), F.lit(None).cast("boolean").alias("in_eligibility_flow"))
+    back = readers.decoded_sessions(sinks.encoded_sessions(sessions))
+    b = F.col("conversation_buffer")
+    return back.select("id", "language", "language_source", "turn", F.size(b).alias("buffered"), b[0]["turn"].alias("first_turn"), F.element_at(b, -1)["role_user"].alias("last_said"), F.col("confirmed_facts.age").alias("age"), F.col("confirmed_facts.has_land").alias("has_land"), F.size("pending_slots").alias("pending"), F.col("entity_memory.last_schemes_discussed")[0].alias("discussed"), "eligibility_done", "in_eligibility_flow")
+
+
+@query
+def cache_aside(spark, sf_dir):
+    """User turns as requests against the demo cache; the model is a stand-in that shouts the prompt."""
+    key = F.concat(F.lit("k"), (F.col("conv_id") * 7 % 400).cast("string"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), key.alias("cache_key"), F.lit("general_answer").alias("call_type"), F.concat(F.lit("ask "), key).alias("prompt"), F.lit("en").alias("lang"))
+    answers, _ = models.answered(turns, demo_cache(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"), [lambda: lambda texts: [t.upper() for t in texts]])
+    return answers
+
+
+@query
+def session_machine(spark, sf_dir):
+    """The session machine replayed over user turns; rows only."""
+    from ..streaming.sessions import session_replay
+
+    return session_replay(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.when(F.col("turn") == 0, "__init__").when(F.col("turn") == 2, "👩 woman hoh").when(F.col("turn") == 4, "yes").otherwise(F.col("text")).alias("text")))
+
+
 @query
 def slot_dialogue(spark, sf_dir):
     """The slot dialogue replayed over user turns; rows only."""

@@ -125,6 +125,18 @@ SELECT msg_id, CASE WHEN regexp_matches(text, {_q(dialogue.NO_INCOME)}) THEN 0 W
 
 SQL: dict[str, str] = {
     "message_amounts": _amounts(),
+    "text_forms": f"""SELECT conv_id, turn, replace(regexp_replace(text, '_(.+?)_', '<em>\\1</em>', 'g'), chr(10), '<br>') AS markup, regexp_replace(text, '[^\\x{{0}}-\\x{{FF}}]', '?', 'g') AS latin1, {_strip("text")} AS bare, role || ' turn text' AS words FROM conversations""",
+    "language_precedence": """WITH e AS (SELECT event_id, user_id % 3 = 0 AND event_id % 10 <> 0 AS held, user_id % 3 = 0 AS chosen, event_id % 10 = 0 AS chooses, CASE WHEN event_type = 'click' THEN 'ta' ELSE 'en' END AS new FROM events)
+SELECT event_id, CASE WHEN held THEN 'hi' ELSE new END AS lang, CASE WHEN held OR chooses THEN 'user_selected' ELSE 'auto_detected' END AS source FROM e""",
+    "slot_questions": """WITH c AS (SELECT c_custkey, c_custkey % 4 AS o, c_custkey % 2 = 0 AS man, c_custkey % 3 = 0 AS landless, c_custkey % 5 = 0 AS ageless FROM customer),
+n AS (SELECT *, CASE WHEN o = 0 THEN 'occupation' WHEN NOT man AND o <> 1 THEN 'gender' WHEN landless THEN 'has_land' WHEN ageless THEN 'age' END AS slot FROM c)
+SELECT c_custkey, slot, concat_ws(',', CASE WHEN o = 0 THEN 'occupation' END, CASE WHEN NOT man THEN 'gender' END, CASE WHEN landless THEN 'has_land' END, CASE WHEN ageless THEN 'age' END) AS pending, coalesce(slot = 'has_land', false) AS yes_no, coalesce(slot = 'occupation', false) AS job,
+  CASE slot WHEN 'occupation' THEN '👷 labourer' WHEN 'has_land' THEN '❌ no' ELSE '2' END AS reply, CASE slot WHEN 'occupation' THEN 'Q' || chr(10) || chr(10) || '1 or 2' WHEN 'has_land' THEN 'Q' || chr(10) || chr(10) || '1 yes 2 no' ELSE 'Q' END AS question FROM n""",
+    "session_codec": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id::VARCHAR AS id, CASE WHEN conv_id % 4 = 0 THEN 'ta' ELSE 'hi' END AS language, 'default' AS language_source, max(n)::INTEGER AS turn, least(max(n), 8)::INTEGER AS buffered, (min(turn) FILTER (WHERE back <= 8))::INTEGER AS first_turn, max(CASE WHEN role = 'user' THEN text END) FILTER (WHERE back = 1) AS last_said,
+  CASE WHEN conv_id % 2 = 0 THEN conv_id % 90 END AS age, CASE WHEN conv_id % 3 = 0 THEN conv_id % 2 = 0 END AS has_land, CASE WHEN conv_id % 2 = 1 THEN 2 ELSE 9 END AS pending, conv_id::VARCHAR AS discussed, conv_id % 3 = 0 AS eligibility_done, false AS in_eligibility_flow FROM t GROUP BY conv_id""",
+    "cache_aside": f"""WITH {USAGE}, {CACHE}, r AS (SELECT conv_id * 1000 + turn AS request_id, 'k' || (conv_id * 7 % 400)::VARCHAR AS cache_key FROM conversations WHERE role = 'user'), live AS (SELECT * FROM cache WHERE NOT expires_at < TIMESTAMP '2024-01-15 00:00:00')
+SELECT request_id, r.cache_key, coalesce(live.response, upper('ask ' || r.cache_key)) AS response, live.cache_key IS NOT NULL AS hit FROM r LEFT JOIN live USING (cache_key)""",
     "usage_token_summary": f"""WITH {USAGE}, g AS (SELECT session_id, call_type, count(*) AS calls, coalesce(sum(cache_hit), 0)::BIGINT AS cache_hits, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
   sum(total_tokens)::BIGINT AS total_tokens, round(avg(latency_ms), 6) AS avg_latency_ms, count(latency_ms) AS n, list(latency_ms ORDER BY latency_ms) AS l FROM u GROUP BY ALL)
 SELECT session_id, call_type, calls, cache_hits, prompt_tokens, completion_tokens, total_tokens, avg_latency_ms, CASE WHEN n >= 20 THEN round(l[least((n * 95) // 100, n - 1) + 1], 6) END AS p95_latency_ms FROM g""",

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import EVENT, SCHEME
+from ..functions.dialogue import SLOTS
+from .schemas import EVENT, SCHEME, SESSION
 
 CORRUPT = "_corrupt_record"
 
@@ -39,6 +40,15 @@ def session_log(events: DataFrame, session_id: str) -> DataFrame:
     return events.where(F.col("session_id") == session_id).orderBy("id")
 
 
+def decoded_sessions(rows: DataFrame) -> DataFrame:
+    """Stored session rows with their nested columns, as the schema says; missing values become those of an empty session."""
+    kinds = {f.name: f.dataType for f in SESSION.fields}
+    out = rows.withColumns({c: F.from_json(c, kinds[c]) for c in ("confirmed_facts", "pending_slots", "conversation_buffer", "entity_memory")})
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("eligibility_done", "in_eligibility_flow")})
+    out = out.withColumn("pending_slots", F.coalesce("pending_slots", F.array(*map(F.lit, SLOTS)))).withColumn("conversation_buffer", F.coalesce("conversation_buffer", F.array().cast(kinds["conversation_buffer"])))
+    return out.withColumns({"language": F.coalesce("language", F.lit("hi")), "language_source": F.coalesce("language_source", F.lit("default")), "turn": F.coalesce("turn", F.lit(0))})
+
+
 def live_response(cache: DataFrame, key: str, now: Column) -> DataFrame:
     """The cached response of a key unless it has expired; a response that expires just now still counts."""
     return cache.where((F.col("cache_key") == key) & ~(F.col("expires_at") < now)).select("response", "expires_at")

@@ -62,6 +62,15 @@ def cache_put(cache: DataFrame, new: DataFrame, now: Column, ttl: dict[str, int]
     return upsert(cache, rows, "cache_key")
 
 
+def encoded_sessions(sessions: DataFrame, keep: int = 8) -> DataFrame:
+    """Session rows as they are stored: four nested columns as JSON, flags as 0 and 1, the last ``keep`` turns of the buffer."""
+    turns = F.coalesce("conversation_buffer", F.array().cast(sessions.schema["conversation_buffer"].dataType))
+    last = F.slice(turns, F.greatest(F.size(turns) - keep + 1, F.lit(1)), keep)
+    out = sessions.withColumn("conversation_buffer", last)
+    out = out.withColumns({c: F.to_json(c) for c in ("confirmed_facts", "pending_slots", "conversation_buffer", "entity_memory")})
+    return out.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("eligibility_done", "in_eligibility_flow")})
+
+
 def with_hits(cache: DataFrame, hit_log: DataFrame) -> DataFrame:
     """Hit counts raised by a log of hit keys, in one aggregate instead of one update a hit."""
     n = hit_log.groupBy("cache_key").agg(F.count(F.lit(1)).alias("_n"))

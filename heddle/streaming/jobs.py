@@ -37,7 +37,26 @@ def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return events.withColumn("day", F.to_date("ts")).writeStream.outputMode("append").format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: State of a key that has been idle for this long is dropped; longer than any entry lives.
+IDLE_MS = 30 * 24 * 3600 * 1000
+
+
+def keyed(rows: DataFrame, key: str, step, schema: str, state: str, idle_ms: int | None) -> DataFrame:
+    """``rows`` through a stateful step by key. With ``idle_ms`` state times out; None is for availableNow triggers, which end only where nothing can time out."""
+
+    def run(k, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        yield from step(k, batches, held)
+        if idle_ms is not None and held.exists:
+            held.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, schema, state, "append", timeout)
+
+
 def _ttl_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
     until = state.get[0] if state.exists else None
     hits = []
@@ -50,12 +69,15 @@ def _ttl_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     yield pd.DataFrame({"cache_key": [key[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "at": rows["at"].to_numpy(), "hit": hits})
 
 
-def ttl_cache(requests: DataFrame) -> DataFrame:
+def ttl_cache(requests: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Requests ``(cache_key, event_id, at, ttl)`` with ``hit``; an entry lives from its miss for its own ttl. Batches must come in time order for a key."""
-    return requests.groupBy("cache_key").applyInPandasWithState(_ttl_step, "cache_key string, event_id long, at long, hit int", "until long", "append", GroupStateTimeout.NoTimeout)
+    return keyed(requests, "cache_key", _ttl_step, "cache_key string, event_id long, at long, hit int", "until long", idle_ms)
 
 
 def _slot_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     facts: dict[str, str] = dict(zip(state.get[0], state.get[1])) if state.exists else {}
     rows = pd.concat(list(batches)).sort_values(["turn"])
     out = []
@@ -94,15 +116,15 @@ def read_reply(slot: str | None, message: str) -> dict[str, str] | None:
 SLOT_ROWS = "conv_id long, turn long, asked string, filled boolean, next_slot string"
 
 
-def slot_dialogue(messages: DataFrame) -> DataFrame:
+def slot_dialogue(messages: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """User messages ``(conv_id, turn, text)`` through the slot dialogue, as a stream: what was asked, whether it was filled, what comes next."""
-    return messages.groupBy("conv_id").applyInPandasWithState(_slot_step, SLOT_ROWS, "names array<string>, vals array<string>", "append", GroupStateTimeout.NoTimeout)
+    return keyed(messages, "conv_id", _slot_step, SLOT_ROWS, "names array<string>, vals array<string>", idle_ms)
 
 
 class _Memory:
     """Empty state for replaying a dialogue in batch."""
 
-    exists = False
+    exists = hasTimedOut = False
 
     def update(self, value) -> None:
         pass
@@ -118,7 +140,10 @@ def slot_dialogue_replay(messages: DataFrame) -> DataFrame:
 
 
 def upsert_sessions(sessions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest row of each session, kept as a table that every batch rewrites to a new version folder."""
+    """Latest row of each session, kept as a table that every batch rewrites to a new version folder.
+
+    Rows may be those of ``sinks.encoded_sessions``. The version before the last is deleted by whoever cleans the folder, once no reader needs it.
+    """
 
     def save(batch: DataFrame, epoch: int) -> None:
         from ..sources.sinks import latest, upsert

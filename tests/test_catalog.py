@@ -11,7 +11,7 @@ def test_query_matches_sql(name, same):
 
 
 def test_every_query_is_compared_or_tested():
-    assert set(catalog.QUERIES) - set(oracles.SQL) == {"json_repair", "slot_dialogue"}
+    assert set(catalog.QUERIES) - set(oracles.SQL) == {"json_repair", "slot_dialogue", "session_machine"}
     assert set(oracles.SQL) <= set(catalog.QUERIES)
 
 
@@ -20,6 +20,15 @@ def test_json_repair_reads_every_damage(spark):
     assert rows and all(r["found"] == r["conv_id"] and r["second"] == 2 for r in rows)
 
 
+def test_session_machine_replay(spark):
+    rows = catalog.QUERIES["session_machine"](spark, "/root/testdata/sf0.001").collect()
+    by = {(r["conv_id"], r["turn"]): r for r in rows}
+    starts = [r for r in rows if r["turn"] == 0]
+    assert starts and all(r["action"] == "ask" and r["slot"] == "occupation" and r["in_flow"] for r in starts)
+    assert all(r["slot"] == "has_land" and r["facts"] == 2 for r in rows if r["turn"] == 2)
+    assert all(r["buffered"] <= 8 and r["session_turn"] == sum(by[k]["allowed"] for k in by if k[0] == r["conv_id"] and k[1] <= r["turn"]) for r in rows)
+
+
 def test_slot_dialogue_replay(spark):
     rows = catalog.QUERIES["slot_dialogue"](spark, "/root/testdata/sf0.001").collect()
     first = [r for r in rows if r["turn"] == 0]

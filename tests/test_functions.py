@@ -49,7 +49,7 @@ def test_fetch_timeout(ev, url, ms):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [('{"a": 1}', 1), ('```json\n{"a": 1,}\n```', 1), ('<think>{"a": 2}</think> so {"a": 1} ok', 1), ('{"a": 1, "b": [1, {"c": "x', None), ('{"a": 1, "b": [1, 2', 1), ("{}", None), ("no json", None)],
+    [('{"a": 1}', 1), ('```json\n{"a": 1,}\n```', 1), ('<think>{"a": 2}</think> so {"a": 1} ok', 1), ('{"a": 1, "b": [1, {"c": "x', None), ('{"a": 1, "b": [1, 2', 1), ("{}", None), ("no json", None), ("{'a': 1, b: None,}", 1), ("{a: 1, 'b': True} // end", 1)],
 )
 def test_repaired_json(ev, raw, want):
     got = ev(lambda c: F.try_variant_get(text.repaired_json(c), "$.a", "int"), raw)
@@ -65,6 +65,7 @@ def test_small_text_functions(ev):
     assert ev(text.without_prefix, " whatsapp:+91 98 ") == "+91 98"
     assert ev(text.light_markup, "_hi_ you\nthere") == "<em>hi</em> you<br>there"
     assert ev(text.latin1_safe, "é₹") == "é?"
+    assert ev(text.snake_words, "pm_kisan_yojana") == "pm kisan yojana"
     assert ev(lambda c: text.first_match(c, "b+"), "abbbc") == "bbb"
     assert ev(lambda c: text.first_match(c, "z+"), "abbbc") is None
     assert ev(lambda c: text.each_translated(F.split(c, ","), F.upper), "a,b") == ["A", "B"]

@@ -180,6 +180,21 @@ def test_event_log_sink(spark, tmp_path):
     assert sinks.audit(spark.createDataFrame([(" ",), (None,), ("x",)], "t string"), "t").collect() == [("EMPTY",), ("EMPTY",), ("x",)]
 
 
+def test_json_files(spark, folder, tmp_path):
+    df = readers.scan_documents(spark, folder).select("id", "name_hi", "documents_en")
+    sinks.as_json_files(df, str(tmp_path / "j"))
+    back = spark.read.schema(df.schema).json(str(tmp_path / "j"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_sessions_round_trip(spark):
+    rows = spark.createDataFrame([("s", None, None, None, None, None, None, None, None, 1)], "id string, language string, language_source string, turn int, confirmed_facts string, pending_slots string, conversation_buffer string, entity_memory string, eligibility_done int, in_eligibility_flow int")
+    got = readers.decoded_sessions(rows).first()
+    assert (got["language"], got["language_source"], got["turn"], got["conversation_buffer"], got["eligibility_done"], got["in_eligibility_flow"]) == ("hi", "default", 0, [], False, True) and len(got["pending_slots"]) == 9
+    again = readers.decoded_sessions(sinks.encoded_sessions(readers.decoded_sessions(rows))).first()
+    assert again == got
+
+
 def test_index_round_trip(spark, tmp_path):
     i = retrieval.build_index(corpus(spark))
     sinks.write_index({"postings": i.postings, "terms": i.terms, "lengths": i.lengths, "stats": i.stats}, str(tmp_path / "ix"))
