@@ -206,9 +206,16 @@ def uncovered(hot_rows: DataFrame, star: DataFrame, spans: DataFrame, k: int) ->
     return hot_rows.join(held.union(own).distinct(), ["h", "doc", "pos"], "left_anti")
 
 
+def _asked_of(docs: DataFrame, requests: DataFrame) -> DataFrame:
+    """``docs`` that some request names: texts of others are not shuffled."""
+    ids = materialize(requests.select(F.col("doc").alias("doc_id")).distinct(), "asked-ids")
+    return docs.join(small(ids, BROADCAST_ROWS), "doc_id", "left_semi")
+
+
 def context_grams(docs: DataFrame, spots: DataFrame, k: int, reach: int, size: int = 3) -> DataFrame:
     """``(h, doc, pos, gpos)``: for each seed occurrence in ``spots`` the ``size``-word grams within ``reach`` words left and right of it; h joins seed and gram."""
     asked = spots.groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("asked"))
+    docs = _asked_of(docs, spots)
 
     def run(batches):
         for batch in batches:
@@ -246,5 +253,6 @@ def fetch_words(docs: DataFrame, requests: DataFrame) -> DataFrame:
                         got.append(own[max(0, r["a"]) : max(0, r["b"])])
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(side, pa.int32()), pa.array(got, pa.list_(pa.int32()))], ["rid", "side", "words"])
 
+    docs = _asked_of(docs, requests)
     with_text = docs.join(asked, docs["doc_id"] == asked["doc"]).select("text", "asked")
     return with_text.mapInArrow(run, "rid long, side int, words array<int>")
