@@ -1,0 +1,110 @@
+"""Whitening against covariances in fractions, and refined eigenvectors against known ones."""
+
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heddle.llm import whitening
+
+SF = "/root/testdata/sf0.001"
+
+
+def fine(v):
+    return v is not None and all(x is not None and math.isfinite(x) for x in v)
+
+
+def exact(rows):
+    """n, S and the covariance of the integer rows, in fractions."""
+    width = max(len(v) for v in rows)
+    x = [[math.floor(1024 * c) + 100_000 for c in (*v, *[0.0] * (width - len(v)))] for v in rows]
+    n, s = len(x), [sum(c) for c in zip(*x)]
+    mean = [Fraction(t, n) for t in s]
+    y = [[c - m for c, m in zip(r, mean)] for r in x]
+    return n, s, x, [[sum(r[i] * r[j] for r in y) / n for j in range(width)] for i in range(width)]
+
+
+def held(spark, rows, top=8):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", *(F.lit(1).alias(c) for c in ("v", "w", "n", "component", "deviation")))
+    got = whitening.whiten(df, top).collect()
+    rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows if fine(v)]
+    n, s, x, cov = exact([v for _, v in rows])
+    a = np.array(cov, float)
+    values, axes = np.linalg.eigh(a)
+    values, axes = values[::-1], axes[:, ::-1]
+    top = min(top, len(s))
+    assert len(got) == n * top and {r["n"] for r in got} == {n}
+    want = sorted((repr(i), sum((n * c - t) ** 2 for c, t in zip(r, s))) for (i, _), r in zip(rows, x))
+    assert sorted((repr(r["vec_id"]), r["deviation"]) for r in got if r["component"] == 1) == want
+    assert all(r["identity_error"] <= 1e-12 for r in got)
+    centred = np.array([[float(c - Fraction(t, n)) for c, t in zip(r, s)] for r in x])
+    for k in range(top):
+        own = [r for r in got if r["component"] == k + 1]
+        if values[k] <= 1e-12 * values.sum():
+            assert all(r["whitened"] is None for r in own)
+            continue
+        assert own[0]["explained"] == pytest.approx(values[k] / values.sum(), rel=1e-9)
+        w = centred @ axes[:, k] / math.sqrt(values[k])
+        mine = sorted(r["whitened"] for r in own)
+        assert np.allclose(mine, sorted(w), atol=1e-9) or np.allclose(mine, sorted(-w), atol=1e-9)
+    return got
+
+
+def test_whitening_matches_fractions(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) * (k + 1) for k in range(12)]) for i in range(300)] + [(7, [0.5] * 12), (None, [0.25] * 12), (900, [1.0]), (901, [])]
+    odd = [(950, None), (951, [None] * 12), (952, [float("nan")] * 12), (953, [float("inf")] * 12)]
+    held(spark, rows + odd)
+
+
+def test_whitening_on_given_table(spark):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    held(spark, rows)
+
+
+def test_flat_directions_one_row_and_none(spark):
+    rng = random.Random(4)
+    flat = [(i, [x := rng.random(), x, 0.5, rng.random()]) for i in range(50)]
+    held(spark, flat)
+    one = spark.createDataFrame([(1, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r["whitened"], r["deviation"], r["explained"]) for r in whitening.whiten(one).collect()] == [(None, 0, 0.0)] * 2
+    for rows in ([], [(1, None)], [(1, [])]):
+        assert whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_large_entries_stay_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1e11, 1e11), rng.uniform(-1, 1) * 1e-3, 1e9 + i]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    n, s, gram = whitening.moments(whitening.usable(df), 1024, 100_000)
+    want_n, want_s, _, cov = exact([v for _, v in rows])
+    assert (n, s) == (want_n, want_s)
+    got = whitening.covariance(n, s, gram)
+    for i in range(3):
+        for j in range(3):
+            assert abs(Fraction(*got[i, j].as_integer_ratio()) - cov[i][j]) <= abs(cov[i][j]) * Fraction(1, 2**60)
+    assert whitening.whiten(df).where("deviation IS NULL").count() > 0
+
+
+@pytest.mark.parametrize("values", [[9, 7, 5, 4, 3, 2.5, 2, 1], [5, 5 + 1e-9, 5 + 3e-9, 3, 3 + 1e-12, 1, 1 + 1e-6, 0.5], [4, 4, 4, 4, 2, 2, 1, 1], [1e8, 1, 1 - 1e-10, 1e-3, 2e-3, 0, 0, 5]])
+def test_refinement_reaches_double_precision(values):
+    rng = np.random.default_rng(1)
+    q = np.linalg.qr(rng.normal(size=(8, 8)))[0].astype(np.longdouble)
+    for _ in range(4):
+        q = q @ (np.eye(8) + (np.eye(8) - q.T @ q) / 2)
+    true = np.array(values, np.longdouble)
+    a = (q * true) @ q.T
+    a = (a + a.T) / 2
+    found, x = whitening.refined(a)
+    norm = np.abs(true).max()
+    assert np.abs(found - np.sort(true)[::-1]).max() <= 1e-17 * norm
+    assert np.abs(x.T @ x - np.eye(8)).max() <= 1e-17
+    assert np.abs(a @ x - x * found).max() <= 2e-17 * norm
+    for v, col in zip(true, q.T):
+        gap = np.sort(np.abs(true - v))[1]
+        if gap > 0:  # a direction is fixed as well as its gap allows
+            k = int(np.argmin(np.abs(found - v)))
+            assert 1 - abs(float(x[:, k] @ col)) <= max(1e-16, float(4e-18 * norm / gap) ** 2 * 50)
