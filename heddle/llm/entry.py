@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_job, chaining, jaccard, line_dedup, packing, pii, quality_classifier, quality_rules, repair, suffix_array, topk, whitening
+from . import bpe_job, chaining, jaccard, line_dedup, packing, pii, quality_classifier, quality_rules, repair, suffix_array, topk, vector_dedup, whitening
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_topk, op3_jaccard_join, op4_suffix_array, op5_line_dedup, op6_quality_rules, op7_chaining, op8_quality_classifier, op9_pii, op10_bpe, op12_whitening, op13_repair)}
+    return {f.__name__: f for f in (op1_pack, op2_topk, op3_jaccard_join, op4_suffix_array, op5_line_dedup, op6_quality_rules, op7_chaining, op8_quality_classifier, op9_pii, op10_bpe, op11_vector_dedup, op12_whitening, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

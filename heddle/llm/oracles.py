@@ -69,5 +69,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: Lengths and products are sums of doubles; no pair of the given tables lies so near the threshold that their order would matter.
+OP11 = """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, embedding FROM embeddings),
+u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.c = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, v.vec_id = c AS kept FROM v LEFT JOIN n ON a = v.vec_id JOIN m ON m.vec_id = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2, "op3_jaccard_join": OP3, "op5_line_dedup": OP5, "op6_quality_rules": _op6()}
+    return {"op11_vector_dedup": OP11, "op2_topk": OP2, "op3_jaccard_join": OP3, "op5_line_dedup": OP5, "op6_quality_rules": _op6()}
