@@ -507,10 +507,13 @@ def cache_aside(spark, sf_dir):
 
 @query
 def session_machine(spark, sf_dir):
-    """The session machine replayed over user turns; rows only."""
+    """The session machine replayed over user turns, a row a message; a text's first long word stands for the scheme it mentions. Rows only."""
     from ..streaming.sessions import session_replay
 
-    return session_replay(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.when(F.col("turn") == 0, "__init__").when(F.col("turn") == 2, "👩 woman hoh").when(F.col("turn") == 4, "yes").otherwise(F.col("text")).alias("text")))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = F.when(F.col("turn") == 0, "__init__").when(F.col("turn") == 2, "👩 woman hoh").when(F.col("turn") == 4, "yes").otherwise(F.col("text"))
+    named = F.nullif(F.regexp_extract(F.lower("text"), "[a-z]{9,}", 0), F.lit(""))
+    return session_replay(c.select("conv_id", "turn", said.alias("text"), named.alias("entity"))).where("kind = 'turn'").drop("kind", "summary")
 
 
 @query

@@ -18,5 +18,6 @@ def build_session(app: str = "heddle", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.ansi.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     return builder.config(map=defaults | conf).getOrCreate()
