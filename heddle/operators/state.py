@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scan
+
 
 def last_turns(turns: DataFrame, k: int = 8, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last ``k`` turns of each conversation."""
@@ -24,39 +25,22 @@ def history_text(turns: DataFrame, k: int = 4, key: str = "conv_id", order: str
 def recent_entities(mentions: DataFrame, key: str, entity: str, order: str, keep: int = 5) -> DataFrame:
     """``(key, recent)``: newest-first list of the entities mentioned; a repeat does not move, unless it had been pushed out.
 
-    An exact fold over each key's mentions in order: sorted partitions are read as a stream, of which only the list at hand is kept.
+    An exact fold over each key's mentions in order, in segments, of which only the list at hand is kept; see ``scan``.
     """
-    rows = mentions.where(F.col(entity).isNotNull()).select(F.col(key), F.col(order).alias("_o"), F.col(entity))
-    kind, item = (mentions.schema[c].dataType for c in (key, entity))
-    out = T.StructType([T.StructField(key, kind), T.StructField("recent", T.ArrayType(item))])
-
-    def run(batches):
-        at, recent, started = None, [], False
-        for batch in batches:
-            done = []
-            for k, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not started or k != at:
-                    if started:
-                        done.append((at, recent))
-                    at, recent, started = k, [], True
-                if e not in recent:
-                    recent = [e, *recent][:keep]
-            yield from _batch(done, batch)
-        if started:
-            yield from _batch([(at, recent)], batch)
-
-    def _batch(done, like):
-        if done:
-            kinds = like.schema.field(0).type, pa.list_(like.schema.field(1).type)
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], [key, "recent"])
-
-    return rows.repartition(key).sortWithinPartitions(key, "_o").select(key, entity).mapInArrow(run, out)
+    rows = mentions.where(F.col(entity).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(entity).alias("_e"))
+
+    def fold(recent, row):
+        if row[0] not in recent:
+            recent = [row[0], *recent][:keep]
+        return recent, recent
+
+    out = scan.segmented_fold(rows, "_k", ["_o"], ["_e"], fold, [], T.ArrayType(mentions.schema[entity].dataType), last_only=True)
+    return out.where(F.col("_out").isNotNull()).groupBy(F.col("_k").alias(key)).agg(F.max_by("_out", "_part").alias("recent"))
 
 
 def carried_forward(rows: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
-    """Each row with the last known value of the columns up to it, as ``last_<col>``."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"last_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    """Each row with the last known value of the columns up to it, as ``last_<col>``; ``order`` is unique within a key."""
+    return scan.last_known(rows, key, order, *cols)
 
 
 def summary_due(turn: Column, every: int = 4) -> Column:
@@ -66,27 +50,19 @@ def summary_due(turn: Column, every: int = 4) -> Column:
 def replay_ttl(requests: DataFrame, key: str, ts: str, ttl: Column, *tie: str) -> DataFrame:
     """Each request with ``hit`` (1 when an unexpired entry answers it): a miss opens a window [t, t + ttl], hits do not extend it.
 
-    ``ts`` and ``ttl`` are integers of one unit. Sorted partitions are read as a stream that carries the expiry of the key at hand, so a key may
-    have any number of requests.
+    ``ts`` and ``ttl`` are integers of one unit. A fold over each key's requests in order, in segments, that carries the expiry at hand; see ``scan``. A segment that
+    starts inside a window guesses wrong at most until that window ends.
     """
     rows = requests.select(F.col(key), F.col(ts).cast("long").alias(ts), *tie, ttl.cast("long").alias("_ttl"))
-    out = T.StructType([*rows.drop("_ttl").schema.fields, T.StructField("hit", T.IntegerType())])
-
-    def run(batches):
-        last, until = object(), None
-        for batch in batches:
-            hits = []
-            for k, at, live in zip(*(batch.column(c).to_pylist() for c in (key, ts, "_ttl"))):
-                if k != last:
-                    last, until = k, None
-                hit = until is not None and at <= until
-                if not hit:
-                    until = at + live
-                hits.append(int(hit))
-            kept = [batch.column(f.name) for f in out.fields[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.int32())], out.fieldNames())
-
-    return rows.repartition(key).sortWithinPartitions(key, ts, *tie).mapInArrow(run, out)
+
+    def fold(until, row):
+        at, live = row
+        if until is not None and at <= until:
+            return until, 1
+        return at + live, 0
+
+    out = scan.segmented_fold(rows, key, [ts, *tie], [ts, "_ttl"], fold, None, T.IntegerType())
+    return out.select(key, ts, *tie, F.col("_out").alias("hit"))
 
 
 def overlay(base: DataFrame, newer: DataFrame, key: str) -> DataFrame:
