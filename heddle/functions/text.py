@@ -63,17 +63,92 @@ def html_to_text(html: Column) -> Column:
     return strip(F.regexp_replace(plain, f"[{WS}]{{2,}}", " "))
 
 
-CONTENT_AREAS = (("main", None), ("article", None), (None, 'id="content"'), (None, 'class="content"'), (None, 'class="scheme-detail"'), ("body", None))
+#: The content areas in order of preference, as tag, id and class.
+CONTENT_AREAS = (("main", None, None), ("article", None, None), (None, "content", None), (None, None, "content"), (None, None, "scheme-detail"), ("body", None, None))
+#: Elements without content, and elements whose content is no markup.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+RAW_TAGS = ("script", "style", "textarea", "title")
+_INSIDE = r"""(?:[^'">]++|"[^"]*"|'[^']*')*+"""
+#: A page in pieces that join to the page again: comments, raw elements whole, tags, text.
+_PIECES = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW_TAGS)})(?=[\s/>]){_INSIDE}>.*?(?:</\1\s*>|\z)|</?[a-z]{_INSIDE}>|<[!?/][^>]*>|[^<]++|<"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a start tag, without quotes; empty where there is none."""
+    raw = F.regexp_extract(tag, rf"""(?is)^<[a-z][^\s/>]*(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*?\s+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    return F.regexp_replace(raw, """^["']|["']$""", "")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tag(piece: Column) -> Column:
+    """What a piece does: its length, the name it opens or closes, and which content areas it starts, if any."""
+    opens, closes = piece.rlike("^<[A-Za-z]"), piece.rlike("^</[A-Za-z]")
+    name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][^\s/>]*)", 1))
+
+    def starts(known: Column) -> Column:
+        tests = []
+        for tag, ident, cls in CONTENT_AREAS:
+            test = known == tag if tag else _attribute(piece, "id") == ident if ident else F.array_contains(F.split(_attribute(piece, "class"), r"\s+"), cls)
+            tests.append(test if tag else piece.rlike(rf"(?i)\s{'id' if ident else 'class'}\s*=") & test)
+        return F.when(F.array_contains(F.array(*tests), True), F.array(*tests))
+
+    def told(known: Column) -> Column:
+        kept = opens & ~known.isin(*VOID_TAGS, *RAW_TAGS)
+        return F.struct(F.char_length(piece).alias("size"), F.when(kept, known).alias("opens"), F.when(closes, known).alias("closes"), F.when(kept, starts(known)).alias("starts"))
+
+    plain = F.struct(F.char_length(piece).alias("size"), F.lit(None).cast("string").alias("opens"), F.lit(None).cast("string").alias("closes"), F.lit(None).cast("array<boolean>").alias("starts"))
+    return F.when(opens | closes, _let(name, told)).otherwise(plain)
+
+
+def content_spans(html: Column) -> Column:
+    """For each content area ``(start, depth, end)`` of the first element that is one: its inner HTML lies from ``start`` up to ``end``; -1 where there is none.
+
+    A fold over the page's pieces with the stack of open elements: an end tag closes the nearest open element of its name and all in it, and is ignored where there is none; what is
+    never closed ends with the page.
+    """
+    n = len(CONTENT_AREAS)
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("depth"), F.lit(-1).alias("end"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("stack"), F.array(*[none] * n).alias("areas"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.size(s["stack"])
+        back = F.array_position(F.reverse(s["stack"]), t["closes"]).cast("int")
+        left = F.when(t["closes"].isNotNull() & (back > 0), depth - back)
+        stack = F.when(t["opens"].isNotNull(), F.array_append(s["stack"], t["opens"])).when(left.isNotNull(), F.slice(s["stack"], F.lit(1), left)).otherwise(s["stack"])
+
+        def area(a: Column, k: Column) -> Column:
+            begins = (a["start"] < 0) & F.coalesce(F.get(t["starts"], k), F.lit(False))
+            ends = (a["start"] >= 0) & (a["end"] < 0) & F.coalesce(a["depth"] > left, F.lit(False))
+            return F.when(begins, F.struct((s["at"] + t["size"]).alias("start"), (depth + 1).alias("depth"), F.lit(-1).alias("end"))).when(ends, a.withField("end", s["at"])).otherwise(a)
+
+        at = (s["at"] + t["size"]).alias("at")
+        areas = F.when(left.isNull() & t["starts"].isNull(), s["areas"]).otherwise(F.transform(s["areas"], area))
+        return F.when(t["opens"].isNull() & t["closes"].isNull(), s.withField("at", at)).otherwise(F.struct(at, stack.alias("stack"), areas.alias("areas")))
+
+    pieces = F.transform(F.regexp_extract_all(html, F.lit(_PIECES), F.lit(0)), _tag)
+    return F.aggregate(pieces, first, step, lambda s: F.transform(s["areas"], lambda a: F.when((a["start"] >= 0) & (a["end"] < 0), a.withField("end", s["at"])).otherwise(a)))
 
 
 def content_area(html: Column, least: int = 500) -> Column:
-    """The first content area with more than ``least`` characters of inner HTML, else the whole page."""
-    found = []
-    for tag, attr in CONTENT_AREAS:
-        pattern = rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>" if tag else rf"(?is)<(\w+)[^>]*\b{attr.replace('=', chr(92) + 's*=' + chr(92) + 's*')}[^>]*>(.*)</\1>"
-        inner = F.regexp_extract(html, pattern, 1 if tag else 2)
-        found.append(F.when(F.length(inner) > least, inner))
-    return F.coalesce(*found, html)
+    """The inner HTML of the first content area that has more than ``least`` characters of it, else the whole page.
+
+    It is cut from the page as it is written; a browser's own repairs of broken markup are not made.
+    """
+    spans = F.filter(content_spans(html), lambda a: (a["start"] >= 0) & (a["end"] - a["start"] > least))
+    return _let(F.get(spans, F.lit(0)), lambda best: F.when(best.isNotNull(), F.substring(html, best["start"] + 1, best["end"] - best["start"])).otherwise(html))
+
+
+def page_text(html: Column, most: int = 20_000) -> Column:
+    """What is kept of a page: the text of its content area, cut to ``most`` characters."""
+    return kept_text(content_area(html), most)
+
+
+def kept_text(area: Column, most: int = 20_000) -> Column:
+    return F.left(html_to_text(area), F.lit(most))
 
 
 #: Milliseconds that slow sites get.

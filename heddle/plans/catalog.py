@@ -211,6 +211,13 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
+@query
+def page_content(spark, sf_dir):
+    """The content area of each page and the text kept of it."""
+    areas = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(text.content_area(F.col("html")))).alias("area"))
+    return areas.select("page_id", F.char_length("area").alias("n_area"), F.md5(text.kept_text(F.col("area"))).alias("digest"))
+
+
 @query
 def page_timeouts(spark, sf_dir):
     sites = {"example.com": 45000, "org": 40000}

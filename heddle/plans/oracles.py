@@ -88,8 +88,7 @@ _COUNTS = f"{_script(0xB80, 0xBFF)} AS ta, {_script(0x980, 0x9FF)} AS bn, {_scri
 _MARKERS = "[" + ", ".join(_q(x) for x in sorted(MARATHI_WORDS)) + "]"
 
 
-def _html() -> str:
-    c = "html"
+def _html(c: str = "html") -> str:
     # RE2 has no back-references: one replacement for each tag. Blocks of different tags do not nest in these pages.
     for tag in ("script", "style", "nav", "footer", "header", "aside"):
         c = f"regexp_replace({c}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
@@ -97,6 +96,19 @@ def _html() -> str:
     return _strip(f"regexp_replace({c}, '[{WS}]{{2,}}', ' ', 'g')")
 
 
+#: Content areas by the depth of their own tag: enough for pages whose elements nest as they should.
+_AREA = """p AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<title\\b[^>]*>.*?</title\\s*>|<[^>]*>|[^<]+') AS ts FROM pages),
+t AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM p),
+o AS (SELECT *, sum(length(t)) OVER (PARTITION BY page_id ORDER BY i) AS upto, lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM t),
+f AS (SELECT page_id, name, i, upto, CASE WHEN name = 'main' THEN 1 WHEN name = 'article' THEN 2 WHEN regexp_matches(t, 'id="content"') THEN 3 WHEN regexp_matches(t, 'class="([^"]* )?content( [^"]*)?"') THEN 4 WHEN regexp_matches(t, 'class="([^"]* )?scheme-detail( [^"]*)?"') THEN 5 WHEN name = 'body' THEN 6 END AS k
+  FROM o WHERE regexp_matches(t, '^<[A-Za-z]')),
+g AS (SELECT * FROM f WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, k ORDER BY i) = 1),
+d AS (SELECT g.page_id, g.k, g.upto AS a, o.i, o.upto - length(o.t) AS b, 1 + sum(CASE WHEN starts_with(o.t, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY g.page_id, g.k ORDER BY o.i) AS depth
+  FROM g JOIN o ON o.page_id = g.page_id AND o.name = g.name AND o.i > g.i),
+z AS (SELECT page_id, k, b FROM d WHERE depth = 0 QUALIFY row_number() OVER (PARTITION BY page_id, k ORDER BY i) = 1),
+e AS (SELECT g.page_id, g.k, g.upto AS a, coalesce(z.b, length(p.html)) AS b FROM g JOIN p ON p.page_id = g.page_id LEFT JOIN z ON z.page_id = g.page_id AND z.k = g.k),
+h AS (SELECT page_id, html, coalesce((SELECT arg_min(substr(html, a::BIGINT + 1, (b - a)::BIGINT), k) FROM e WHERE e.page_id = p.page_id AND b - a > 500), html) AS area FROM p)"""
+
 _CODES = " ".join(f"WHEN {_q(k)} THEN 'language:{v}'" for k, v in dialogue.LANGUAGE_WORDS.items())
 _LOW = f"regexp_replace(lower(text), '^[{WS}]+|[{WS}]+$', '', 'g')"
 
@@ -171,6 +183,7 @@ SELECT cache_key, event_id, at_us, hit FROM r""",
     "chunk_type_histogram": "SELECT lang AS chunk_type, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, chunk_type",
     "chunk_ids": "WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)) SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS chunk_id, doc_id FROM k JOIN documents USING (doc_id)",
     "html_to_text": f"SELECT page_id, {_html()} AS text FROM pages",
+    "page_content": f"WITH {_AREA} SELECT page_id, length(area)::INTEGER AS n_area, md5(left({_html('area')}, 20000)) AS digest FROM h",
     "page_timeouts": """WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 45000 WHEN host = 'org' OR ends_with(host, '.org') THEN 40000 ELSE 25000 END AS timeout_ms FROM h""",
     "cache_keys": f"""SELECT conv_id, turn, 'scheme_answer:' || left(sha256('scheme_answer|' || regexp_replace(regexp_replace(lower({_strip("text")}), '[{WS}]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_{WS}\\x{{0900}}-\\x{{097F}}\\x{{0980}}-\\x{{09FF}}\\x{{0B80}}-\\x{{0BFF}}]', '', 'g') || '|en|' || role), 24) AS cache_key FROM conversations""",

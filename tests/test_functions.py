@@ -42,6 +42,92 @@ def test_content_area(ev):
     assert ev(text.content_area, "<p>little</p>") == "<p>little</p>"
 
 
+LONG = "y" * 600
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="content wide">{LONG}</div><p>after</p>', LONG),
+        (f"<article>{LONG}</article><nav>menu</nav><article>{LONG}z</article>", LONG),
+        (f'<div id="content"><div>{LONG}</div></div><div>footer</div>', f"<div>{LONG}</div>"),
+        (f'<div data-x="a > b" ID=content>{LONG}</div>', LONG),
+        (f"<div class='x\nscheme-detail'>{LONG}", LONG),
+        (f"<main>short<article>{LONG}</main>{LONG}</article>", f"short<article>{LONG}"),
+        (f'<main><script>var s = "</main>";</script>{LONG}</main>', f'<script>var s = "</main>";</script>{LONG}'),
+        (f"<main><!-- </main> -->{LONG}</main>x", f"<!-- </main> -->{LONG}"),
+        (f'<div data-class="content" class="contents">{LONG}</div>', None),
+        (f"<BODY lang=x>{LONG}</Body></html>", LONG),
+        ("", None), ("<", None), ("<main", None), ('<main class="', None),
+    ],
+)
+def test_content_area_by_depth(ev, page, want):
+    assert ev(text.content_area, page) == (page if want is None else want)
+
+
+def parsed_area(page, least=500):
+    """The same by the standard parser and a stack of open elements."""
+    from html.parser import HTMLParser
+
+    starts = [0]
+    for line in page.split("\n"):
+        starts.append(starts[-1] + len(line) + 1)
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.open, self.found = [], {}
+
+        def at(self):
+            line, col = self.getpos()
+            return starts[line - 1] + col
+
+        def handle_starttag(self, tag, attrs):
+            if tag in text.VOID_TAGS + text.RAW_TAGS:
+                return
+            a = dict(attrs)
+            self.open.append((tag, begin := self.at() + len(self.get_starttag_text())))
+            kinds = [tag == "main", tag == "article", a.get("id") == "content", "content" in (a.get("class") or "").split(), "scheme-detail" in (a.get("class") or "").split(), tag == "body"]
+            for k, hit in enumerate(kinds):
+                if hit:
+                    self.found.setdefault(k, [begin, len(self.open), None])
+
+        def handle_endtag(self, tag):
+            names = [t for t, _ in self.open]
+            if tag in names:
+                keep = len(names) - 1 - names[::-1].index(tag)
+                for f in self.found.values():
+                    if f[2] is None and f[1] > keep:
+                        f[2] = self.at()
+                del self.open[keep:]
+
+    p = P()
+    p.feed(page)
+    p.close()
+    for k in sorted(p.found):
+        a, _, b = p.found[k]
+        b = len(page) if b is None else b
+        if b - a > least:
+            return page[a:b]
+    return page
+
+
+def test_content_area_matches_a_parser(spark):
+    """Random pages with broken nesting, quoted brackets, scripts and comments."""
+    import random
+
+    rng = random.Random(11)
+    pieces = ["<main>", "</main>", "<article class='a b'>", "</article>", '<div id="content">', '<div class="content x">', "<div>", "</div>", "</div>", "<DIV class=scheme-detail>", "<body>", "</body>", "<p>", "</p>", "<br>", "<br/>", "text ", "é\n", "<b title='1 > 2'>", "</b>", "<script>if (a < b) '</div>'</script>", "<style>p > a {}</style>", "<!-- <main> -->", "&amp;"]
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", *(text.content_area(F.col("html"), n).alias(f"c{n}") for n in (0, 40)))
+    for r in df.collect():
+        assert (r["c0"], r["c40"]) == (parsed_area(pages[r["i"]], 0), parsed_area(pages[r["i"]], 40)), pages[r["i"]]
+
+
+def test_page_text_is_cut(ev):
+    assert ev(text.page_text, "<p>" + "word " * 9000 + "</p>") == ("word " * 4000)[:20000]
+
+
 @pytest.mark.parametrize("url, ms", [("https://www.nabard.org/x", 45000), ("http://a.nsdl.co.in", 40000), ("https://www.wwwx.org", 25000), ("https://notnabard.org", 25000)])
 def test_fetch_timeout(ev, url, ms):
     assert ev(text.fetch_timeout, url) == ms
