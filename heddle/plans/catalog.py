@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialogue, guardrail, language, text
-from ..operators import chunks, retrieval, rules, state, usage
+from ..operators import block_index, chunks, retrieval, rules, state, usage
 from ..sources import readers, sinks
 from ..sources.schemas import FACTS
 from . import models
@@ -336,6 +336,13 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top_ranked(retrieval.bm25_scores(doc_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir)), 20)
 
 
+@query
+def bm25_index_topk(spark, sf_dir):
+    """The same from a block index, chunks laid by type; blocks below a query's floor are not scored."""
+    index = block_index.build(doc_chunks(spark, sf_dir), ("chunk_type",))
+    return block_index.search(index, benchmark_queries(spark, sf_dir), 20)[0]
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set: every vector whose id is divisible by 20, as query id / 20."""
     v = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)

@@ -195,6 +195,7 @@ SELECT msg_id, CASE WHEN n = 0 OR (n < 3 AND latin > 3 * n) THEN NULL WHEN top =
 SELECT msg_id, intent, CASE WHEN intent = 'eligibility_check' THEN 'start_flow' WHEN intent IN ('scheme_query', 'document_query', 'how_to_apply') THEN 'retrieval' ELSE 'general' END AS route FROM i""",
     "message_commands": f"""WITH {MSG}, l AS (SELECT msg_id, {_LOW} AS low FROM m)
 SELECT msg_id, CASE WHEN low IN {_in(dialogue.RESET_WORDS)} THEN 'reset' ELSE coalesce(CASE low {_CODES} END, CASE WHEN low IN {_in(dialogue.ELIGIBILITY_WORDS)} THEN 'eligibility' ELSE 'run' END) END AS command, {_any("low", dialogue.QUESTION_SIGNS)} AS question FROM l""",
+    "bm25_index_topk": f"WITH {_bm25()} SELECT query_id, rank, chunk_id, score FROM sparse",
     "bm25_topk": f"WITH {_bm25()} SELECT query_id, rank, chunk_id, score FROM sparse",
     "dense_topk": f"WITH {DENSE} SELECT query_id, rank, chunk_id, score FROM dense",
     "hybrid_rrf": f"WITH {FUSED} SELECT query_id, chunk_id, rrf, dense_rank, sparse_rank FROM fused",
