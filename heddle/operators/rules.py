@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialogue import amount
+from ..sources.scratch import counted, stored
 from .retrieval import documents_in
 
 
@@ -84,17 +85,82 @@ def eligible(profile, rules) -> Column:
     return out
 
 
+#: Profiles and rules meet on a grid of 2**LEVELS by 2**LEVELS leaves of age and income.
+LEVELS = 4
+AGE_STEP, INCOME_STEP = 8, 50_000
+
+
+def _leaf(value: Column, step: int) -> Column:
+    """The leaf of a value, null for null; the last one has no end."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(2**LEVELS - 1), F.floor(value / step))).cast("int"))
+
+
+def point_leaf(age: Column, income: Column) -> Column:
+    """The leaf ``(a, i)`` of a profile, null where either is unknown."""
+    return F.when(age.isNotNull() & income.isNotNull(), F.struct(_leaf(age, AGE_STEP).alias("a"), _leaf(income, INCOME_STEP).alias("i")))
+
+
+def point_bins(leaf: Column) -> Column:
+    """The square that holds a leaf at each level, from the whole grid down to itself."""
+    a, i = leaf["a"], leaf["i"]
+    return F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(a, LEVELS - n).alias("a"), F.shiftright(i, LEVELS - n).alias("i")) for n in range(LEVELS + 1)))
+
+
+def area_leaves(age_min: Column, age_max: Column, income_max: Column) -> Column:
+    """The leaves ``(low, high, top)`` of ``[age_min, age_max] x (-inf, income_max]``; null bounds are open."""
+    last = F.lit(2**LEVELS - 1)
+    return F.struct(F.coalesce(_leaf(age_min, AGE_STEP), F.lit(0)).alias("low"), F.coalesce(_leaf(age_max, AGE_STEP), last).alias("high"), F.coalesce(_leaf(income_max, INCOME_STEP), last).alias("top"))
+
+
+def area_bins(leaves: Column) -> Column:
+    """The fewest squares that cover an area's leaves; a profile within lies in just one of them."""
+    low, high, top = leaves["low"], leaves["high"], leaves["top"]
+
+    def inside(n: int, a: Column, i: Column) -> Column:
+        side = 2 ** (LEVELS - n)
+        return (a * side >= low) & (a * side + (side - 1) <= high) & (i * side + (side - 1) <= top)
+
+    def squares(n: int) -> Column:
+        def square(k: Column) -> Column:
+            a, i = F.shiftright(k, n), k.bitwiseAND(2**n - 1)
+            whole = inside(n, a, i)
+            return F.when(whole & ~inside(n - 1, F.shiftright(a, 1), F.shiftright(i, 1)) if n else whole, F.struct(F.lit(n).alias("level"), a.alias("a"), i.alias("i")))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(4**n - 1)), square)
+
+    return F.array_compact(F.concat(*(squares(n) for n in range(LEVELS + 1))))
+
+
+def _job(kind: str, name: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+
 def match(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
-    """``(profile_id, id)`` of eligible pairs, joined on occupation: a scheme stands under its occupations, or under * when it has none to
-    ask for; a profile looks under its own and *. Profiles without one look under ?, where every restricted scheme stands. Income limits are parsed once a scheme."""
+    """``(profile_id, id)`` of eligible pairs, each once: a range join on squares of age and income, and on the occupation.
+
+    A scheme stands under each occupation it names, or as open to all; and under "any" for profiles without one. Profiles look under their own and the open ones, or under "any".
+    Within these, a scheme lies in the squares that cover its age and income range, a profile in one square a level; profiles whose age or income is unknown meet all schemes of
+    their occupation. What squares leave open is checked on the pair. Income limits are parsed once a scheme; schemes are broadcast when they were counted to be few.
+    """
     e = F.col("eligibility_rules")
     jobs = F.array_distinct(F.array_compact(e["occupation"]))
-    open_to_all = e.isNull() | e["occupation"].isNull() | (F.size(e["occupation"]) == 0) | F.arrays_overlap(e["occupation"], F.array(F.lit("any"), F.lit("all")))
-    keys = F.when(F.coalesce(open_to_all, F.lit(False)), F.array(F.lit("*"))).otherwise(F.concat(jobs, F.array(F.lit("?"))))
-    right = schemes.select("id", "eligibility_rules", income_limit(e["income_max_annual"]).alias("income_limit"), F.explode(keys).alias("_key"))
-    left = profiles.withColumn("_key", F.explode(F.array(F.coalesce("occupation", F.lit("?")), F.lit("*"))))
+    open_to_all = e.isNull() | e["occupation"].isNull() | (F.size(e["occupation"]) == 0) | F.arrays_overlap(e["occupation"], F.array(F.lit("any"), F.lit("all"))) | F.exists(e["occupation"], lambda j: j.isNull())
+    named = F.when(F.coalesce(open_to_all, F.lit(False)), F.array(_job("open", F.lit("")))).otherwise(F.transform(jobs, lambda j: _job("one", j)))
+    right = schemes.select("id", "eligibility_rules", income_limit(e["income_max_annual"]).alias("income_limit"))
+    unknown = F.struct(F.lit(-1).alias("level"), F.lit(0).alias("a"), F.lit(0).alias("i"))
+    right = right.withColumn("_job", F.explode(F.concat(named, F.array(_job("any", F.lit(""))))))
+    right = right.withColumn("_area", area_leaves(e["age_min"], e["age_max"], F.col("income_limit")))
+    right = right.withColumn("_bin", F.explode(F.concat(area_bins(F.col("_area")), F.array(unknown)))).drop("_area")
+    right = counted(stored(right, "scheme-bins"), SCHEME_BINS)
+    left = profiles.withColumn("_job", F.explode(F.when(F.col("occupation").isNull(), F.array(_job("any", F.lit("")))).otherwise(F.array(_job("one", F.col("occupation")), _job("open", F.lit(""))))))
+    left = left.withColumn("_leaf", point_leaf(F.col("age"), F.col("annual_income")))
+    left = left.withColumn("_bin", F.explode(F.when(F.col("_leaf").isNull(), F.array(unknown)).otherwise(point_bins(F.col("_leaf")))))
     fits = eligible(lambda n: F.col(n), lambda n: F.col("income_limit") if n == "income_limit" else F.col("eligibility_rules")[n])
-    return left.join(right, (left["_key"] == right["_key"]) & fits).select("profile_id", "id")
+    return left.join(right, (left["_job"] == right["_job"]) & (left["_bin"] == right["_bin"]) & fits).select("profile_id", "id")
+
+
+#: Rows of schemes by occupation and square that are broadcast at most.
+SCHEME_BINS = 100_000
 
 
 def checklist(schemes: DataFrame, ids: DataFrame, lang: str = "en") -> DataFrame:
