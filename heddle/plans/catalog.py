@@ -6,6 +6,7 @@ type: language), ``embeddings`` for vectors, ``pages`` for scraped pages, ``conv
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dialogue, guardrail, language, text
 from ..operators import block_index, chunks, retrieval, rules, state, usage
-from ..sources import readers, sinks
+from ..sources import keyed, readers, scratch, sinks
 from ..sources.schemas import FACTS
 from . import models
 
@@ -496,6 +497,19 @@ def summary_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(state.summary_due(F.col("turn"))).select("conv_id", "turn")
 
 
+@query
+def keyed_turns(spark, sf_dir):
+    """The last turn of each conversation in a keyed table: early turns as one batch, the others as a second, which is replayed; then whole conversations are deleted."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kept = keyed.KeyedTable(spark, f"{scratch.folder(spark)}/keyed-{uuid.uuid4().hex}", "conv_id", c.schema, 16)
+    put = keyed.put_latest("conv_id", F.desc("turn"))
+    kept.change(1, c.where("turn < 4"), put)
+    for _ in range(2):
+        kept.change(2, c.where("turn >= 4"), put)
+    kept.change(3, c.where("conv_id % 9 = 0").select("conv_id"), keyed.drop_keys("conv_id"))
+    return kept.read().select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
 @query
 def session_codec(spark, sf_dir):
     """Conversations as session rows, encoded as they are stored and decoded again."""

@@ -228,6 +228,7 @@ r AS (SELECT o_custkey, i, [p_brand] AS recent FROM m WHERE i = 1
 SELECT o_custkey, array_to_string(recent, ',') AS recent FROM r QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY i DESC) = 1""",
     "carry_forward": """SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS last_spent, last_value(CASE WHEN event_type = 'error' THEN props END IGNORE NULLS) OVER w AS last_fault
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "keyed_turns": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE conv_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "summary_turns": "SELECT conv_id, turn FROM conversations WHERE turn > 0 AND turn % 4 = 0",
     "events_windowed": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "session_windows": """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),

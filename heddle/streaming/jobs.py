@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.dialogue import FEMALE_OCCUPATIONS, SLOTS
 from ..functions.fixed import BINARY_SLOTS, NO_WORDS, OCCUPATION_BUTTONS, YES_WORDS
+from ..sources.keyed import KeyedTable, put_latest
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -139,19 +140,10 @@ def slot_dialogue_replay(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandas(replay, SLOT_ROWS)
 
 
-def upsert_sessions(sessions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest row of each session, kept as a table that every batch rewrites to a new version folder.
+def upsert_sessions(sessions: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Latest row of each session, kept as a keyed table of which a batch rewrites the buckets it touches; read it by ``KeyedTable(...).read()``.
 
-    Rows may be those of ``sinks.encoded_sessions``. The version before the last is deleted by whoever cleans the folder, once no reader needs it.
+    Rows may be those of ``sinks.encoded_sessions``.
     """
-
-    def save(batch: DataFrame, epoch: int) -> None:
-        from ..sources.sinks import latest, upsert
-
-        spark = batch.sparkSession
-        new = latest(batch, "id", F.desc("turn"), F.desc("updated_at"))
-        old = f"{path}/v{epoch - 1}"
-        table = upsert(spark.read.schema(batch.schema).parquet(old), new, "id") if epoch else new
-        table.write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return sessions.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    table = KeyedTable(sessions.sparkSession, path, "id", sessions.schema, buckets)
+    return table.follow(sessions, put_latest("id", F.desc("turn"), F.desc("updated_at")), checkpoint)

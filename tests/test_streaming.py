@@ -231,8 +231,15 @@ def test_timed_out_state_is_dropped():
 def test_session_upserts(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:00:01"), ("b", 1, "2024-01-01 00:00:00")], "id string, turn int, t string").select("id", "turn", F.col("t").cast("timestamp").alias("updated_at"))
     df.write.parquet(str(tmp_path / "s"))
-    jobs.upsert_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "s")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert sorted((r["id"], r["turn"]) for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()) == [("a", 2), ("b", 1)]
+    from heddle.sources.keyed import KeyedTable
+
+    def run():
+        jobs.upsert_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "s")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+        return sorted((r["id"], r["turn"]) for r in KeyedTable(spark, str(tmp_path / "t"), "id", df.schema).read().collect())
+
+    assert run() == [("a", 2), ("b", 1)]
+    spark.createDataFrame([("b", 5), ("c", 1)], "id string, turn int").withColumn("updated_at", F.lit("2024-01-02").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "s"))
+    assert run() == [("a", 2), ("b", 5), ("c", 1)] == run()
 
 
 def test_cache_aside_stores_what_was_asked(spark):
