@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.scratch import stored
+from ..sources.scratch import counted, stored
 
 
 def _t(c: str) -> Column:
@@ -110,11 +110,14 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """Of rows with an equal key the first in order; only keys and order are compared, the rest rides along."""
+    """Of rows with an equal key the first in order. The aggregate sees keys and order only; rows are then picked by both, so that a key with many rows is no hot spot."""
     rows = df.withColumn("_key", key)
-    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    same = F.struct(*(rows[c] for c in order)) == F.col("_first")
-    return rows.join(first, "_key").where(same).drop("_key", "_first")
+    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_f")).where("_key is not null")
+    first = counted(stored(first.select(F.col("_key").alias("_k"), *(F.col(f"_f.{c}").alias(f"_o{i}") for i, c in enumerate(order))), "first-rows"))
+    same = rows["_key"] == first["_k"]
+    for i, c in enumerate(order):
+        same = same & rows[c].eqNullSafe(first[f"_o{i}"])
+    return rows.join(first, same, "left_semi").drop("_key")
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dialogue, guardrail, language, text
 from ..operators import block_index, chunks, retrieval, rules, state, usage
-from ..sources import keyed, readers, scratch, sinks
+from ..sources import keyed, readers, scratch, seen, sinks
 from ..sources.schemas import FACTS
 from . import models
 
@@ -196,6 +196,20 @@ def dedup_md5(spark, sf_dir):
     return chunks.keep_first(doc_chunks(spark, sf_dir), F.md5("text"), "chunk_id").select("chunk_id", F.md5("text").alias("digest"))
 
 
+@query
+def dedup_runs(spark, sf_dir):
+    """Documents as three runs that share a table of digests: what each run finds new."""
+    d = doc_chunks(spark, sf_dir)
+    tag = uuid.uuid4().hex
+    known = seen.SeenTable(spark, f"seen_{tag}", 16, f"{scratch.folder(spark)}/seen-{tag}")
+    out = None
+    for run in range(3):
+        new = scratch.stored(known.fresh(d.where(F.pmod(F.col("chunk_id"), F.lit(3)) == run), F.md5("text"), "chunk_id").select(F.lit(run).alias("run"), "chunk_id", "digest"), "fresh")
+        known.remember(new)
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
 @query
 def chunk_type_histogram(spark, sf_dir):
     return chunks.type_histogram(doc_chunks(spark, sf_dir))

@@ -180,6 +180,8 @@ SELECT cache_key, event_id, at_us, hit FROM r""",
     "corpus_stats": f"WITH {STATS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
     "inverted_lists": f"WITH {TF} SELECT term, chunk_id // 10000 AS block, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_list FROM tf GROUP BY ALL",
     "dedup_md5": "SELECT min(doc_id) AS chunk_id, md5(text) AS digest FROM documents GROUP BY md5(text)",
+    "dedup_runs": """WITH d AS (SELECT doc_id, (doc_id % 3)::INTEGER AS run, md5(text) AS digest FROM documents),
+f AS (SELECT digest, min(run) AS run FROM d GROUP BY digest) SELECT run, min(doc_id) AS chunk_id, digest FROM d JOIN f USING (digest, run) WHERE digest IS NOT NULL GROUP BY run, digest""",
     "chunk_type_histogram": "SELECT lang AS chunk_type, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, chunk_type",
     "chunk_ids": "WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)) SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS chunk_id, doc_id FROM k JOIN documents USING (doc_id)",
     "html_to_text": f"SELECT page_id, {_html()} AS text FROM pages",
