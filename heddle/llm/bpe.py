@@ -22,15 +22,17 @@ from __future__ import annotations
 import codecs
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
+from tokenizers import Regex, normalizers
 
 SPACES = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: The contraction endings of the pre-tokenizer's pattern, in its order.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Code points that neither compose nor reorder among each other and whose lower case no Unicode version since 5.0 has changed. A text of these alone is composed as it stands.
+SETTLED = re.compile("[\x00-\u02ff\u0391-\u03c9\u0400-\u0481\u048a-\u0523\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u3001-\u301c\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*")
 SPACE, LETTER, NUMBER, OTHER, UNSEEN = 0, 1, 2, 3, 255
 CHUNK = 1 << 18
 
@@ -136,6 +138,8 @@ class Encoder:
         self.most = memo
         self.kinds = np.full(0x110000, UNSEEN, np.uint8)
         self.kinds[SPACES] = SPACE
+        self.form = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.classes = {kind: normalizers.Replace(Regex(rf"\p{{{name}}}"), "") for kind, name in ((LETTER, "L"), (NUMBER, "N"))}
 
     def word(self, w: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -148,19 +152,26 @@ class Encoder:
             return tuple(merge_all(ids, voc.rank))
         return tuple(transduce(chain((voc.inner[b] for b in raw[:-1]), (voc.final[raw[-1]],)), voc))
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed form, lower case letter by letter (without the final-sigma rule)."""
+    def normal(self, text: str) -> str:
+        """Composed form, lower case letter by letter (without the final-sigma rule).
+
+        Compositions, the order of marks and classes of characters differ between versions of Unicode, so for all but settled texts they are asked from the library that the file is for.
+        """
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if SETTLED.fullmatch(text):
+            return text.replace("Σ", "σ").lower()
+        return self.form.normalize_str(text)
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kinds[points]
         if (kinds == UNSEEN).any():
-            for p in np.unique(points[kinds == UNSEEN]).tolist():
-                c = unicodedata.category(chr(p))[0]
-                self.kinds[p] = LETTER if c == "L" else NUMBER if c == "N" else OTHER
+            new = np.unique(points[kinds == UNSEEN])
+            text = "".join(map(chr, new.tolist()))
+            self.kinds[new] = OTHER
+            for kind, drop in self.classes.items():
+                left = drop.normalize_str(text)
+                self.kinds[[ord(c) for c in set(text).difference(left)]] = kind
             kinds = self.kinds[points]
         return kinds
 

@@ -38,6 +38,39 @@ def test_encode_is_the_library(library, enc, parts):
     assert "".join(bpe.TextDecoder(enc.voc, shown=True).feed(ids[0].tolist(), 3)) == library.decode(ids[0].tolist(), skip_special_tokens=False)
 
 
+def test_every_code_point_is_the_library(library, enc):
+    """Between letters, doubled and alone, in capitals and with a mark after it."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(points), 4096):
+        text = " ".join(f"a{c}B {c}{c} {c} {c}\u0301\u0323x" for c in points[k : k + 4096] if c != "<")
+        assert enc.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(points[k]))
+
+
+def test_marks_in_any_order_are_the_library(library, enc):
+    """Marks of all classes after one another, among them those that newer versions of Unicode order differently."""
+    import unicodedata
+
+    rng = random.Random(8)
+    marks = [chr(i) for i in range(0x110000) if unicodedata.combining(chr(i))]
+    odd = [chr(i) for i in (0x0EBA, 0x0D3B, 0x0D3C, 0x09FE, 0x0C3C, 0x1133B, 0x11D42, 0x3099, 0x309A, 0x0345, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x212B, 0x1E9B)]
+    texts = [f"a{a}{b}" for a in odd for b in marks] + [f"{b}{a}e" for a in odd for b in marks]
+    texts += ["".join(rng.choice([*odd, rng.choice(marks), rng.choice("aeıİßΣσ"), chr(rng.randrange(0x250, 0xD800))]) for _ in range(rng.randrange(1, 9))) for _ in range(60_000)]
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.batch(part)] == want
+
+
+def test_settled_characters_do_not_compose(enc):
+    import unicodedata
+
+    chars = [chr(i) for i in range(0xD800) if bpe.SETTLED.fullmatch(chr(i))]
+    second = {unicodedata.normalize("NFD", chr(i))[-1] for i in range(0x30000) if len(unicodedata.normalize("NFD", chr(i))) > 1}
+    assert not any(unicodedata.combining(c) or c in second for c in chars) and all(unicodedata.is_normalized("NFC", c) for c in chars)
+    text = "".join(chars)
+    assert enc.form.normalize_str(text) == text.replace("Σ", "σ").lower()
+
+
 def test_long_texts_and_long_words(library, enc):
     rng = random.Random(5)
     for t in ("".join(rng.choice("abinthero") for _ in range(6000)), "ab" * 5000, "the cat sat. " * 40_000, "x" * 700 + "'s" + "é" * 900):
