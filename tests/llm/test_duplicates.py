@@ -256,6 +256,25 @@ def test_suffix_array_covers_all_in_families_of_edited_copies(spark, once):
         assert all(w <= got[d] for d, w in want.items())
 
 
+def test_suffix_array_reports_whole_matches(spark):
+    """Matches of any length, also where another document holds the middle: every row is a maximal match of its two texts."""
+    rng = random.Random(6)
+    make = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    p, q = make(500), make(2000)
+    rows = [(1, make(7) + p + make(9)), (2, make(3) + p[150:350] + make(4)), (3, make(11) + p + make(2)), (4, q + make(5)), (5, make(60) + q[100:1900] + make(1)), (6, q[900:1000] + make(8)), (7, make(9) + q)]
+    rows += [(10, ["a"] * 900 + ["b"]), (11, ["c"] + ["a"] * 700), (12, ["x", "y", "z"] * 200), (13, make(3) + ["x", "y", "z"] * 150)]
+    texts = dict(rows)
+    found = suffix_array.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    for r in found:
+        a, b, s, t, n = texts[r["doc_id"]], texts[r["other_doc_id"]], r["start_word"], r["other_start_word"], r["n_words"]
+        assert a[s : s + n] == b[t : t + n] and n >= 50
+        assert s == 0 or t == 0 or a[s - 1] != b[t - 1]
+        assert s + n == len(a) or t + n == len(b) or a[s + n] != b[t + n]
+    whole = {(r["doc_id"], r["other_doc_id"]): r["n_words"] for r in found if r["doc_id"] < 10}
+    assert whole[3, 1] == 500 and {n for (x, y), n in whole.items() if 2 in (x, y)} == {200} and whole[5, 4] == 1800
+    assert max(n for (x, y), n in whole.items() if {x, y} == {4, 7} or {x, y} == {5, 7}) >= 1800
+
+
 def test_suffix_array_edges(spark, docs):
     assert suffix_array.repeated_passages(docs.where("false")).count() == 0
     assert suffix_array.repeated_passages(docs).count() > 0  # null and repeated ids
