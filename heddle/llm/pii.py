@@ -3,12 +3,12 @@
 Detection is by format (mail addresses, IPv4, card and account numbers, phone numbers, social security numbers, IBANs, assigned secrets,
 titled person names). An entity has a canonical form (case, spaces and punctuation removed), so that its spellings corefer: its surrogate is
 a keyed function of type and canonical form, laid over each occurrence's own format: digits stay digits, letters stay letters of the same
-case and script, card numbers keep a valid check digit where the original had one, names keep the gender of their title.
+case and of their script where one is known (else Latin), card numbers keep a valid check digit where the original had one, names keep the gender of their title.
 
 Distinctness: all canonical forms of the corpus are gathered, without texts, in a distributed distinct. Surrogates that two entities
-share, or that equal some real entity, are drawn again with the next attempt number for all but the smallest of the entities, until none is left
-(names grow with the attempt; addresses move on to larger ranges; types of a fixed length stop with an error when ``rounds`` draws have not sufficed, which means
-that the corpus holds nearly all there are). Who keeps a surrogate is a map-side combined minimum, so no task gathers the entities of one. Only entities
+share, or that equal some real entity, are drawn again with the next attempt number for all but the smallest of the entities, until none is left.
+Names grow with each attempt, everything else from the third draw on by a letter or digit a draw (addresses move on to larger ranges), so that short formats, all of whose values the
+corpus may hold, do not run out. Who keeps a surrogate is a map-side combined minimum, so no task gathers the entities of one. Only entities
 with an attempt over 0 need to travel to the rewriting stage: as a broadcast while few, else joined to the rows that hold them.
 
 Defined cases. Null text stays null. Empty text and text without entities stay as they are. Rows are independent of their ids, so null or
@@ -39,21 +39,49 @@ NAMES = {
     ("family", "latin"): ["Albers", "Brandt", "Castel", "Duarte", "Ekholm", "Farago", "Gomes", "Hartog", "Ibsen", "Jansky", "Keller", "Lindner", "Moreau", "Novak", "Olsen", "Prieto"],
     ("family", "cyrillic"): ["Белов", "Громов", "Зимин", "Котов", "Лебедев", "Морозов", "Орлов", "Соколов"],
 }
+NAMES |= {
+    ("m", "greek"): ["Αλεξανδρος", "Γιαννης", "Κωστας", "Νικος", "Πετρος", "Σπυρος"],
+    ("f", "greek"): ["Αννα", "Ελενη", "Ιωαννα", "Μαρια", "Νικη", "Σοφια"],
+    ("family", "greek"): ["Αντωνιου", "Βασιλειου", "Γεωργιου", "Δημου", "Λαμπρου", "Παυλου"],
+}
+NAMES |= {("n", script): NAMES["m", script] + NAMES["f", script] for script in ("latin", "cyrillic", "greek")}
 #: Letters of the syllables that family names get.
-SYLLABLES = {"latin": ("bdfghklmnprstvwz", "aeio"), "cyrillic": ("бвгдзклмнпрстфхч", "аеио")}
+SYLLABLES = {"latin": ("bdfghklmnprstvwz", "aeio"), "cyrillic": ("бвгдзклмнпрстфхч", "аеио"), "greek": ("βγδζκλμνπρστφχ", "αειο")}
 MALE = {"mr", "herr", "señor", "sr", "monsieur", "г-н"}
 FEMALE = {"mrs", "ms", "miss", "frau", "señora", "sra", "mme", "madame", "г-жа"}
 
-MAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+MAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.(?:[A-Za-z]{2,}|[^\W\d_]{2,})")
 IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d.-]*\d)")
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"(?i)(?<!\w)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{12,})")
-PERSON = re.compile(r"(?<!\w)(Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|г-н|г-жа)\.?[  ]+([A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё'-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё'-]+)?)")
+#: A letter with its marks, and a word of letters with apostrophes and hyphens inside.
+_L = "[^\\W\\d_][\u0300-\u036f]*"
+_NAME = rf"(?:{_L})+(?:['’-](?:{_L})+)*"
+PERSON = re.compile(rf"(?<!\w)(Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Dr|Prof|г-н|г-жа)\.?[ \u00a0]+({_NAME}(?: {_NAME})?)")
 _DIGIT = re.compile(r"\d")
 _PLAIN = re.compile(r"[^0-9A-Za-zÀ-ɏ]")
+#: Scripts by their letters, in order of code points: where a letter lies, and the letters that stand for it.
+SCRIPTS = [
+    ("latin", 0x00AA, 0x024F, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"), ("greek", 0x0370, 0x03FF, "αβγδεζηθικλμνξοπρστυφχψω"), ("cyrillic", 0x0400, 0x052F, "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("armenian", 0x0531, 0x0586, range(0x0561, 0x0586)),
+    ("hebrew", 0x05D0, 0x05EA, range(0x05D0, 0x05EB)), ("arabic", 0x0620, 0x06D3, range(0x0628, 0x063B)), ("devanagari", 0x0904, 0x097F, range(0x0915, 0x0929)), ("bengali", 0x0985, 0x09B9, range(0x0995, 0x09A9)), ("tamil", 0x0B83, 0x0BB9, "கஙசஞடணதநனபமயரறலளழவ"),
+    ("thai", 0x0E01, 0x0E30, range(0x0E01, 0x0E2F)), ("georgian", 0x10D0, 0x10FF, range(0x10D0, 0x10F1)), ("latin", 0x1E00, 0x1EFF, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"), ("greek", 0x1F00, 0x1FFF, "αβγδεζηθικλμνξοπρστυφχψω"),
+    ("kana", 0x3041, 0x30FA, range(0x304B, 0x3060)), ("han", 0x3400, 0x9FFF, range(0x4E00, 0x9FA6)), ("hangul", 0xAC00, 0xD7A3, range(0xAC00, 0xD7A4)),
+]
+
+
+def script_of(c: str) -> tuple[str, str | range] | None:
+    """The script of a letter beyond a-z, with the letters that stand for it."""
+    p = ord(c)
+    return next(((name, letters) for name, low, high, letters in SCRIPTS if low <= p <= high), None)
+
+
+def low(text: str) -> str:
+    """Lower case, letter for letter."""
+    new = text.lower()
+    return new if len(new) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def luhn(digits: str) -> bool:
@@ -79,15 +107,21 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         add([(*m.span(1), "secret", m[1].lower()) for m in SECRET.finditer(text) if _DIGIT.search(m[1])])
     if "@" in text:
-        add([(*m.span(), "mail", m[0].lower()) for m in MAIL.finditer(text)])
+        add([(*m.span(), "mail", low(m[0])) for m in MAIL.finditer(text)])
     if _DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
             add([(*m.span(), kind, m[0] if kind == "ip" else _PLAIN.sub("", m[0]).upper()) for m in pattern.finditer(text)])
     people = []
     for m in PERSON.finditer(text):
-        gender = "m" if m[1].lower() in MALE else "f"
-        script = "cyrillic" if re.search(r"[А-Яа-яЁё]", m[2]) else "latin"
-        people.append((*m.span(2), f"person-{gender}-{script}", m[2].lower()))
+        words = m[2].split(" ")
+        named = [w[0].isupper() and any(c.islower() for c in w) for w in words]
+        if not named[0]:
+            continue
+        name = m[2] if all(named) else words[0]
+        gender = "m" if m[1].lower() in MALE else "f" if m[1].lower() in FEMALE else "n"
+        found = {(script_of(c) or ("latin",))[0] for c in name if c.isalpha()}
+        script = next((x for x in ("cyrillic", "greek") if x in found), "latin")
+        people.append((m.start(2), m.start(2) + len(name), f"person-{gender}-{script}", low(name)))
     add(people)
     return out
 
@@ -108,18 +142,28 @@ class Stream:
 
 
 def _letter(c: str, s: Stream, hexa: bool) -> str:
+    """Another letter for a letter, in lower case; marks of other kinds stay."""
     if "a" <= c <= "z":
         return "abcdef"[s.below(6)] if hexa else chr(97 + s.below(26))
-    if "à" <= c <= "ÿ" and c != "÷":
-        return "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"[s.below(30)]
-    if "а" <= c <= "я":
-        return chr(0x430 + s.below(32))
-    return c
+    if not c.isalnum():
+        return c
+    if c.isdigit():
+        return str(s.below(10))
+    letters = (script_of(c) or ("", ""))[1]
+    if not letters:
+        return chr(97 + s.below(26))
+    new = letters[s.below(len(letters))]
+    return chr(new) if isinstance(new, int) else new
+
+
+#: Draws of a format's own length before it grows.
+SAME_LENGTH = 2
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The canonical form of the replacement: same type, same length and character classes, or a name of the same gender and script."""
+    """The canonical form of the replacement: same type, length (but for late attempts) and character classes, or a name of the same gender and script."""
     s = Stream(key, kind, canon, attempt)
+    more = max(0, attempt + 1 - SAME_LENGTH)
     if kind.startswith("person"):
         _, gender, script = kind.split("-")
         names, family = NAMES[gender, script], NAMES["family", script]
@@ -134,11 +178,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return ".".join([str(lead), *(str(s.below(256)) for _ in range(3))])
     if kind == "mail":
         local, _, domain = canon.partition("@")
-        name = "".join(str(s.below(10)) if c.isdigit() else _letter(c, s, False) for c in local)
+        name = "".join(str(s.below(10)) if c.isdigit() else _letter(c, s, False) for c in local) + "".join(chr(97 + s.below(26)) for _ in range(more))
         host, dot, last = domain.rpartition(".")
         return name + "@" + "".join(str(s.below(10)) if c.isdigit() else _letter(c, s, False) for c in host) + dot + last
     hexa = kind == "secret" and re.fullmatch(r"[0-9a-f]+", canon) is not None
-    out = [str(s.below(10)) if c.isdigit() else _letter(c.lower(), s, hexa) for c in canon]
+    out = [str(s.below(10)) if c.isdigit() else _letter(c.lower(), s, hexa) for c in canon] + [str(s.below(10)) for _ in range(more)]
     if kind == "phone":
         lead = max(0, len(canon) - 10)  # the country part stays
         out[:lead] = canon[:lead]
@@ -159,16 +203,23 @@ def lay_over(kind: str, original: str, canon: str) -> str:
         return " ".join(w[:1].upper() + w[1:] for w in canon.split(" "))
     if kind == "ip":
         return canon
-    same = len(canon) == len(original)
-    it = iter(canon)
-    out = []
+    if kind == "mail":
+        old, new = original.partition("@"), canon.partition("@")
+        return "@".join(_cased(a, b, every=True) for a, b in ((old[0], new[0]), (old[2], new[2])))
+    return _cased(original, canon, every=kind == "secret")
+
+
+def _cased(original: str, canon: str, every: bool) -> str:
+    """``canon`` over an occurrence: all of its characters, or letters and digits only; what is longer follows."""
+    it, out = iter(canon), []
     for c in original:
-        if same or _PLAIN.match(c) is None:
+        if every or _PLAIN.match(c) is None:
             n = next(it, "")
-            out.append(n.upper() if c.isupper() else n.lower() if c.islower() else n)
+            big = n.upper() if c.isupper() else n
+            out.append(big if len(big) == len(n) else n)
         else:
             out.append(c)
-    return "".join(out)
+    return "".join([*out, *it])
 
 
 def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
@@ -194,7 +245,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "kind string, canon string").distinct()
 
 
-def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
+def attempts_needed(known: DataFrame, key: bytes) -> DataFrame:
     """``(kind, canon, attempt)`` of the entities whose surrogate is not attempt 0, so that surrogates are distinct and no real entity."""
 
     def draw(batches):
@@ -205,7 +256,6 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
     schema = "kind string, canon string, attempt int, new string"
     real = known.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
     drawn = materialize(known.select("kind", "canon", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates")
-    turn = 0
     while True:
         # An entity drawn earlier keeps its surrogate before one that was drawn again; then the smaller form goes first.
         first = drawn.groupBy(F.split("kind", "-")[0].alias("type"), "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("v"))
@@ -214,9 +264,6 @@ def attempts_needed(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame
         taken = materialize(taken, "taken")
         if taken.isEmpty():
             break
-        turn += 1
-        if turn >= rounds and not taken.where("kind not like 'person-%'").isEmpty():
-            raise RuntimeError("surrogates of a fixed length still collide; use longer formats")
         again = drawn.join(taken, ["kind", "canon"]).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         drawn = materialize(drawn.join(taken, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
     return drawn.where("attempt > 0").select("kind", "canon", "attempt")
