@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialogue, guardrail, language, text
-from ..operators import block_index, chunks, retrieval, rules, state, usage
+from ..operators import block_index, chunks, retrieval, rules, sketches, state, usage
 from ..sources import keyed, readers, scratch, seen, sinks
 from ..sources.schemas import FACTS
 from . import models
@@ -70,6 +70,19 @@ def usage_p95_by_type(spark, sf_dir):
     return usage.nearest_rank_p95(usage_events(spark, sf_dir), ["call_type"], "latency_ms")
 
 
+@query
+def usage_sketches(spark, sf_dir):
+    """Daily sketches merged over all days: patterns, and whether p95 and sessions lie within their bounds of the exact values."""
+    e = usage_events(spark, sf_dir)
+    found = sketches.report(sketches.merged(sketches.daily(e)), 3).withColumnRenamed("sessions", "near")
+    exact = e.groupBy("call_type").agg(F.count("latency_ms").alias("n"), F.count_distinct("session_id").alias("sessions"))
+    below = e.join(F.broadcast(found.select("call_type", "p95")), "call_type").groupBy("call_type").agg(F.avg((F.col("latency_ms") < F.col("p95")).cast("double")).alias("low"), F.avg((F.col("latency_ms") <= F.col("p95")).cast("double")).alias("high"))
+    out = found.join(exact, "call_type").join(below, "call_type")
+    near = F.abs(F.col("near") - F.col("sessions")) <= F.greatest(F.lit(2.0), F.col("sessions") * 0.06)
+    names = F.array_join(F.transform("patterns", lambda x: F.concat(x["pattern"], F.lit(":"), x["n"].cast("string"))), ",")
+    return out.select("call_type", "events", "n", ((F.col("low") <= 0.96) & (F.col("high") >= 0.94)).alias("p95_near"), near.alias("sessions_near"), names.alias("patterns"))
+
+
 @query
 def usage_grand_total(spark, sf_dir):
     return usage.grand_total(usage_events(spark, sf_dir))

