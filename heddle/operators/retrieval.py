@@ -113,47 +113,69 @@ def top_ranked(scores: DataFrame, k: int = 20) -> DataFrame:
     return scores.withColumn("_n", rank).where(F.col("_n") <= k).select("query_id", (F.col("_n") - 1).alias("rank"), "chunk_id", "score")
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int = 6, query_block: int = 4096) -> DataFrame:
+def _best_of(q: np.ndarray, v: np.ndarray, order: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``v`` and scores of the ``k`` best rows for each of ``q``; ``order`` ranks ties."""
+    score = np.round(q @ v.T, digits)
+    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+    return top, np.take_along_axis(score, top, 1)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int = 6, query_block: int = 4096, vector_block: int = 65_536) -> DataFrame:
     """``(query_id, rank, chunk_id, score)``: the ``k`` largest inner products (in double arithmetic, of unit vectors the cosine) of each query vector.
 
-    Queries go out in blocks of about ``query_block``; a task scores a batch of vectors by one matrix product and keeps ``k`` a query of it, so scores are
-    never rows; the tops of the batches are ranked. Vectors of another length than the query's, null ones and null ids take no part.
+    A task scores vectors against a block of queries by one matrix product and keeps ``k`` a query, so scores are never rows; the tops are ranked. Up to ``query_block`` queries are
+    broadcast and the vectors stay where they are. Beyond that both sides are dealt into blocks and meet cell by cell in one shuffle, so that no query passes through the
+    driver and the vectors are read once. Vectors of another length than the query's, null and empty ones and null ids take no part.
     """
-    spark = vectors.sparkSession
-    queries = stored(queries.where("query_id is not null and vector is not null").select("query_id", "vector"), "query-vectors")
-    blocks = queries.count() // query_block + 1
-    rows = vectors.where("chunk_id is not null and vector is not null").select("chunk_id", "vector")
+    queries = stored(queries.where("query_id is not null and size(vector) > 0").select("query_id", "vector"), "query-vectors")
+    rows = vectors.where("chunk_id is not null and size(vector) > 0").select("chunk_id", "vector")
     kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["chunk_id"].dataType.simpleString()
-
-    def scored(block: int) -> DataFrame:
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # about query_block rows
-        by_size: dict[int, tuple[list, list]] = {}
-        for q, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            ids, list_ = by_size.setdefault(len(v), ([], []))
-            ids.append(q)
-            list_.append(v)
-        shared = spark.sparkContext.broadcast({n: (ids, np.array(v, float)) for n, (ids, v) in by_size.items()})
+    shape, names = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double", ["query_id", "chunk_id", "score"]
+    n_queries = queries.count()
+    if n_queries <= query_block:
+        part = queries.toArrow()  # query_block rows at most
+        shared = queries.sparkSession.sparkContext.broadcast(_by_length(part.column(0), part.column(1)))
 
         def run(batches):
             for batch in batches:
-                sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                own = _by_length(batch.column(0), batch.column(1))
                 for n, (ids, q) in shared.value.items():
-                    own = batch.take(pa.array(np.flatnonzero(sizes == n)))
-                    if not own.num_rows:
-                        continue
-                    score = np.round(q @ np.asarray(own.column(1).flatten(), float).reshape(-1, n).T, digits)
-                    order = np.argsort(own.column(0).to_numpy(zero_copy_only=False), kind="stable")
-                    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                    width = top.shape[1]
-                    asked = pa.array(np.repeat(np.arange(len(ids)), width))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(0).type).take(asked), own.column(0).take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "chunk_id", "score"])
-
-        return rows.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-
-    out = scored(0)
-    for block in range(1, blocks):
-        out = out.union(scored(block))
-    return top_ranked(out, k)
+                    if n in own:
+                        yield pa.RecordBatch.from_arrays(_hits(ids, q, *own[n], k, digits), names)
+
+        return top_ranked(rows.mapInArrow(run, shape), k)
+    n_vectors = rows.count()
+    q_blocks, v_blocks = n_queries // query_block + 1, n_vectors // vector_block + 1
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    right = rows.withColumn("vb", F.pmod(F.xxhash64("chunk_id", "vector"), F.lit(v_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+
+    def cell(key, q, v):
+        asked, own = (_by_length(t.column(0).combine_chunks(), t.column(1).combine_chunks()) for t in (q, v))
+        found = [pa.table(_hits(*asked[n], *own[n], k, digits), names) for n in asked if n in own]
+        return pa.concat_tables(found) if found else pa.table([q.column(0).slice(0, 0), v.column(0).slice(0, 0), pa.array([], pa.float64())], names)
+
+    left, right = left.select("query_id", "vector", "qb", "vb"), right.select("chunk_id", "vector", "qb", "vb")
+    return top_ranked(left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(cell, shape), k)
+
+
+def _by_length(ids: pa.Array, lists: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Ids and matrices of vectors, by their length."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids, lists = ids.combine_chunks(), lists.combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        own = pa.array(np.flatnonzero(sizes == n))
+        out[n] = ids.take(own), np.asarray(lists.take(own).flatten(), float).reshape(-1, n)
+    return out
+
+
+def _hits(ids: pa.Array, q: np.ndarray, chunk_ids: pa.Array, v: np.ndarray, k: int, digits: int, step: int = 1024) -> list[pa.Array]:
+    """Columns of the best rows, ``step`` queries at a time."""
+    order = np.asarray(pc.sort_indices(chunk_ids))
+    found = [_best_of(q[i : i + step], v, order, k, digits) for i in range(0, len(q), step)]
+    top, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return [ids.take(pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))), chunk_ids.take(pa.array(top.ravel())), pa.array(score.ravel())]
 
 
 def type_weight(chunk_type: Column, weights: dict[str, float] | None = None) -> Column:

@@ -92,6 +92,13 @@ def test_dense_and_hydration(spark, folder):
     more = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(30)] + [(99, None)], "query_id long, vector array<float>")
     got = retrieval.dense_top(v.union(odd).repartition(3), more, 2, query_block=8).collect()
     assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in got) == [(i, n, c) for i in range(30) for n, c in ((0, 0), (1, 2))]
+    import random
+
+    rng = random.Random(1)
+    many = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(rng.choice([3, 3, 5, 0]))]) for i in range(200)], "chunk_id long, vector array<float>")
+    asks = many.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    one, cells = (sorted(map(tuple, retrieval.dense_top(many, asks, 7, query_block=b, vector_block=30).collect())) for b in (4096, 11))
+    assert one == cells and len(one) > 300
     hits = spark.createDataFrame([(5, 1, "alpha", "faq"), (5, 2, "gone", "faq")], "query_id long, place int, scheme_id string, chunk_type string")
     full = retrieval.hydrate(hits, readers.scan_documents(spark, folder), F.lit("hi"))
     rows = full.collect()
