@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,32 +242,22 @@ def without_trailing_commas(s: Column) -> Column:
     return F.regexp_replace(s, r",\s*([}\]])", "$1")
 
 
+#: A string with its quotes; a backslash takes the next character along.
+_QUOTED = r'(?s)"(?:[^"\\]++|\\.)*+"'
+
+
 def close_brackets(s: Column) -> Column:
-    """Truncated JSON with its open strings and brackets closed; needs a scan with state, so it runs in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def close(texts: pd.Series) -> pd.Series:
-        return texts.map(_closed, na_action="ignore")
-
-    return close(s)
-
-
-def _closed(text: str) -> str:
-    owed: list[str] = []
-    quoted_now = skip = False
-    for c in text:
-        if skip:
-            skip = False
-        elif quoted_now:
-            skip = c == "\\"
-            quoted_now = c != '"'
-        elif c == '"':
-            quoted_now = True
-        elif c in "{[":
-            owed.append("}" if c == "{" else "]")
-        elif owed and c == owed[-1]:
-            owed.pop()
-    return text + '"' * quoted_now + "".join(owed[::-1])
+    """Truncated JSON with its open string and brackets closed: a pushdown automaton as a fold over the brackets outside of strings, with the closers owed as its stack.
+
+    A closer that is not the one owed is passed over.
+    """
+    bare = F.regexp_replace(s, _QUOTED, "")
+    brackets = F.regexp_extract_all(F.regexp_replace(bare, r'(?s)".*', ""), F.lit(r"[{}\[\]]"), F.lit(0))
+
+    def step(owed: Column, c: Column) -> Column:
+        return F.when(c == "{", F.concat(F.lit("}"), owed)).when(c == "[", F.concat(F.lit("]"), owed)).when(F.left(owed, F.lit(1)) == c, F.substring(owed, 2, 1 << 30)).otherwise(owed)
+
+    return F.concat(s, F.when(F.contains(bare, F.lit('"')), F.lit('"')).otherwise(F.lit("")), F.aggregate(brackets, F.lit(""), step))
 
 
 def _lenient(s: Column) -> Column:

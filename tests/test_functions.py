@@ -142,6 +142,35 @@ def test_repaired_json(ev, raw, want):
     assert got == (1 if want is None and raw.startswith('{"a": 1, "b": [1, {') else want)
 
 
+def closed_by_hand(text):
+    owed, inside, skip = [], False, False
+    for c in text:
+        if skip:
+            skip = False
+        elif inside and c == "\\":
+            skip = True
+        elif c == '"':
+            inside = not inside
+        elif not inside and c in "{[":
+            owed.append("}" if c == "{" else "]")
+        elif not inside and c in "}]" and owed and owed[-1] == c:
+            owed.pop()
+    return text + ('"' if inside else "") + "".join(reversed(owed))
+
+
+def test_close_brackets_is_the_scan(spark):
+    """Random texts of structural characters, and long ones; no Python runs in the plan."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice('{}[]""\\a \n,é') for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", None, '{"a": "' + "x" * 100_000, "[" * 5000, '{"k": "' + '\\"' * 20_000, '{"a": [1, {"b": "c\\', '"' + "\\" * 30_001]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.close_brackets(F.col("t")).alias("c"))
+    assert {r["i"]: r["c"] for r in df.collect()} == {i: None if t is None else closed_by_hand(t) for i, t in enumerate(texts)}
+    plan = df.select(F.to_json(text.repaired_json(F.col("c")))).where("i > 0")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_response_json_defaults_to_an_object(ev):
     assert ev(lambda c: F.to_json(text.response_json(c)), "nothing here") == "{}"
 
