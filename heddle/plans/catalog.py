@@ -16,7 +16,7 @@ from ..functions import dialogue, guardrail, language, text
 from ..operators import block_index, chunks, retrieval, rules, sketches, state, usage
 from ..sources import keyed, readers, scratch, seen, sinks
 from ..sources.schemas import FACTS
-from . import models
+from . import classify, models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,6 +293,24 @@ def detect_language_script(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", language.language_by_script(F.col("text")).alias("lang"))
 
 
+@query
+def message_classify(spark, sf_dir):
+    """Messages with replies of a model, whole, damaged and missing, classified; and a slot read from another reply."""
+    m = messages(spark, sf_dir)
+    k = F.pmod("msg_id", F.lit(5))
+    reply = (
+        F.when(k == 0, F.lit('{"language":"Tamil","intent":"document_query","new_facts":{"has_land":true,"age":30,"state":"","gender":null},"scheme_mentioned":"nrega","resolved_query":"q"}'))
+        .when(k == 1, F.lit('```json\n{"language":"xx","intent":"bogus","new_facts":{},}\n```'))
+        .when(k == 2, F.lit("no json at all"))
+        .when(k == 3, F.lit('<think>{"intent":"x"}</think>{"intent":"general_info","language":"english","new_facts":"none","resolved_query":null}'))
+    )
+    out = classify.classified(m, reply, F.col("text"), F.when(F.col("msg_id") % 7 == 0, F.lit("bn")), F.col("in_flow"))
+    slot = F.element_at(F.array(*map(F.lit, ("has_land", "age", "state"))), (F.pmod("msg_id", F.lit(3)) + 1).cast("int"))
+    said = F.when(F.col("msg_id") % 2 == 0, F.concat(F.lit('{"'), slot, F.lit('": "Yes"}'))).otherwise(F.concat(F.lit('{"age": 42, "x": "'), slot, F.lit('"}')))
+    facts = F.array_join(F.sort_array(F.transform(F.map_entries("new_facts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return out.select("msg_id", "language", "language_source", "intent", facts.alias("facts"), "scheme_mentioned", F.md5("resolved_query").alias("query"), slot.alias("slot"), classify.slot_value(said, slot).alias("value"))
+
+
 @query
 def intent_fallback(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", dialogue.intent_by_words(F.col("text"), F.col("in_flow")).alias("intent")).withColumn("route", dialogue.intent_route(F.col("intent")))

@@ -196,6 +196,13 @@ SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com'
     "guardrail_undecided": f"WITH {CASCADE} SELECT msg_id FROM h WHERE NOT (safe OR (in_flow AND nw <= 6) OR inj IS NOT NULL OR abu IS NOT NULL OR off IS NOT NULL OR topic OR nw <= 3)",
     "detect_language_script": f"""WITH {MSG}, s AS (SELECT msg_id, text, {_COUNTS} FROM m), t AS (SELECT *, ta + bn + hi + other AS n, greatest(ta, bn, hi) AS top FROM s)
 SELECT msg_id, CASE WHEN n = 0 OR (n < 3 AND latin > 3 * n) THEN NULL WHEN top = 0 THEN 'en' WHEN ta = top THEN 'ta' WHEN bn = top THEN 'bn' WHEN list_has_any(regexp_extract_all(text, '[^{WS}]+'), {_MARKERS}) THEN 'mr' ELSE 'hi' END AS lang FROM t""",
+    "message_classify": f"""WITH {MSG}, s AS (SELECT *, {_COUNTS} FROM m), t AS (SELECT *, ta + bn + hi + other AS n, greatest(ta, bn, hi) AS top FROM s),
+r AS (SELECT msg_id, text, in_flow, (msg_id % 5 + 5) % 5 AS k, CASE WHEN n = 0 OR (n < 3 AND latin > 3 * n) THEN NULL WHEN top = 0 THEN 'en' WHEN ta = top THEN 'ta' WHEN bn = top THEN 'bn' WHEN list_has_any(regexp_extract_all(text, '[^{WS}]+'), {_MARKERS}) THEN 'mr' ELSE 'hi' END AS script,
+  CASE WHEN msg_id % 7 = 0 THEN 'bn' END AS known, {_LOW} AS low FROM t),
+i AS (SELECT *, ['has_land', 'age', 'state'][(msg_id % 3 + 3) % 3 + 1] AS slot, {_intent()} AS rule FROM r)
+SELECT msg_id, coalesce(script, known, CASE k WHEN 0 THEN 'ta' WHEN 3 THEN 'en' ELSE 'hi' END) AS language, CASE WHEN script IS NOT NULL THEN 'script_detected' WHEN known IS NOT NULL THEN 'session' ELSE 'auto_detected' END AS language_source,
+  CASE k WHEN 0 THEN 'document_query' WHEN 3 THEN 'general_info' ELSE rule END AS intent, CASE k WHEN 0 THEN 'age=30,has_land=true' ELSE '' END AS facts, CASE k WHEN 0 THEN 'nrega' END AS scheme_mentioned,
+  md5(CASE k WHEN 0 THEN 'q' WHEN 3 THEN NULL ELSE text END) AS query, slot, CASE WHEN msg_id % 2 = 0 THEN 'true' WHEN slot = 'age' THEN '42' END AS value FROM i""",
     "intent_fallback": f"""WITH {MSG}, i AS (SELECT msg_id, {_intent()} AS intent FROM (SELECT msg_id, in_flow, {_LOW} AS low FROM m))
 SELECT msg_id, intent, CASE WHEN intent = 'eligibility_check' THEN 'start_flow' WHEN intent IN ('scheme_query', 'document_query', 'how_to_apply') THEN 'retrieval' ELSE 'general' END AS route FROM i""",
     "message_commands": f"""WITH {MSG}, l AS (SELECT msg_id, {_LOW} AS low FROM m)
