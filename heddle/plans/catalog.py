@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dialogue, guardrail, language, text
 from ..operators import block_index, chunks, retrieval, rules, sketches, state, usage
 from ..sources import keyed, readers, scratch, seen, sinks
-from ..sources.schemas import FACTS
+from ..sources.schemas import FACTS, SCHEME
 from . import classify, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,46 @@ def inverted_lists(spark, sf_dir):
     return lists.select("term", "block", F.array_join(F.transform("chunks", lambda c: c.cast("string")), ",").alias("chunk_list"))
 
 
+def nested_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as nested records of the full schema, with gaps that differ from record to record."""
+    d = table(spark, sf_dir, "documents")
+    k, lang, t = F.col("doc_id"), F.col("lang"), F.coalesce("text", F.lit(""))
+
+    def some(n: int, rest: int, *values) -> Column:
+        return F.when(k % n == rest, F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)))
+
+    rules_of = {"occupation": F.array(lang, F.lit("any")), "gender": F.when(k % 2 == 0, "female"), "bpl_required": F.when(k % 4 == 0, True).when(k % 4 == 1, False), "age_min": k % 60, "income_max_annual": F.lit("250000"), "other_conditions": F.array(lang)}
+    asked = [{"question_en": "Q", "answer_en": "A", "question_hi": "प्र", "answer_hi": "उ"}, {"question_en": "Q2", "answer_en": ""}]
+    faq_type = SCHEME["faq"].dataType.elementType
+    values = {
+        "id": F.concat(F.lit("d"), k.cast("string")), "name_en": F.col("source"), "name_hi": F.when(k % 3 == 0, "नाम"), "name_ta": F.when(k % 5 == 0, "பெயர்"), "name_bn": F.when(k % 7 == 0, "নাম"), "name_mr": F.when(k % 11 == 0, "नाव"),
+        "description_en": F.substring(t, 1, 40), "description_hi": F.lit("वर्णन"), "description_ta": lang, "description_bn": lang, "description_mr": lang,
+        "benefit_en": F.substring(t, 41, 30), "benefit_hi": F.when(k % 2 == 0, "लाभ"), "benefit_ta": F.lit(""), "benefit_bn": F.lit("সুবিধা"),
+        "eligibility_rules": F.struct(*(rules_of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEME["eligibility_rules"].dataType.fields)),
+        "exclusion_criteria": some(3, 1, lang, "x"), "documents_en": some(2, 0, "Aadhaar", lang), "documents_hi": some(4, 0, "आधार"), "documents_ta": some(8, 0, "ஆ"), "documents_bn": some(9, 0, "আ"), "documents_mr": some(10, 0, "आ"),
+        "apply_steps_en": some(2, 1, "go", "sign"), "apply_steps_hi": some(6, 1, "जा"), "keywords": some(3, 2, lang, F.col("source")), "related_schemes": some(5, 1, "r1", "r2"), "common_mistakes": some(5, 2, "m"),
+        "state_wise_amounts": F.when(k % 6 == 0, F.struct(F.lit(None).cast("string").alias("note"), F.create_map(F.lit("Goa"), F.lit("Rs 5"), F.lit("Delhi"), F.lit("")).alias("states"))),
+        "helpline": F.lit("1800"), "ministry": F.lit("M"), "application_url": F.lit("http://x"), "launch_year": F.lit(2000) + k % 20, "renewal_required": F.when(k % 4 == 0, True), "renewal_process": F.when(k % 4 == 0, "yearly"),
+        "faq": F.when(k % 3 == 0, F.array(*(F.struct(*(F.lit(q.get(f.name)).cast("string").alias(f.name) for f in faq_type.fields)) for q in asked))),
+    }
+    return d.select(k.alias("file_key"), *(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEME.fields))
+
+
+@query
+def scheme_chunks(spark, sf_dir):
+    """Every kind of chunk of nested records, in order."""
+    made = chunks.build_chunks(nested_schemes(spark, sf_dir))
+    return made.select(F.col("file_key").alias("doc_id"), "pos", "chunk_type", F.md5("text").alias("digest"))
+
+
+@query
+def scheme_checklist(spark, sf_dir):
+    """The printed checklist of some schemes, a row a document."""
+    s = nested_schemes(spark, sf_dir)
+    rows = rules.checklist(s, s.where("file_key % 7 = 1").select("id"), "hi")
+    return rows.select("id", F.col("pos").cast("int").alias("pos"), "document", "benefit", F.array_join("steps", ";").alias("steps"), "helpline")
+
+
 @query
 def dedup_md5(spark, sf_dir):
     return chunks.keep_first(doc_chunks(spark, sf_dir), F.md5("text"), "chunk_id").select("chunk_id", F.md5("text").alias("digest"))

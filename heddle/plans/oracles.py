@@ -109,6 +109,34 @@ z AS (SELECT page_id, k, b FROM d WHERE depth = 0 QUALIFY row_number() OVER (PAR
 e AS (SELECT g.page_id, g.k, g.upto AS a, coalesce(z.b, length(p.html)) AS b FROM g JOIN p ON p.page_id = g.page_id LEFT JOIN z ON z.page_id = g.page_id AND z.k = g.k),
 h AS (SELECT page_id, html, coalesce((SELECT arg_min(substr(html, a::BIGINT + 1, (b - a)::BIGINT), k) FROM e WHERE e.page_id = p.page_id AND b - a > 500), html) AS area FROM p)"""
 
+def _chunk(kind: str, text: str, when: str = "true") -> str:
+    return f"CASE WHEN {when} THEN {{'t': '{kind}', 'x': p || {text}}} END"
+
+
+def _local(lg: str, name: str, word: str, benefit: str, when: str) -> str:
+    return _chunk({"ta": "tamil", "bn": "bengali", "mr": "marathi"}[lg], f"'{name} — ' || lang || ' {word}: ' || {benefit}", when + " AND lang <> ''")
+
+
+#: Chunks of the nested records that the catalogue derives from documents.
+_CHUNKS = ",\n  ".join([
+    _chunk("overview", "src || ' — Overview: ' || de || ' Benefit: ' || be || ' Ministry: M Keywords: ' || CASE WHEN k % 3 = 2 THEN lang || ', ' || src ELSE '' END"),
+    _chunk("benefit", "src || ' — Benefits and amount: ' || be || ' | हिंदी: ' || bh"),
+    _chunk("eligibility", "src || ' — Eligibility criteria: Occupation: ' || lang || ', any | Gender: ' || CASE WHEN k % 2 = 0 THEN 'female' ELSE 'any' END || ' | BPL required: ' || CASE k % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' ELSE 'None' END || ' | Land ownership required: None | Age: ' || (k % 60) || '-None | Income max: ₹250000 | Aadhaar required: None | Other conditions: ' || lang"),
+    _chunk("exclusion", "src || ' — Who CANNOT apply / exclusion criteria: ' || lang || '; x'", "k % 3 = 1"),
+    _chunk("documents", "src || ' — Documents required (English): Aadhaar, ' || lang", "k % 2 = 0"),
+    _chunk("hindi_docs", "hi || ' — आवश्यक दस्तावेज़: आधार'", "k % 4 = 0"),
+    _chunk("tamil", "src || ' — Documents required (Tamil): ஆ'", "k % 8 = 0"), _chunk("bengali", "src || ' — Documents required (Bengali): আ'", "k % 9 = 0"), _chunk("marathi", "src || ' — Documents required (Marathi): आ'", "k % 10 = 0"),
+    _chunk("apply", "src || ' — How to apply (steps): go; sign Apply URL: http://x'", "k % 2 = 1"), _chunk("hindi_apply", "hi || ' — आवेदन कैसे करें: जा'", "k % 6 = 1"),
+    _chunk("hindi", "'नाम — वर्णन लाभ: ' || bh", "k % 3 = 0"),
+    _local("ta", "பெயர்", "நன்மை", "be", "k % 5 = 0"), _local("bn", "নাম", "সুবিধা", "'সুবিধা'", "k % 7 = 0"), _local("mr", "नाव", "फायदा", "be", "k % 11 = 0"),
+    _chunk("state_wise", "src || ' — State-wise benefit amounts (varies by state): Goa: Rs 5'", "k % 6 = 0"),
+    _chunk("metadata", "src || ' — Helpline: 1800 | Apply at: http://x | Ministry: M | Launch year: ' || (2000 + k % 20) || ' | Processing time: '"),
+    _chunk("renewal", "src || ' — Renewal information: Required: True | yearly'", "k % 4 = 0"), _chunk("keywords", "src || ' — Search keywords: ' || lang || ', ' || src", "k % 3 = 2"),
+    _chunk("related", "src || ' — Related schemes: r1, r2'", "k % 5 = 1"), _chunk("mistakes", "src || ' — Common mistakes to avoid: m'", "k % 5 = 2"),
+    _chunk("faq", "src || ' — FAQ: Q: Q A: A | हिंदी: प्र: प्र उ: उ'", "k % 3 = 0"),
+])
+_RECORDS = "r AS (SELECT doc_id AS k, lang, source AS src, substring(coalesce(text, ''), 1, 40) AS de, substring(coalesce(text, ''), 41, 30) AS be, CASE WHEN doc_id % 2 = 0 THEN 'लाभ' ELSE '' END AS bh, CASE WHEN doc_id % 3 = 0 THEN 'नाम' ELSE source END AS hi, 'passage: [SCHEME:d' || doc_id || '] ' AS p FROM documents)"
+
 _CODES = " ".join(f"WHEN {_q(k)} THEN 'language:{v}'" for k, v in dialogue.LANGUAGE_WORDS.items())
 _LOW = f"regexp_replace(lower(text), '^[{WS}]+|[{WS}]+$', '', 'g')"
 
@@ -182,6 +210,10 @@ SELECT cache_key, event_id, at_us, hit FROM r""",
     "term_idf": f"WITH {TF}, {STATS}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d, st",
     "corpus_stats": f"WITH {STATS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
     "inverted_lists": f"WITH {TF} SELECT term, chunk_id // 10000 AS block, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_list FROM tf GROUP BY ALL",
+    "scheme_chunks": f"""WITH {_RECORDS}, l AS (SELECT k, list_filter([{_CHUNKS}], lambda c: c IS NOT NULL) AS l FROM r),
+u AS (SELECT k, unnest(l) AS c, unnest(range(len(l)))::INTEGER AS pos FROM l) SELECT k AS doc_id, pos, c.t AS chunk_type, md5(c.x) AS digest FROM u""",
+    "scheme_checklist": f"""WITH {_RECORDS}, d AS (SELECT *, CASE WHEN k % 4 = 0 THEN ['आधार'] WHEN k % 2 = 0 THEN ['Aadhaar', lang] ELSE [] END AS docs FROM r WHERE k % 7 = 1)
+SELECT 'd' || k AS id, unnest(range(1, len(docs) + 1))::INTEGER AS pos, unnest(docs) AS document, be AS benefit, CASE WHEN k % 2 = 1 THEN 'go;sign' END AS steps, '1800' AS helpline FROM d""",
     "dedup_md5": "SELECT min(doc_id) AS chunk_id, md5(text) AS digest FROM documents GROUP BY md5(text)",
     "dedup_runs": """WITH d AS (SELECT doc_id, (doc_id % 3)::INTEGER AS run, md5(text) AS digest FROM documents),
 f AS (SELECT digest, min(run) AS run FROM d GROUP BY digest) SELECT run, min(doc_id) AS chunk_id, digest FROM d JOIN f USING (digest, run) WHERE digest IS NOT NULL GROUP BY run, digest""",
