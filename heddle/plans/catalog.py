@@ -356,6 +356,46 @@ def intent_fallback(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", dialogue.intent_by_words(F.col("text"), F.col("in_flow")).alias("intent")).withColumn("route", dialogue.intent_route(F.col("intent")))
 
 
+@query
+def button_replies(spark, sf_dir):
+    """Messages as replies to an open slot: what buttons say, truth words, and old facts overlaid by new ones."""
+    m = messages(spark, sf_dir)
+    facts = F.struct(*(v.cast(f.dataType).alias(f.name) for f in FACTS.fields for v in [F.lit("farmer") if f.name == "occupation" else F.lit("male") if f.name == "gender" else F.when(F.col("msg_id") % 2 == 0, True) if f.name == "has_land" else F.lit(None)]))
+    r = dialogue.button_reply(F.col("text"), facts, F.col("in_flow"), F.lit(False))
+    new = F.create_map(F.lit("state"), F.nullif(F.substring("text", 1, 4), F.lit("hell")), F.lit("age"), F.lit("")).cast("map<string,string>")
+    old = F.create_map(F.lit("age"), F.lit("30"), F.lit("state"), F.lit("Goa"))
+    merged = F.map_entries(dialogue.merged_facts(old, new))
+    out = m.select("msg_id", r.alias("r"), dialogue.truth(F.col("text")).alias("truth"), F.array_join(F.sort_array(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("merged"))
+    return out.select("msg_id", F.col("r.slot").alias("slot"), F.col("r.value").alias("value"), F.col("r.gender").alias("gender"), "truth", F.md5("merged").alias("merged"))
+
+
+@query
+def language_codes(spark, sf_dir):
+    """Language codes and names from what models say."""
+    d = table(spark, sf_dir, "documents")
+    said = F.element_at(F.array(*map(F.lit, ("English", " TAMIL ", "hinglish", "bn", "klingon", "", "mr"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    code = language.language_code(said)
+    return d.select("doc_id", code.alias("code"), language.language_name(code).alias("name"), F.when(F.col("doc_id") % 2 == 0, language.language_name(F.col("lang"))).alias("other"))
+
+
+@query
+def audit_texts(spark, sf_dir):
+    """Texts as they are kept for audit, where a share of them is blank."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.col("text")).alias("text"))
+    return sinks.audit(d, "text").select("doc_id", F.md5("text").alias("digest"), (F.col("text") == "EMPTY").alias("blank"))
+
+
+@query
+def hydrated_hits(spark, sf_dir):
+    """Search hits with their records, and as blocks of a prompt; hits without a record are dropped."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    hits = d.select((F.col("doc_id") % 10).alias("query_id"), F.expr("doc_id div 10").alias("place"), F.concat(F.when(F.col("doc_id") % 6 == 0, F.lit("d")).otherwise(F.lit("x")), F.col("doc_id").cast("string")).alias("scheme_id"), F.lit("faq").alias("chunk_type"))
+    full = retrieval.hydrate(hits, nested_schemes(spark, sf_dir), F.lit("hi"))
+    blocks = retrieval.prompt_blocks(full).withColumnRenamed("query_id", "_q")
+    rows = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("documents")).alias("n_documents"), F.count("state_wise_amounts").alias("n_states"))
+    return rows.join(blocks, F.col("query_id") == F.col("_q")).select("query_id", "n", "n_documents", "n_states", F.regexp_count("text", F.lit("── SCHEME: ")).cast("long").alias("n_blocks"), F.regexp_count("text", F.lit("STATE-WISE AMOUNTS: Goa: Rs 5\n")).cast("long").alias("n_amounts"))
+
+
 @query
 def message_commands(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", dialogue.command(F.col("text")).alias("command"), dialogue.looks_like_question(F.col("text")).alias("question"))

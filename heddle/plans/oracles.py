@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import dialogue
-from ..functions.fixed import ABUSE, INJECTION, MARATHI_WORDS, OFFTOPIC, SAFE_REPLIES, TOPIC_WORDS
+from ..functions.fixed import ABUSE, INJECTION, LANGUAGE_NAMES, MARATHI_WORDS, NO_WORDS, OCCUPATION_BUTTONS, OFFTOPIC, SAFE_REPLIES, TOPIC_WORDS, YES_WORDS
 from .catalog import LANG_WEIGHTS, MESSAGES
 
 USAGE = """u AS (
@@ -96,6 +96,8 @@ def _html(c: str = "html") -> str:
     return _strip(f"regexp_replace({c}, '[{WS}]{{2,}}', ' ', 'g')")
 
 
+_BUTTONS = " ".join(f"WHEN {_q(k.lower())} THEN {_q(v)}" for k, v in OCCUPATION_BUTTONS.items())
+_NAMES = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in LANGUAGE_NAMES.items())
 #: Content areas by the depth of their own tag: enough for pages whose elements nest as they should.
 _AREA = """p AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<title\\b[^>]*>.*?</title\\s*>|<[^>]*>|[^<]+') AS ts FROM pages),
 t AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM p),
@@ -237,6 +239,16 @@ SELECT msg_id, coalesce(script, known, CASE k WHEN 0 THEN 'ta' WHEN 3 THEN 'en'
   md5(CASE k WHEN 0 THEN 'q' WHEN 3 THEN NULL ELSE text END) AS query, slot, CASE WHEN msg_id % 2 = 0 THEN 'true' WHEN slot = 'age' THEN '42' END AS value FROM i""",
     "intent_fallback": f"""WITH {MSG}, i AS (SELECT msg_id, {_intent()} AS intent FROM (SELECT msg_id, in_flow, {_LOW} AS low FROM m))
 SELECT msg_id, intent, CASE WHEN intent = 'eligibility_check' THEN 'start_flow' WHEN intent IN ('scheme_query', 'document_query', 'how_to_apply') THEN 'retrieval' ELSE 'general' END AS route FROM i""",
+    "button_replies": f"""WITH {MSG}, l AS (SELECT *, {_LOW} AS low, CASE low {_BUTTONS} END AS job FROM m),
+b AS (SELECT *, CASE WHEN msg_id % 2 = 0 THEN 'is_bpl' ELSE 'has_land' END AS open, CASE WHEN low IN {_in(YES_WORDS)} THEN 'true' WHEN low IN {_in(NO_WORDS)} THEN 'false' END AS word FROM l)
+SELECT msg_id, CASE WHEN job IS NOT NULL THEN 'occupation' WHEN in_flow AND word IS NOT NULL THEN open END AS slot, CASE WHEN job IS NOT NULL THEN job WHEN in_flow THEN word END AS value, CASE WHEN job = 'woman_hoh' THEN 'female' END AS gender,
+  CASE WHEN low IN ('true', 'yes', '1') THEN true WHEN low IN ('false', 'no', '0') THEN false END AS truth, md5('age=30,state=' || coalesce(nullif(nullif(substring(text, 1, 4), 'hell'), ''), 'Goa')) AS merged FROM b""",
+    "language_codes": f"""WITH c AS (SELECT doc_id, lang, ['en', 'ta', 'hi', 'bn', 'hi', 'hi', 'mr'][doc_id % 7 + 1] AS code FROM documents)
+SELECT doc_id, code, CASE code {_NAMES} END AS name, CASE WHEN doc_id % 2 = 0 THEN CASE lang {_NAMES} ELSE 'Hindi (हिंदी)' END END AS other FROM c""",
+    "audit_texts": "SELECT doc_id, md5(CASE WHEN doc_id % 5 < 2 OR trim(coalesce(text, '')) = '' THEN 'EMPTY' ELSE text END) AS digest, doc_id % 5 < 2 OR trim(coalesce(text, '')) = '' OR text = 'EMPTY' AS blank FROM documents",
+    "hydrated_hits": f"""WITH {_RECORDS}, h AS (SELECT k % 10 AS query_id, k // 10 AS place, k FROM r WHERE k % 6 = 0),
+d AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS docs FROM h)
+SELECT query_id, count(*) AS n, sum(docs)::BIGINT AS n_documents, count(*) AS n_states, count(*) AS n_blocks, count(*) AS n_amounts FROM d GROUP BY query_id""",
     "message_commands": f"""WITH {MSG}, l AS (SELECT msg_id, {_LOW} AS low FROM m)
 SELECT msg_id, CASE WHEN low IN {_in(dialogue.RESET_WORDS)} THEN 'reset' ELSE coalesce(CASE low {_CODES} END, CASE WHEN low IN {_in(dialogue.ELIGIBILITY_WORDS)} THEN 'eligibility' ELSE 'run' END) END AS command, {_any("low", dialogue.QUESTION_SIGNS)} AS question FROM l""",
     "bm25_index_topk": f"WITH {_bm25()} SELECT query_id, rank, chunk_id, score FROM sparse",
