@@ -135,3 +135,50 @@ def test_classifier_edges(spark):
     assert quality_classifier.classify(long, spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")).count() == 6
     one_class = spark.createDataFrame([(2, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in quality_classifier.classify(docs, one_class).collect())
+
+
+def plain_posteriors(rows):
+    """Posteriors by sums over documents: moments of each level, then each document against the others of its path and host."""
+    n = len(rows)
+    p = [r["p_doc"] for r in rows]
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        hosts[r["host"]].append(i)
+        paths[r["host"], r["path"]].append(i)
+
+    def avg(own):
+        return math.fsum(p[i] for i in own) / len(own)
+
+    mean = avg(range(n))
+
+    def pull(groups, above, upper, spread):
+        within = max(math.fsum((p[i] - avg(own)) ** 2 for own in groups.values() for i in own) / max(n - len(groups), 1), 1e-9)
+        between = (math.fsum(len(own) * (avg(own) - above(g)) ** 2 for g, own in groups.items()) - (len(groups) - upper) * within) / max(spread, 1e-9)
+        return within / between if between > within * 1e-6 else 1e6
+
+    host_k = pull(hosts, lambda g: mean, 1, n - sum(len(h) ** 2 for h in hosts.values()) / n)
+    path_k = pull(paths, lambda g: avg(hosts[g[0]]), len(hosts), math.fsum(len(own) - len(own) ** 2 / len(hosts[g[0]]) for g, own in paths.items()))
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for i, r in enumerate(rows):
+        host = (math.fsum(p[j] for j in hosts[r["host"]] if j != i) + host_k * mean) / (len(hosts[r["host"]]) - 1 + host_k)
+        own = paths[r["host"], r["path"]]
+        path = (math.fsum(p[j] for j in own if j != i) + path_k * host) / (len(own) - 1 + path_k)
+        out.append((host, path, 1 / (1 + math.exp(-(odds(p[i]) + odds(path) - odds(mean))))))
+    return out
+
+
+def test_posteriors_against_sums_over_documents(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(700):
+        host = rng.choice(["big", "big", "bad", *(f"h{k}" for k in range(25)), None])
+        bad = rng.random() < {"bad": 0.9, "big": 0.2}.get(host, 0.3) * (1.5 if i % 5 == 0 else 1)
+        rows.append((i, ("scum " * rng.randrange(1, 4) if bad else "fine ") + " ".join(f"w{rng.randrange(200)}" for _ in range(30)), host, f"p{i % 5}", 0 if bad else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    labels = df.where("doc_id < 400").select("doc_id", "quality", F.lit(0).alias("toxic"))
+    got = quality_classifier.classify(df.drop("quality"), labels).collect()
+    assert len(got) == 700 and len({r["p_doc"] for r in got}) > 30
+    for r, (host, path, post) in zip(got, plain_posteriors(got)):
+        assert r["p_host"] == pytest.approx(host, rel=1e-6) and r["p_path"] == pytest.approx(path, rel=1e-6) and r["posterior"] == pytest.approx(post, rel=1e-5)
+        assert r["kept"] == (r["posterior"] < 0.5)

@@ -47,3 +47,13 @@ def test_topk_empty(spark):
     assert topk.top_k(df, F.col("vec_id") % 20 == 0).count() == 0
     one = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(one, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_topk_of_long_vectors(spark):
+    """Thousands of components, in double and in long arithmetic."""
+    rng = random.Random(9)
+    for top in (1.0, 2e9):
+        rows = [(i, [rng.uniform(-top, top) for _ in range(4000)]) for i in range(45)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, query_block=2, candidate_block=10)
+        assert {tuple(r) for r in got.collect()} == brute(rows, 5, lambda i: i % 20 == 0) if top == 1.0 else got.count() == 15
