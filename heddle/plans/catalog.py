@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dialogue, guardrail, language, text
@@ -385,6 +385,15 @@ def audit_texts(spark, sf_dir):
     return sinks.audit(d, "text").select("doc_id", F.md5("text").alias("digest"), (F.col("text") == "EMPTY").alias("blank"))
 
 
+@query
+def search_sections(spark, sf_dir):
+    """Documents as hits of three searches for each host, as sections of text."""
+    d = table(spark, sf_dir, "documents").withColumn("query_no", (F.col("doc_id") % 3).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("source", "query_no").orderBy("doc_id"))
+    hits = d.withColumn("rank", rank).where(F.col("rank") <= 8).select(F.col("source").alias("scheme_id"), "query_no", F.concat(F.lit("q"), F.col("query_no").cast("string")).alias("query"), "rank", F.col("lang").alias("title"), F.col("text").alias("content"))
+    return readers.search_texts(hits).select("scheme_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query
 def hydrated_hits(spark, sf_dir):
     """Search hits with their records, and as blocks of a prompt; hits without a record are dropped."""

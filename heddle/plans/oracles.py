@@ -246,6 +246,9 @@ SELECT msg_id, CASE WHEN job IS NOT NULL THEN 'occupation' WHEN in_flow AND word
     "language_codes": f"""WITH c AS (SELECT doc_id, lang, ['en', 'ta', 'hi', 'bn', 'hi', 'hi', 'mr'][doc_id % 7 + 1] AS code FROM documents)
 SELECT doc_id, code, CASE code {_NAMES} END AS name, CASE WHEN doc_id % 2 = 0 THEN CASE lang {_NAMES} ELSE 'Hindi (हिंदी)' END END AS other FROM c""",
     "audit_texts": "SELECT doc_id, md5(CASE WHEN doc_id % 5 < 2 OR trim(coalesce(text, '')) = '' THEN 'EMPTY' ELSE text END) AS digest, doc_id % 5 < 2 OR trim(coalesce(text, '')) = '' OR text = 'EMPTY' AS blank FROM documents",
+    "search_sections": """WITH h AS (SELECT source AS scheme_id, doc_id % 3 AS q, lang, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source, doc_id % 3 ORDER BY doc_id) AS rank FROM documents),
+s AS (SELECT scheme_id, q, '=== Query: q' || q || ' ===' || chr(10) || string_agg('[' || coalesce(lang, '') || '] ' || substring(text, 1, 1200), chr(10) ORDER BY rank) AS s FROM h WHERE rank <= 8 GROUP BY scheme_id, q),
+t AS (SELECT scheme_id, string_agg(s, chr(10) || chr(10) ORDER BY q) AS text FROM s GROUP BY scheme_id) SELECT scheme_id, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM t""",
     "hydrated_hits": f"""WITH {_RECORDS}, h AS (SELECT k % 10 AS query_id, k // 10 AS place, k FROM r WHERE k % 6 = 0),
 d AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS docs FROM h)
 SELECT query_id, count(*) AS n, sum(docs)::BIGINT AS n_documents, count(*) AS n_states, count(*) AS n_blocks, count(*) AS n_amounts FROM d GROUP BY query_id""",

@@ -67,6 +67,18 @@ def search_snippets(hits: DataFrame, most: int = 800, top: int = 4) -> DataFrame
     return rows.select("query_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n\n").alias("text"))
 
 
+def search_texts(hits: DataFrame, most: int = 1200, top: int = 8) -> DataFrame:
+    """``(scheme_id, text)``: what several searches found for a scheme; hits have scheme_id, query_no, query, rank (from 1), title, content.
+
+    Each query that found something is a section, in order, with its ``top`` hits as ``[title] content`` lines.
+    """
+    line = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, most))
+    found = hits.where(F.col("rank") <= top).groupBy("scheme_id", "query_no", "query").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
+    section = F.concat(F.lit("=== Query: "), F.coalesce("query", F.lit("")), F.lit(" ===\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"))
+    rows = found.groupBy("scheme_id").agg(F.sort_array(F.collect_list(F.struct("query_no", section.alias("s")))).alias("x"))
+    return rows.select("scheme_id", F.array_join(F.transform("x", lambda r: r["s"]), "\n\n").alias("text"))
+
+
 def event_stream(spark: SparkSession, folder: str, per_trigger: int = 16) -> DataFrame:
     """Event files as a stream; ``ts`` becomes a zoned timestamp, as watermarks need one."""
     raw = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.parquet").parquet(folder)
