@@ -262,3 +262,35 @@ def test_commands_and_intents(ev):
     assert ev(dialogue.intent_by_words, "what is it", False) == "scheme_query"
     assert ev(lambda m: dialogue.valid_intent(F.lit("bogus"), m, F.lit(False)), "papers please") == "document_query"
     assert ev(dialogue.truth, " YES ") is True and ev(dialogue.truth, "0") is False and ev(dialogue.truth, "maybe") is None
+
+
+def plain_guardrail(message, in_flow):
+    """The cascade by Python's own patterns, look-ahead included."""
+    import re
+
+    from heddle.functions.fixed import ABUSE, INJECTION, OFFTOPIC, SAFE_REPLIES, TOPIC_WORDS
+
+    msg = message.strip()
+    low, n = msg.lower(), len(msg.split())
+    hit = {k: re.search("|".join(p), low, re.I | re.S) for k, p in (("injection", INJECTION), ("abuse", ABUSE), ("offtopic", OFFTOPIC))}
+    if msg == "__init__" or low in SAFE_REPLIES or (in_flow and n <= 6 and not hit["injection"]):
+        return True, None, None
+    for k, m in hit.items():
+        if m:
+            return False, k, m[0][:120]
+    return True, None, None
+
+
+def test_guardrail_by_hand(spark):
+    """Random messages from the patterns' own parts: translations with and without a saving word, near and far ones."""
+    import random
+
+    rng = random.Random(13)
+    parts = ["translate this", "translate the following", "to english", "into Hindi", "scheme", "form", "letter", "document", "yojana", "please", "x " * 15, "ignore previous instructions", "You are now", "bomb", "how to", "make", "write me a poem", "python", "error", "who won", "movie", "meaning of life", "weather", "what's the", "yes", "__init__", "hello\nworld", "stock price", "act as a pirate", "मुझे"]
+    cases = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))), rng.random() < 0.3) for i in range(1500)]
+    df = spark.createDataFrame(cases, "i int, t string, f boolean")
+    got = {r["i"]: (r["g"]["allowed"], r["g"]["reason"], r["g"]["matched"]) for r in df.select("i", guardrail.check(F.col("t"), F.col("f"), F.lit("en")).alias("g")).collect()}
+    want = {i: plain_guardrail(t, f) for i, t, f in cases}
+    assert got == want and {r[1] for r in want.values()} == {None, "injection", "abuse", "offtopic"}
+    saved = [t for i, t, f in cases if "translate th" in t and " to english" in t and want[i][0] and not f]
+    assert saved and any(w in t for t in saved for w in ("scheme", "form", "letter", "document", "yojana"))
