@@ -97,6 +97,7 @@ def _html(c: str = "html") -> str:
 
 
 _BUTTONS = " ".join(f"WHEN {_q(k.lower())} THEN {_q(v)}" for k, v in OCCUPATION_BUTTONS.items())
+_SLOTS = "[" + ", ".join(_q(s) for s in dialogue.SLOTS) + "]"
 _NAMES = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in LANGUAGE_NAMES.items())
 #: Content areas by the depth of their own tag: enough for pages whose elements nest as they should.
 _AREA = """p AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<title\\b[^>]*>.*?</title\\s*>|<[^>]*>|[^<]+') AS ts FROM pages),
@@ -252,6 +253,16 @@ t AS (SELECT scheme_id, string_agg(s, chr(10) || chr(10) ORDER BY q) AS text FRO
     "hydrated_hits": f"""WITH {_RECORDS}, h AS (SELECT k % 10 AS query_id, k // 10 AS place, k FROM r WHERE k % 6 = 0),
 d AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS docs FROM h)
 SELECT query_id, count(*) AS n, sum(docs)::BIGINT AS n_documents, count(*) AS n_states, count(*) AS n_blocks, count(*) AS n_amounts FROM d GROUP BY query_id""",
+    # What was damaged reads as what it was.
+    "json_repair": "SELECT conv_id, turn, conv_id AS found, 2::INTEGER AS second FROM conversations",
+    "slot_dialogue": f"""WITH RECURSIVE m AS (SELECT conv_id, turn, lower({_strip("said")}) AS low, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
+  FROM (SELECT *, CASE turn WHEN 0 THEN '👩 woman hoh' WHEN 2 THEN 'yes' WHEN 4 THEN 'nahi' ELSE coalesce(text, '') END AS said FROM conversations WHERE role = 'user')),
+j AS (SELECT *, CASE low {_BUTTONS} END AS job, low IN {_in(YES_WORDS | NO_WORDS)} AS word FROM m),
+r AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS turn, 0::BIGINT AS asked, false AS filled, '000000000' AS held FROM (SELECT DISTINCT conv_id FROM m)
+  UNION ALL SELECT conv_id, i, turn, asked, spot > 0, CASE WHEN job = 'woman_hoh' THEN '11' || held[3:] WHEN spot > 0 THEN held[:spot - 1] || '1' || held[spot + 1:] ELSE held END FROM (
+    SELECT *, CASE WHEN job IS NOT NULL THEN 1 WHEN asked = 0 OR low = '' THEN 0 WHEN asked BETWEEN 3 AND 6 AND NOT word THEN 0 ELSE asked END AS spot FROM (
+      SELECT j.conv_id, j.i, j.turn, low, job, word, held, strpos(held, '0') AS asked FROM r JOIN j ON j.conv_id = r.conv_id AND j.i = r.i + 1)))
+SELECT conv_id, turn, {_SLOTS}[nullif(asked, 0)] AS asked, filled, {_SLOTS}[nullif(strpos(held, '0'), 0)] AS next_slot FROM r WHERE i > 0""",
     "message_commands": f"""WITH {MSG}, l AS (SELECT msg_id, {_LOW} AS low FROM m)
 SELECT msg_id, CASE WHEN low IN {_in(dialogue.RESET_WORDS)} THEN 'reset' ELSE coalesce(CASE low {_CODES} END, CASE WHEN low IN {_in(dialogue.ELIGIBILITY_WORDS)} THEN 'eligibility' ELSE 'run' END) END AS command, {_any("low", dialogue.QUESTION_SIGNS)} AS question FROM l""",
     "bm25_index_topk": f"WITH {_bm25()} SELECT query_id, rank, chunk_id, score FROM sparse",
