@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dialogue, guardrail, language, text
 from ..operators import block_index, chunks, retrieval, rules, sketches, state, usage
 from ..sources import keyed, readers, scratch, seen, sinks
-from ..sources.schemas import FACTS, SCHEME
+from ..sources.schemas import FACTS, SCHEME, USAGE_EVENT
 from . import classify, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,14 @@ def usage_grand_total(spark, sf_dir):
     return usage.grand_total(usage_events(spark, sf_dir))
 
 
+@query
+def usage_log_rows(spark, sf_dir):
+    """Events as the log takes them: missing columns null, long query texts cut, then grown by a column of a newer schema."""
+    e = usage_events(spark, sf_dir).withColumn("query_text", F.repeat(F.lit("abc"), (F.col("id") % 200).cast("int")))
+    rows = sinks.grown(sinks.event_rows(e, USAGE_EVENT, F.lit("2024-01-01").cast("timestamp")), T.StructType([T.StructField("trace", T.StringType())]))
+    return rows.select("id", "session_id", micros("timestamp").alias("at_us"), "call_type", F.char_length("query_text").alias("n_query"), "model", F.col("trace").isNull().alias("grown"))
+
+
 @query
 def usage_session_log(spark, sf_dir):
     return readers.session_log(usage_events(spark, sf_dir), "7").select("id", "session_id", micros("timestamp").alias("at_us"), "call_type", "total_tokens", "latency_ms", "cache_hit")
@@ -405,6 +414,40 @@ def hydrated_hits(spark, sf_dir):
     return rows.join(blocks, F.col("query_id") == F.col("_q")).select("query_id", "n", "n_documents", "n_states", F.regexp_count("text", F.lit("── SCHEME: ")).cast("long").alias("n_blocks"), F.regexp_count("text", F.lit("STATE-WISE AMOUNTS: Goa: Rs 5\n")).cast("long").alias("n_amounts"))
 
 
+@query
+def guardrail_verdicts(spark, sf_dir):
+    """The cascade with a model's verdicts for what no rule decides, and the refusals in the user's language."""
+    m = messages(spark, sf_dir)
+    lang = F.element_at(F.array(*map(F.lit, ("en", "hi", "mr", "bn", "ta", "xx"))), (F.pmod("msg_id", F.lit(6)) + 1).cast("int"))
+    g = guardrail.check(F.col("text"), F.col("in_flow"), lang, F.when(F.col("msg_id") % 3 == 0, False).when(F.col("msg_id") % 3 == 1, True))
+    return m.select("msg_id", g.alias("g")).select("msg_id", "g.allowed", "g.reason", "g.stage", F.md5("g.message").alias("message"))
+
+
+def _down():
+    raise OSError("no such model")
+
+
+def _digests():
+    import hashlib
+
+    return lambda texts: [hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+
+@query
+def model_calls(spark, sf_dir):
+    """Texts through a model that is down and the next one, which stands in by digests."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return models.asked(c, F.col("text"), [_down, _digests], retries=0, wait=0.0).select("conv_id", "turn", F.col("asked.reply").alias("reply"), F.col("asked.model").alias("model"), F.col("asked.error").alias("error"))
+
+
+@query
+def fallback_hits(spark, sf_dir):
+    """Documents of a language, or all where the language has none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    out = [readers.union_if_empty(d.where(F.col("lang") == lang), d).withColumn("asked", F.lit(lang)) for lang in ("en", "none")]
+    return out[0].unionByName(out[1])
+
+
 @query
 def message_commands(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", dialogue.command(F.col("text")).alias("command"), dialogue.looks_like_question(F.col("text")).alias("question"))

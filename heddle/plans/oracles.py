@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import dialogue
-from ..functions.fixed import ABUSE, INJECTION, LANGUAGE_NAMES, MARATHI_WORDS, NO_WORDS, OCCUPATION_BUTTONS, OFFTOPIC, SAFE_REPLIES, TOPIC_WORDS, YES_WORDS
+from ..functions.fixed import ABUSE, INJECTION, LANGUAGE_NAMES, MARATHI_WORDS, NO_WORDS, OCCUPATION_BUTTONS, OFFTOPIC, REFUSALS, SAFE_REPLIES, TOPIC_WORDS, YES_WORDS
 from .catalog import LANG_WEIGHTS, MESSAGES
 
 USAGE = """u AS (
@@ -97,6 +97,7 @@ def _html(c: str = "html") -> str:
 
 
 _BUTTONS = " ".join(f"WHEN {_q(k.lower())} THEN {_q(v)}" for k, v in OCCUPATION_BUTTONS.items())
+_REFUSALS = " ".join(f"WHEN coalesce(reason, CASE WHEN refused THEN 'offtopic' END) = {_q(r)} AND lang = {_q(lg)} THEN {_q(t)}" for r, by in REFUSALS.items() for lg, t in by.items())
 _SLOTS = "[" + ", ".join(_q(s) for s in dialogue.SLOTS) + "]"
 _NAMES = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in LANGUAGE_NAMES.items())
 #: Content areas by the depth of their own tag: enough for pages whose elements nest as they should.
@@ -263,6 +264,11 @@ r AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS turn, 0::BIGINT AS asked, fal
     SELECT *, CASE WHEN job IS NOT NULL THEN 1 WHEN asked = 0 OR low = '' THEN 0 WHEN asked BETWEEN 3 AND 6 AND NOT word THEN 0 ELSE asked END AS spot FROM (
       SELECT j.conv_id, j.i, j.turn, low, job, word, held, strpos(held, '0') AS asked FROM r JOIN j ON j.conv_id = r.conv_id AND j.i = r.i + 1)))
 SELECT conv_id, turn, {_SLOTS}[nullif(asked, 0)] AS asked, filled, {_SLOTS}[nullif(strpos(held, '0'), 0)] AS next_slot FROM r WHERE i > 0""",
+    "usage_log_rows": f"WITH {USAGE} SELECT id, session_id, epoch_us(ts) AS at_us, call_type, least(3 * (id % 200), 300)::INTEGER AS n_query, NULL::VARCHAR AS model, true AS grown FROM u",
+    "guardrail_verdicts": f"""WITH {CASCADE}, v AS (SELECT *, reason IS NULL AND msg_id % 3 = 0 AND NOT (safe OR (in_flow AND nw <= 6) OR topic OR nw <= 3) AS refused, ['en', 'hi', 'mr', 'bn', 'ta', 'en'][(msg_id % 6 + 6) % 6 + 1] AS lang FROM r)
+SELECT msg_id, reason IS NULL AND NOT refused AS allowed, CASE WHEN refused THEN 'offtopic' ELSE reason END AS reason, CASE WHEN refused THEN 2 WHEN reason IS NOT NULL THEN 1 END AS stage, md5(CASE {_REFUSALS} END) AS message FROM v""",
+    "model_calls": "SELECT conv_id, turn, md5(text) AS reply, 1 AS model, NULL::VARCHAR AS error FROM conversations",
+    "fallback_hits": "SELECT doc_id, lang, 'en' AS asked FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, 'none' FROM documents",
     "message_commands": f"""WITH {MSG}, l AS (SELECT msg_id, {_LOW} AS low FROM m)
 SELECT msg_id, CASE WHEN low IN {_in(dialogue.RESET_WORDS)} THEN 'reset' ELSE coalesce(CASE low {_CODES} END, CASE WHEN low IN {_in(dialogue.ELIGIBILITY_WORDS)} THEN 'eligibility' ELSE 'run' END) END AS command, {_any("low", dialogue.QUESTION_SIGNS)} AS question FROM l""",
     "bm25_index_topk": f"WITH {_bm25()} SELECT query_id, rank, chunk_id, score FROM sparse",
