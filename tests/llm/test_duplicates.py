@@ -455,6 +455,69 @@ def test_chaining_recall_on_edited_passages(spark):
         assert len(found & true) >= least_found * len(true)
 
 
+def priorities(spark, n):
+    """Ids 0 ... n - 1, first those that are pivots: the first under either global priority."""
+    p = spark.range(n).selectExpr("id", "xxhash64(0, id) as p", "xxhash64(1, id) as q").collect()
+    first = [min(p, key=lambda r: r[c])["id"] for c in ("p", "q")]
+    return first, [i for i in range(n) if i not in first]
+
+
+def test_chaining_compares_hot_seeds_without_a_rare_run(spark):
+    """Two texts of one passage: a phrase that 40 others hold in other surroundings, beside it runs of two words at most."""
+    rng = random.Random(31)
+    make = lambda n: [f"h{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, more = make(22), make(40)
+    _, ids = priorities(spark, 44)
+    rows = [(i, make(40) + phrase + make(40)) for i in range(44) if i not in (ids[3], ids[20])]
+    rows += [(i, make(40) + phrase + [w if j % 3 else make(1)[0] for j, w in enumerate(more)] + make(40)) for i in (ids[3], ids[20])]
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(ids[20], ids[3])}
+
+
+def test_chaining_compares_what_different_pivots_stand_for(spark):
+    """A is like the one pivot and C, C like A alone; D is like the other pivot and A."""
+    rng = random.Random(32)
+    make = lambda n: [f"g{rng.randrange(10**6)}" for _ in range(n)]
+    (p, q), ids = priorities(spark, 40)
+    a, c, d = ids[1], ids[5], ids[9]
+    phrase, left, right = make(16), make(40), make(36)
+    edited = lambda: [w if j % 3 else make(1)[0] for j, w in enumerate(right)]
+    rows = {i: make(60) + phrase + make(60) for i in range(40)}
+    rows[p] = make(20) + left + phrase + make(60)
+    rows[a] = make(20) + left + phrase + right + make(20)
+    rows[c] = make(60) + phrase + edited() + make(20)
+    rows[q] = make(60) + phrase + make(60)
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    pair = lambda x, y: (max(x, y), min(x, y))
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {pair(p, a), pair(a, c)}
+    # D is held by the other pivot (common words left of the phrase), and shares with A what is right of it.
+    far = make(40)
+    rows[q], rows[d] = make(20) + far + phrase + make(60), make(20) + far + phrase + edited() + make(20)
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} >= {pair(p, a), pair(a, c), pair(a, d), pair(c, d), pair(q, d)}
+
+
+def test_context_links_against_all_pairs(spark, monkeypatch):
+    """All pairs of surroundings that agree, in tiles of any size; pairs of one pivot are left out."""
+    from heddle.llm import seeds
+
+    rng = random.Random(33)
+    texts = [[rng.choice("abcdefghijkl") for _ in range(rng.randrange(20))] + list("uvwxyz") + [rng.choice("abcdefghijkl") for _ in range(rng.randrange(20))] for _ in range(40)]
+    spots = [(7, i, w.index("u"), rng.choice([0, 0, 1, 2, 3])) for i, w in enumerate(texts)]
+
+    def both(x, y):
+        (_, i, p, s), (_, j, q, t) = x, y
+        lcs = lambda a, b: chaining._edit(np.array(a), np.array(b))
+        return i > j and not s & t and lcs(texts[i][max(0, p - 15) : p], texts[j][max(0, q - 15) : q]) + lcs(texts[i][p + 6 :][:15], texts[j][q + 6 :][:15]) >= 9
+
+    want = {(x[1], y[1]) for x in spots for y in spots if both(x, y)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for tile in (1024, 5):
+        monkeypatch.setattr(seeds, "TILE", tile)
+        got = seeds.context_links(docs, spark.createDataFrame(spots, "h long, doc long, pos int, stands int"), 6, 15, 9).collect()
+        assert {(r["doc"], r["odoc"]) for r in got} == want and len(got) == len(want) > 20
+
+
 def test_chaining_edges(spark, docs):
     assert chaining.fuzzy_passages(docs.where("false")).count() == 0
     assert chaining.fuzzy_passages(docs).count() > 0
