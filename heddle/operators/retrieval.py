@@ -113,11 +113,24 @@ def top_ranked(scores: DataFrame, k: int = 20) -> DataFrame:
     return scores.withColumn("_n", rank).where(F.col("_n") <= k).select("query_id", (F.col("_n") - 1).alias("rank"), "chunk_id", "score")
 
 
-def _best_of(q: np.ndarray, v: np.ndarray, order: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``v`` and scores of the ``k`` best rows for each of ``q``; ``order`` ranks ties."""
-    score = np.round(q @ v.T, digits)
-    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-    return top, np.take_along_axis(score, top, 1)
+def _best_of(q: np.ndarray, v: np.ndarray, k: int, digits: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``v`` and scores of the ``k`` best rows for each of ``q``, ties to the earlier row; ``step`` rows are scored at a time."""
+    top, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    for i in range(0, len(v), step):
+        score = np.round(q @ v[i : i + step].T, digits)
+        # Later rows lose ties, so a full list changes only where a score is above its last.
+        at = np.flatnonzero((score > best[:, -1:]).any(1)) if best.shape[1] == k else np.arange(len(q))
+        if not len(at):
+            continue
+        both = np.concatenate((best[at], score[at]), axis=1)
+        places = np.concatenate((top[at], np.broadcast_to(np.arange(i, i + score.shape[1]), (len(at), score.shape[1]))), axis=1)
+        pick = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        new_top, new_best = np.take_along_axis(places, pick, 1), np.take_along_axis(both, pick, 1)
+        if len(at) == len(q):
+            top, best = new_top, new_best
+        else:
+            top[at], best[at] = new_top, new_best
+    return top, best
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int = 6, query_block: int = 4096, vector_block: int = 65_536) -> DataFrame:
@@ -170,11 +183,12 @@ def _by_length(ids: pa.Array, lists: pa.Array) -> dict[int, tuple[pa.Array, np.n
     return out
 
 
-def _hits(ids: pa.Array, q: np.ndarray, chunk_ids: pa.Array, v: np.ndarray, k: int, digits: int, step: int = 1024) -> list[pa.Array]:
-    """Columns of the best rows, ``step`` queries at a time."""
+def _hits(ids: pa.Array, q: np.ndarray, chunk_ids: pa.Array, v: np.ndarray, k: int, digits: int, step: int = 512, rows: int = 2048) -> list[pa.Array]:
+    """Columns of the best rows. ``step`` queries meet ``rows`` vectors at a time, so that scores take a few MB whatever the sides' sizes."""
     order = np.asarray(pc.sort_indices(chunk_ids))
-    found = [_best_of(q[i : i + step], v, order, k, digits) for i in range(0, len(q), step)]
-    top, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    v = v[order]
+    found = [_best_of(q[i : i + step], v, k, digits, rows) for i in range(0, len(q), step)]
+    top, score = order[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found])
     return [ids.take(pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))), chunk_ids.take(pa.array(top.ravel())), pa.array(score.ravel())]
 
 

@@ -555,6 +555,7 @@ def hybrid_rrf(spark, sf_dir):
 def hybrid_search_entities(spark, sf_dir):
     """Flagship: dense and sparse top 20, fused, first chunk of each entity, top 4 entities, confidence and route."""
     dense, sparse, types = ranked_lists(spark, sf_dir)
+    dense = scratch.stored(dense, "dense-lists")  # read twice
     best = retrieval.best_per_entity(retrieval.fuse(dense, sparse, types, LANG_WEIGHTS, digits=9), "entity", 4)
     out = best.join(retrieval.confidence(dense), "query_id")
     return out.select("query_id", F.col("place").cast("int").alias("place"), "entity", "chunk_id", "rrf", "confidence", dialogue.confidence_route(F.col("confidence")).alias("route"))

@@ -83,6 +83,26 @@ def test_fusion_golden(spark):
     assert retrieval.confidence(dense).first()["confidence"] == 0.9
 
 
+def test_dense_scores_take_bounded_memory():
+    """A cell of 600 queries and 40,000 vectors with many ties, against one sort; scores in full would take 192 MB and more for their order."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, v = rng.integers(-2, 3, (600, 4)).astype(float), rng.integers(-2, 3, (40_000, 4)).astype(float)
+    ids = rng.permutation(40_000)
+    tracemalloc.start()
+    got = retrieval._hits(pa.array(np.arange(600)), q, pa.array(ids), v, 20, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for i in range(0, 600, 97):
+        best = np.lexsort((ids, -(v @ q[i])))[:20]
+        assert got[1].to_numpy()[20 * i : 20 * i + 20].tolist() == ids[best].tolist() and got[2].to_numpy()[20 * i : 20 * i + 20].tolist() == (v @ q[i])[best].tolist()
+
+
 def test_dense_and_hydration(spark, folder):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "chunk_id long, vector array<float>")
     q = spark.createDataFrame([(5, [0.0, 1.0])], "query_id long, vector array<float>")
@@ -99,6 +119,8 @@ def test_dense_and_hydration(spark, folder):
     asks = many.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
     one, cells = (sorted(map(tuple, retrieval.dense_top(many, asks, 7, query_block=b, vector_block=30).collect())) for b in (4096, 11))
     assert one == cells and len(one) > 300
+    few = sorted(map(tuple, retrieval.dense_top(many, asks, 7, query_block=11, vector_block=1).collect()))
+    assert few == one
     hits = spark.createDataFrame([(5, 1, "alpha", "faq"), (5, 2, "gone", "faq")], "query_id long, place int, scheme_id string, chunk_type string")
     full = retrieval.hydrate(hits, readers.scan_documents(spark, folder), F.lit("hi"))
     rows = full.collect()
