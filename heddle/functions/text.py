@@ -19,6 +19,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[^{WS}]+"), F.lit(0))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words: the pattern stops behind them, the rest of the text is not searched."""
+    return words(F.regexp_extract(c, f"^(?:[{WS}]*+[^{WS}]++){{0,{n}}}+", 0))
+
+
 def word_count(c: Column) -> Column:
     return F.size(words(c))
 

@@ -573,7 +573,7 @@ def routing_confidence(spark, sf_dir):
 def scheme_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scheme-like records, so that the quality rules have something to say."""
     d = table(spark, sf_dir, "documents")
-    ws = text.words(F.col("text"))
+    ws = text.first_words(F.col("text"), 20)  # no field takes more
     none = F.lit(None).cast("string")
     return d.select(
         "doc_id", F.slice(ws, 1, F.col("doc_id").cast("int") % 12).alias("documents_en"), F.slice(ws, 1, (F.col("doc_id") % 10).cast("int")).alias("apply_steps_en"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("helpline"),

@@ -294,3 +294,12 @@ def test_guardrail_by_hand(spark):
     assert got == want and {r[1] for r in want.values()} == {None, "injection", "abuse", "offtopic"}
     saved = [t for i, t, f in cases if "translate th" in t and " to english" in t and want[i][0] and not f]
     assert saved and any(w in t for t in saved for w in ("scheme", "form", "letter", "document", "yojana"))
+
+
+def test_first_words(spark):
+    from heddle.functions import text
+
+    texts = [None, "", "  ", "a", " a b", "a\u00a0b\u3000c d", "x " * 50, "\n".join(map(str, range(25))), "é" * 30_000 + " z", " " * 30_000 + "y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 20):
+        assert all(r[0] == r[1] for r in df.select(text.first_words(F.col("t"), n), F.slice(text.words(F.col("t")), 1, n)).collect())
