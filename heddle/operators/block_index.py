@@ -50,10 +50,11 @@ def build(chunks: DataFrame, cluster: tuple[str, ...] = (), k1: float = 1.5, b:
     stats = stored(rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).select("n", (F.col("t") / F.greatest("n", F.lit(1))).alias("avgdl"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")), "stats")
     one = F.array_sort(F.collect_list(F.struct("offset", "chunk_id", "dl")))
     docs = rows.groupBy("block").agg(one.alias("x")).select("block", F.col("x.chunk_id").alias("ids"), F.col("x.dl").alias("lengths"))
-    tf = rows.select("block", "offset", "dl", F.explode("tokens").alias("term")).groupBy("term", "block", "offset", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # Dealt by block once: both aggregates find their keys together, and a block's term is no hot key.
+    tf = rows.select("block", "offset", "dl", "tokens").repartition("block").select("block", "offset", "dl", F.explode("tokens").alias("term")).groupBy("term", "block", "offset", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     part = _saturated(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))
     lists = tf.crossJoin(F.broadcast(stats)).groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "tf"))).alias("x"), F.max(part).alias("top"))  # stats: one row
-    blocks = stored(lists.select("term", "block", F.col("x.offset").alias("offsets"), F.col("x.tf").alias("tfs"), "top").repartitionByRange("term").sortWithinPartitions("term", "block"), "blocks")
+    blocks = stored(lists.select("term", "block", F.col("x.offset").alias("offsets"), F.col("x.tf").alias("tfs"), "top"), "blocks")
     terms = blocks.groupBy("term").agg(F.sum(F.size("offsets")).alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
     return BlockIndex(blocks, stored(docs, "docs"), stored(terms, "terms"), stats)
 
@@ -82,20 +83,23 @@ def _weights(index: BlockIndex, queries: DataFrame) -> DataFrame:
 
 def _scores(index: BlockIndex, weights: DataFrame, chosen: DataFrame, digits: int) -> DataFrame:
     """``(query_id, chunk_id, score)`` of all chunks in ``chosen`` (query_id, block): only their posting blocks go through the joins."""
-    wanted = stored(weights.join(chosen, "query_id"), "wanted-blocks")  # (query_id, term, weight, block)
-    pairs = counted(stored(wanted.select("term", "block").distinct(), "wanted-pairs"))
-    lists = index.blocks.select("term", "block", F.arrays_zip("offsets", "tfs").alias("x")).join(pairs, ["term", "block"], "left_semi")
-    hits = wanted.join(lists, ["term", "block"]).join(index.docs, "block").crossJoin(F.broadcast(index.stats))  # stats: one row
-    hits = hits.select("query_id", "weight", "ids", "lengths", "avgdl", "k1", "b", F.explode("x").alias("p"))
+    asked = counted(stored(weights.select("term").distinct(), "asked-terms"))
+    # All sides are dealt by block: posting lists move once, and what is made of them for each query is summed where it is made.
+    lists = index.blocks.join(asked, "term", "left_semi").select("term", "block", F.arrays_zip("offsets", "tfs").alias("x")).repartition("block")
+    wanted = chosen.groupBy("block").agg(F.collect_set("query_id").alias("queries"))
+    lists = lists.join(wanted, "block").join(index.docs, "block").crossJoin(F.broadcast(index.stats))  # stats: one row
+    hits = lists.select("block", "term", "x", "ids", "lengths", "avgdl", "k1", "b", F.explode("queries").alias("query_id")).join(counted(weights), ["query_id", "term"])
+    hits = hits.select("query_id", "block", "weight", "ids", "lengths", "avgdl", "k1", "b", F.explode("x").alias("p"))
     at = F.col("p.offsets").cast("int")
     part = F.col("weight") * _saturated(F.col("p.tfs"), F.get("lengths", at), F.col("avgdl"), F.col("k1"), F.col("b"))
-    return hits.groupBy("query_id", F.get("ids", at).alias("chunk_id")).agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
+    sums = hits.select("query_id", "block", F.get("ids", at).alias("chunk_id"), part.alias("part")).groupBy("block", "query_id", "chunk_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    return sums.select("query_id", "chunk_id", "score").where("score > 0")
 
 
 def search(index: BlockIndex, queries: DataFrame, k: int = 20, first: int = 8, digits: int = 6) -> tuple[DataFrame, DataFrame]:
     """The ranked list ``(query_id, rank, chunk_id, score)``, and ``(query_id, blocks, scored)``: how many blocks hold a query's terms and how many were scored."""
     weights = _weights(index, queries)
-    bounds = weights.join(index.blocks.select("term", "block", "top"), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"))
+    bounds = index.blocks.select("term", "block", "top").join(counted(weights), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"))
     bounds = stored(bounds, "bounds")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
     ahead = stored(bounds.withColumn("_n", place).where(F.col("_n") <= first).select("query_id", "block"), "first-blocks")

@@ -50,3 +50,13 @@ def test_index_is_stored_and_read(spark, tmp_path):
 def test_empty_corpus(spark):
     index = block_index.build(corpus(spark).where("false"))
     assert block_index.search(index, asked(spark), 5)[0].count() == 0
+
+
+def test_scores_of_a_block_stay_where_its_postings_are(spark):
+    """Posting lists move once, by block; rows of single scores are not shuffled."""
+    index = block_index.build(corpus(spark), ("chunk_type",), bits=4)
+    weights = block_index._weights(index, asked(spark))
+    chosen = weights.join(index.blocks, "term").select("query_id", "block").distinct()
+    scores = block_index._scores(index, weights, chosen, 6)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert scores.count() > 0 and "hashpartitioning(query_id, block" not in plan.split("collect_set")[0] and "hashpartitioning(query_id, chunk_id" not in plan
