@@ -67,9 +67,14 @@ def read_index(spark: SparkSession, path: str) -> Bm25Index:
     return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "lengths", "stats")))
 
 
+def chunk_terms(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id") -> DataFrame:
+    """``(chunk_id, term)``: each term of a chunk once, without a shuffle (rows that repeat a chunk id may repeat terms)."""
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term"))
+
+
 def inverted_lists(postings: DataFrame, block: int = 10_000) -> DataFrame:
-    """``(term, block, chunks)``: the chunks of a term in blocks of ``block`` consecutive ids, so that a common term's list has bounded rows."""
-    return postings.groupBy("term", F.floor(F.col("chunk_id") / block).alias("block")).agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+    """``(term, block, chunks)``: the chunks of a term in blocks of ``block`` consecutive ids, so that a common term's list has bounded rows. Repeats count once."""
+    return postings.groupBy("term", F.floor(F.col("chunk_id") / block).alias("block")).agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
 
 
 def query_terms(queries: DataFrame, text_col: str = "text", id_col: str = "query_id") -> DataFrame:

@@ -209,7 +209,7 @@ def corpus_stats(spark, sf_dir):
 
 @query
 def inverted_lists(spark, sf_dir):
-    lists = retrieval.inverted_lists(retrieval.term_frequencies(doc_chunks(spark, sf_dir)))
+    lists = retrieval.inverted_lists(retrieval.chunk_terms(doc_chunks(spark, sf_dir)))
     return lists.select("term", "block", F.array_join(F.transform("chunks", lambda c: c.cast("string")), ",").alias("chunk_list"))
 
 
