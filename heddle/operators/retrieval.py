@@ -96,7 +96,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     stats = every.where(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).select("n", (F.col("t") / F.greatest("n", F.lit(1))).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = df.select("term", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    return _scored(tf.join(idf, "term").join(asked, "term"), k1, b, digits)
+    weights = counted(stored(asked.join(idf, "term"), "asked-weights"))
+    # Dealt by chunk, not by term: a common term is no hot key, and the sums of a chunk need no further shuffle.
+    return _scored(tf.repartition("chunk_id").join(weights, "term"), k1, b, digits)
 
 
 def index_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int | None = 6) -> DataFrame:

@@ -83,6 +83,24 @@ def test_fusion_golden(spark):
     assert retrieval.confidence(dense).first()["confidence"] == 0.9
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inverted_lists_need_one_shuffle(spark):
+    lists = retrieval.inverted_lists(retrieval.chunk_terms(corpus(spark).union(corpus(spark))), 2)
+    assert plan_of(lists).count("Exchange hashpartitioning") == 1
+    want = retrieval.inverted_lists(retrieval.term_frequencies(corpus(spark)), 2)
+    assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bm25_deals_by_chunk(spark):
+    """No term is a key of the scoring shuffle, and sums of a chunk are made where its postings lie."""
+    q = spark.createDataFrame([(1, "card"), (2, "card of")], "query_id long, text string")
+    plan = plan_of(retrieval.bm25_scores(corpus(spark), q))
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(term" not in plan.split("asked-weights")[0]
+
+
 def test_dense_scores_take_bounded_memory():
     """A cell of 600 queries and 40,000 vectors with many ties, against one sort; scores in full would take 192 MB and more for their order."""
     import tracemalloc
