@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small
-from .seeds import distinct_texts, fetch_words, neighbours, seed_rows
+from .seeds import distinct_texts, fetch_words, neighbours, seed_rows, window_texts
 from .words import Words, chunks, windows
 
 
@@ -41,15 +41,15 @@ def passage_rows(docs: DataFrame, spots: DataFrame, least: int, k: int) -> DataF
         for batch in batches:
             for part in chunks(batch, 1):
                 words = Words(part.column(1))
-                for i, (lo, hi, at) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), part.column(2).to_pylist())):
-                    last = hi - lo - least
-                    wanted = np.zeros(last + least + 2, np.int32)
-                    at = np.array(at)
-                    np.add.at(wanted, np.maximum(at - (least - k), 0), 1)
-                    np.add.at(wanted, at + 1, -1)
-                    pos = np.flatnonzero(np.cumsum(wanted)[: last + 1] > 0)
-                    h = windows(words.h[lo:hi], least)[pos].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int32))], ["h", "doc", "pos"])
+                h, text = windows(words.h, least), window_texts(words, least, least)
+                lists = part.column(2)
+                of = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+                at = words.first[of] + lists.flatten().to_numpy(zero_copy_only=False)
+                wanted = np.zeros(len(words.h) + 2, np.int32)
+                np.add.at(wanted, np.maximum(at - (least - k), words.first[of]), 1)
+                np.add.at(wanted, at + 1, -1)
+                spot = np.flatnonzero((np.cumsum(wanted)[: len(h)] > 0) & (text >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(h[spot].astype(np.int64)), part.column(0).take(pa.array(text[spot])), pa.array((spot - words.first[text[spot]]).astype(np.int32))], ["h", "doc", "pos"])
 
     with_text = docs.join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "asked")
     return with_text.mapInArrow(run, "h long, doc long, pos int")

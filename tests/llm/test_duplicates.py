@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -521,3 +523,47 @@ def test_context_links_against_all_pairs(spark, monkeypatch):
 def test_chaining_edges(spark, docs):
     assert chaining.fuzzy_passages(docs.where("false")).count() == 0
     assert chaining.fuzzy_passages(docs).count() > 0
+
+
+def test_chaining_extends_only_the_ends_of_a_chain_that_passes_whole(monkeypatch):
+    rng = random.Random(5)
+    x = [rng.randrange(1, 1 << 30) for _ in range(400)]
+    y = x.copy()
+    for i in range(10, 400, 20):
+        y[i] = -i
+    chain = [(i + 1, i + 1, 19) for i in range(30, 350, 20)]
+    calls, plain = [], chaining._extend
+    monkeypatch.setattr(chaining, "_extend", lambda *a: calls.append(0) or plain(*a))
+    got = chaining.align(chain, np.array(x, np.int32), 0, np.array(y, np.int32), 0, 50, 0.75)
+    assert len(got) == 1 and got[0][1] == got[0][3] and got[0][4] >= 0.9 * got[0][1]
+    assert len(calls) == 2
+
+
+def test_common_words_as_bits_equal_the_table():
+    rng = np.random.default_rng(4)
+    for width in (1, 8, 44, 64, 70):
+        x, y = rng.integers(0, 9, (2, 50, width))
+        plain = []
+        for a, b in zip(x, y):
+            row = [0] * (width + 1)
+            for v in a:
+                row = [0, *itertools.accumulate((max(row[j + 1], row[j] + (v == b[j] and v != 0)) for j in range(width)), max)]
+            plain.append(row[-1])
+        assert seeds._common(x, y).tolist() == plain
+
+
+@pytest.mark.parametrize(("k", "w", "repeats"), [(6, 8, False), (26, 25, True)])
+def test_seeds_of_many_texts_at_once_equal_those_of_each(spark, k, w, repeats):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 130))) for _ in range(60)] + [None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for least in (k, 50):
+        got = {(r["doc"], r["pos"]) for r in seeds.seed_rows(df, k, w, least, repeats).collect()}
+        want = set()
+        for i, t in enumerate(texts):
+            h = words.Words(pa.array([t or ""])).h
+            v = words.windows(h, k).tolist() if len(h) >= max(least, k) else []
+            size = min(w, len(v))
+            low = {j for a in range(len(v) - size + 1) for j in range(a, a + size) if v and v[j] == min(v[a : a + size])}
+            want |= {(i, j) for j in low if repeats or not any(v[p] == v[j] and j - p <= w for p in low if p < j)}
+        assert got == want
