@@ -567,3 +567,19 @@ def test_seeds_of_many_texts_at_once_equal_those_of_each(spark, k, w, repeats):
             low = {j for a in range(len(v) - size + 1) for j in range(a, a + size) if v and v[j] == min(v[a : a + size])}
             want |= {(i, j) for j in low if repeats or not any(v[p] == v[j] and j - p <= w for p in low if p < j)}
         assert got == want
+
+
+def test_periodic_stretches_lie_on_few_diagonals(spark):
+    rng = random.Random(8)
+    make = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [make(20 + i) + ["is", "so"] * n + make(20) for i, n in enumerate((200, 150, 60, 200))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_array.repeated_passages(df).collect()
+    assert len(got) <= 60  # a row a step would be some hundreds
+    covered = collections.defaultdict(set)
+    for r in got:
+        a, b, n = r["start_word"], r["other_start_word"], r["n_words"]
+        assert texts[r["doc_id"]][a : a + n] == texts[r["other_doc_id"]][b : b + n]
+        covered[r["doc_id"]].update(range(a, a + n))
+    for i, t in enumerate(texts):
+        assert {j for j, w in enumerate(t) if w in ("is", "so")} <= covered[i]
