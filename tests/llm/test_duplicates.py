@@ -499,6 +499,28 @@ def test_chaining_compares_what_different_pivots_stand_for(spark):
     assert {(r["doc_id"], r["other_doc_id"]) for r in got} >= {pair(p, a), pair(a, c), pair(a, d), pair(c, d), pair(q, d)}
 
 
+def test_chaining_of_a_family_that_no_pivot_of_its_seed_belongs_to(spark):
+    """One word 60 times over in 30 texts, whose only common seed has its pivots in short runs: rows grow with the family, not with its square."""
+    rng = random.Random(41)
+    make = lambda n: [f"k{rng.randrange(10**6)}" for _ in range(n)]
+    first, ids = priorities(spark, 32)
+    rows = [(i, make(30) + ["z"] * (10 if i in first else 60) + make(30)) for i in range(32)]
+    got = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {i for r in got for i in (r["doc_id"], r["other_doc_id"])} == set(ids) and len(got) < 4 * len(ids)
+
+
+def test_passages_of_a_pair_that_cover_the_others():
+    """A passage of four places in one text and five in the other; one that reaches further stays, too; any cuts into batches."""
+    rows = [(9, 60 * i, 55, 4, 70 * j, 55, 55, 1.0) for i in range(4) for j in range(5)] + [(9, 30, 100, 4, 400, 100, 90, 0.9), (10, 0, 50, 4, 0, 50, 50, 1.0)]
+    rows.sort(key=lambda r: (r[0], r[3], -r[2] - r[5], -r[6], r[1], r[4]))
+    for size in (1, 3, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i : i + size])], chaining._OUT) for i in range(0, len(rows), size)]
+        got = [r for b in chaining._needed(iter(batches)) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["n_words"]) for r in got].count((9, 100)) == 1 and got[-1]["doc_id"] == 10 and len(got) < 4 + 5 + 2
+        for col, own, n in ((1, "start_word", "n_words"), (4, "other_start_word", "other_n_words")):
+            assert all(any(g["doc_id"] == r[0] and g[own] <= r[col] and g[own] + g[n] >= r[col] + r[col + 1 if col == 4 else 2] for g in got) for r in rows)
+
+
 def test_context_links_against_all_pairs(spark, monkeypatch):
     """All pairs of surroundings that agree, in tiles of any size; pairs of one pivot are left out."""
     from heddle.llm import seeds
