@@ -215,3 +215,14 @@ def test_equal_rows_spread_over_groups(spark, tmp_path):
         g = r["sequence_id"] % (3000 * 38 // 6000 + 1)
         sizes[g] = sizes.get(g, 0) + r["length"]
     assert len(sizes) == 20 and max(sizes.values()) < 2 * min(sizes.values()) and sum(sizes.values()) == 3000 * 8
+
+
+def test_texts_of_a_batch_are_looked_up_together(monkeypatch):
+    """Texts of 900,000 characters share one chunk, and their ids are those of each text alone."""
+    enc, calls = bpe.Encoder(PATH), []
+    texts = [" ".join(f"word{(i * k) % 700} and, {k}" for i in range(6000)) for k in range(1, 9)]
+    alone = [enc.batch([t])[0].tolist() for t in texts]
+    plain = bpe.Encoder._chunk
+    monkeypatch.setattr(bpe.Encoder, "_chunk", lambda self, text: calls.append(len(text)) or plain(self, text))
+    assert [x.tolist() for x in enc.batch(texts)] == alone
+    assert 600_000 < sum(calls) < 1_000_000 and len(calls) == 1
