@@ -40,15 +40,18 @@ PIVOTS = 8
 LARGE_CELL = 32
 BLOCK = 1024
 SLAB = 2048
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 18
 
 
 def _sets(batch: pa.RecordBatch, col: int, k: int) -> list[np.ndarray]:
-    """The distinct shingle keys (58 bits) of each row."""
-    w = Words(batch.column(col))
+    """The distinct shingle keys (58 bits) of each row. Words are hashed in smaller pieces than callers cut, as that takes many arrays of their number."""
     out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        h = w.h[a:b]
-        out.append(np.unique(windows(h, min(k, len(h)) or 1) >> np.uint64(64 - BITS)))
+    for piece in chunks(batch, col, PIECE):
+        w = Words(piece.column(col))
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+            h = w.h[a:b]
+            out.append(np.unique(windows(h, min(k, len(h)) or 1) >> np.uint64(64 - BITS)))
     return out
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,19 @@ def test_jaccard_of_words_that_polynomial_hashes_confuse(spark):
     assert all(r["class_id"] == r["component_id"] == r["doc_id"] for r in got)
 
 
+def test_shingle_sets_are_made_in_small_pieces(monkeypatch):
+    text = [" ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(400)) for i in range(1500)] + ["", None, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+    tracemalloc.start()
+    got = jaccard._sets(batch, 0, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * batch.nbytes  # all words at once take about 19 bytes a byte of text
+    monkeypatch.setattr(jaccard, "PIECE", 1 << 30)
+    whole = jaccard._sets(batch, 0, 5)
+    assert len(got) == len(whole) == len(text) and all((x == y).all() for x, y in zip(got, whole))
+
+
 def test_shingle_counts_cover_all_documents(spark, docs):
     """Every shingle that ``LEAST`` or more rows hold gets a level, by whatever partitions; no other does."""
     want = collections.Counter(s for _, t in corpus() for s in shingles(t))
