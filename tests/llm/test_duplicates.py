@@ -523,6 +523,25 @@ def test_chaining_of_a_family_that_no_pivot_of_its_seed_belongs_to(spark):
     assert {i for r in got for i in (r["doc_id"], r["other_doc_id"])} == set(ids) and len(got) < 4 * len(ids)
 
 
+def test_chaining_does_not_compare_the_places_of_two_periodic_texts_one_by_one(spark, monkeypatch):
+    agreeing, plain = [], chaining.context_links
+    monkeypatch.setattr(chaining, "context_links", lambda *a: agreeing.append(plain(*a)) or agreeing[0])
+    period = [f"p{i}" for i in range(9)]
+    rows = [(i, " ".join([f"a{i}"] * i + period * 40)) for i in range(2)]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(r["n_words"] for r in got) == 360 and agreeing[0].count() == 0
+
+
+def test_chaining_of_long_runs_of_a_word_beside_short_ones(spark):
+    """Runs of 40 words agree with runs of 56 but give no passage; as pivots they stand for none."""
+    rng = random.Random(77)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(words(30) + ["the"] * (56 if i % 3 == 0 else 40) + words(30))) for i in range(120)]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {d for r in got for d in (r["doc_id"], r["other_doc_id"])} == set(range(0, 120, 3))
+    assert all(r["n_words"] == 56 == r["matched_words"] for r in got) and len(got) <= 4 * 40
+
+
 def test_passages_of_a_pair_that_cover_the_others():
     """A passage of four places in one text and five in the other; one that reaches further stays, too; any cuts into batches."""
     rows = [(9, 60 * i, 55, 4, 70 * j, 55, 55, 1.0) for i in range(4) for j in range(5)] + [(9, 30, 100, 4, 400, 100, 90, 0.9), (10, 0, 50, 4, 0, 50, 50, 1.0)]
