@@ -638,3 +638,81 @@ def test_periodic_stretches_lie_on_few_diagonals(spark):
         covered[r["doc_id"]].update(range(a, a + n))
     for i, t in enumerate(texts):
         assert {j for j, w in enumerate(t) if w in ("is", "so")} <= covered[i]
+
+
+def test_linked_runs_against_all_pairs(spark, monkeypatch):
+    """Runs that are cut by batches and by the ends of partitions; keys of one document and keys that only one partition knows to be hot."""
+    rng = random.Random(21)
+    rows = sorted({(h, rng.randrange(1 if h % 7 == 0 else 40), rng.randrange(60)) for h in range(60) for _ in range(rng.choice([1, 2, 3, 4, 5, 30]))})
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    links = {(x[1], x[2], y[1], y[2]) for v in by.values() if len(v) <= 4 for x in v for y in v if x[1] > y[1]}
+    hot = {r for v in by.values() if len(v) > 4 and len({r[1] for r in v}) > 1 for r in v}
+    df = spark.createDataFrame([(*r, r[2] + 1) for r in rows], "h long, doc long, pos int, at int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, stream in ((1, 1), (4, 50), (37, 1 << 17)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            for own in (True, False):
+                monkeypatch.setattr(seeds, "_STREAM", stream)
+                got, rest = seeds.linked_runs(df, 4, own)
+                got, rest = [(r["doc"], r["pos"], r["odoc"], r["opos"], r["at"] - r["pos"], r["oat"] - r["opos"]) for r in got.collect()], [tuple(r) for r in rest.collect()]
+                assert {r[:4] for r in got} == links and {r[4:] for r in got} == {(1, 1)} and len(rest) == len(set(rest)) and set(rest) == (hot if own else set())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_runs_in_any_batches():
+    rng = random.Random(22)
+    rows = sorted((h, rng.randrange(9), rng.randrange(99)) for h in range(12) for _ in range(rng.randrange(1, 9)))
+    h, doc, pos = (np.array(c, np.int64) for c in zip(*rows))
+    said = []
+    for size in (1, 5, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (h, doc, pos, pos)], ["h", "doc", "pos", "at"]) for i in range(0, len(rows), size)]
+        plain, seeds._STREAM = seeds._STREAM, 3
+        try:
+            said.append(sorted(tuple(r.values()) for b in seeds._runs(4, True)(iter(batches)) for r in b.to_pylist()))
+        finally:
+            seeds._STREAM = plain
+    assert said[0] == said[1] == said[2] and {r[-1] for r in said[0]} == {seeds.LINK, seeds.HOT, seeds.EDGE}
+
+
+def test_words_of_requests_without_moving_texts(spark):
+    """Requests go to the stored words: one exchange, that of the requests."""
+    rng = random.Random(23)
+    texts = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (60, 10, 80, 50)]
+    stored = seeds.stored_words(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 50)
+    asked = [(i, a, a + n) for i in range(4) for a, n in ((-5, 20), (0, 6), (40, 100), (90, 5))]
+    df = spark.createDataFrame(asked, "doc long, a int, b int")
+    got = seeds.with_words(stored, df.hint("merge"), "doc", F.col("a"), F.col("b"), "words")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    number = lambda w: int(words.Words(pa.array([w])).h[0] >> np.uint64(32))
+    want = {(i, a, b): [number(w) for w in texts[i][max(a, 0) : max(b, 0)]] for i, a, b in asked if len(texts[i]) >= 50}
+    assert {(r["doc"], r["a"], r["b"]): [v % (1 << 32) for v in r["words"]] for r in got.collect()} == want
+
+
+def test_many_anchors_at_once_align_as_each():
+    rng = random.Random(24)
+
+    def edited(w, p):
+        out = []
+        for v in w:
+            out += rng.choice([[rng.randrange(99)], [], [v, rng.randrange(99)]]) if rng.random() < p else [v]
+        return out
+
+    rows = []
+    for _ in range(2000):
+        p, left, mid, right = rng.choice([0.02, 0.1, 0.2, 0.4]), *([rng.randrange(99) for _ in range(n)] for n in (60, rng.randrange(6, 60), 60))
+        sides = []
+        for own in ((left, right), (edited(left, p), edited(right, p))):
+            before, after = own[0][-rng.choice([50, 50, 9, 1]) :], own[1][: rng.choice([50, 50, 20, 0])]
+            start = rng.randrange(50, 90) if len(before) == 50 else len(before)
+            sides.append((start, before + mid + after))
+        rows.append((*sides[0], *sides[1], len(mid)))
+    x, b, y, a, n = zip(*rows)
+    cut = lambda w: np.append(0, np.cumsum([len(v) for v in w]))
+    flat = lambda w: np.array([v for r in w for v in r], np.int32)
+    row, *found = chaining.align_anchors(np.array(x), np.array(y), np.array(n), flat(b), cut(b)[:-1], cut(b)[1:], flat(a), cut(a)[:-1], cut(a)[1:], 50, 0.75)
+    want = [(i, *p) for i, r in enumerate(rows) for p in chaining.align([(r[0], r[2], r[4])], np.array(r[1], np.int32), max(0, r[0] - 50), np.array(r[3], np.int32), max(0, r[2] - 50), 50, 0.75)]
+    assert list(zip(row.tolist(), *(v.tolist() for v in found))) == want and 100 < len(want) < 1900
